@@ -83,9 +83,8 @@ def first_match(items: Column, test) -> Column:
 
 def field_number(headers: Column, contents: Column, header: str, word: str) -> Column:
     """Number after ``word`` in the first field named ``header`` that has one."""
-    pairs = F.transform(
-        F.arrays_zip(headers.alias("h"), contents.alias("c")),
-        lambda p: F.struct(p[0].alias("h"), number_after(p[1], word).alias("n")),
+    pairs = F.zip_with(
+        headers, contents, lambda h, c: F.struct(h.alias("h"), number_after(c, word).alias("n"))
     )
     return first_match(pairs, lambda p: (p["h"] == header) & p["n"].isNotNull())["n"]
 

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import draws
@@ -61,7 +61,7 @@ def score_batches(
 
     ``load`` runs once per task and returns the scorer of one batch.
     """
-    schema = StructType(df.schema.fields).add(out, "double")
+    schema = StructType([*df.schema.fields, StructField(out, DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = load()

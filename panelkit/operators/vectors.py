@@ -44,10 +44,7 @@ def token_mean(token_vectors: Column, mask: Column | None = None) -> Column:
     """Mean token vector of one row; without a mask padding counts too."""
     tokens = token_vectors
     if mask is not None:
-        tokens = F.transform(
-            F.filter(F.arrays_zip(token_vectors.alias("v"), mask.alias("m")), lambda z: z[1] == 1),
-            lambda z: z[0],
-        )
+        tokens = F.filter(token_vectors, lambda _, i: F.get(mask, i) == 1)
     dims = F.size(F.get(token_vectors, F.lit(0)))
     zero = F.transform(F.sequence(F.lit(1), dims), lambda _: F.lit(0.0))
     total = F.aggregate(

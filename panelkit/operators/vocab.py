@@ -66,10 +66,11 @@ def encode(
     body = max_length - 2
     cut = texts.select(*key, F.slice(tokens(text), 1, body).alias("_t"))
     spread = cut.select(*key, F.posexplode_outer("_t").alias("_pos", "token"))
-    found = lookup_join(spread, stage(vocab.select("token", "id"), "vocab"), ["token"], "left")
+    known = stage(vocab.select("token", F.col("id").alias("_id")), "vocab")
+    found = lookup_join(spread, known, ["token"], "left")
     item = F.when(
         F.col("_pos").isNotNull(),
-        F.struct("_pos", F.coalesce("id", F.lit(UNK)).alias("id")),
+        F.struct("_pos", F.coalesce("_id", F.lit(UNK)).alias("id")),
     )
     # ``max_length`` ids per row at most.
     rows = found.groupBy(*key).agg(
@@ -160,9 +161,10 @@ def decoded_in_source(
     Special tokens aside, every id must decode to a token of the text, so the
     result is empty when encoding loses nothing but the cut tail.
     """
-    ids = encoded.select(*key, F.explode(F.array_distinct("input_ids")).alias("id")).where(
-        ~F.col("id").isin(UNK, PAD, CLS, SEP, MASK)
+    ids = encoded.select(*key, F.explode(F.array_distinct("input_ids")).alias("_id")).where(
+        ~F.col("_id").isin(UNK, PAD, CLS, SEP, MASK)
     )
-    decoded = lookup_join(ids, stage(vocab.select("token", "id"), "vocab"), ["id"], "left")
+    known = stage(vocab.select("token", F.col("id").alias("_id")), "vocab")
+    decoded = lookup_join(ids, known, ["_id"], "left")
     source = texts.select(*key, F.explode(F.array_distinct(tokens(text))).alias("token"))
     return decoded.join(source, [*key, "token"], "left_anti").select(*key, "token")

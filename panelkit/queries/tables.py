@@ -35,19 +35,20 @@ PANEL_SQL = CELLS_SQL + """, panel AS (
 CATALOG_SQL = """catalog AS (
   SELECT DISTINCT concat('m', 1 + p_size % 5, 'q', p_partkey // 5) AS feature FROM part)"""
 # An order is an id, its priority the task; the benchmark predicts the mean
-# of the customer; orders in state P have no known outcome.
-RESIDUAL_SQL = """base AS (
-  SELECT o_orderkey AS id, o_orderpriority AS task, o_totalprice AS price,
-         CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS truth,
-         avg(o_totalprice) OVER (PARTITION BY o_custkey) AS prediction,
-         avg(o_totalprice) OVER (PARTITION BY o_orderpriority) AS ybar_train
-  FROM orders), residuals AS (
+# of the customer; orders in state P have no known outcome. Money is in whole
+# cents: sums are then exact, and means the same in every order of adding.
+RESIDUAL_SQL = """priced AS (SELECT *, round(o_totalprice * 100) AS cents FROM orders), base AS (
+  SELECT o_orderkey AS id, o_orderpriority AS task,
+         CASE WHEN o_orderstatus <> 'P' THEN cents END AS truth,
+         avg(cents) OVER (PARTITION BY o_custkey) AS prediction,
+         avg(cents) OVER (PARTITION BY o_orderpriority) AS ybar_train
+  FROM priced), residuals AS (
   SELECT id, task, truth, prediction, ybar_train, truth - prediction AS diff FROM base)"""
 # A line is one scored text row of its order; line number and return flag
 # make the chunk, the line number is its year, the flag its feature set.
 SCORES_SQL = """scores AS (
   SELECT l_orderkey AS id, (l_linenumber - 1) * 3 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END
-         AS chunk_index, (l_tax - 0.04) * l_extendedprice AS score
+         AS chunk_index, (round(l_tax * 100) - 4) * round(l_extendedprice) AS score
   FROM lineitem)"""
 N_SCORE_CHUNKS = 21
 
@@ -92,15 +93,15 @@ def residuals(spark: SparkSession, sf: str) -> DataFrame:
     """(id, task, truth, prediction, ybar_train, diff)."""
     orders = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("task"),
-        "o_custkey", "o_totalprice", "o_orderstatus",
+        "o_custkey", F.round(F.col("o_totalprice") * 100).alias("cents"), "o_orderstatus",
     )
-    by_customer = orders.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("prediction"))
-    by_task = orders.groupBy("task").agg(F.avg("o_totalprice").alias("ybar_train"))
+    by_customer = orders.groupBy("o_custkey").agg(F.avg("cents").alias("prediction"))
+    by_task = orders.groupBy("task").agg(F.avg("cents").alias("ybar_train"))
     joined = lookup_join(
         lookup_join(orders, stage(by_customer, "customer_means"), ["o_custkey"]),
         stage(by_task, "task_means"), ["task"],
     )
-    truth = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice"))
+    truth = F.when(F.col("o_orderstatus") != "P", F.col("cents"))
     return joined.select(
         "id", "task", truth.alias("truth"), "prediction", "ybar_train",
         residual(truth, "prediction").alias("diff"),
@@ -116,7 +117,7 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     return li.select(
         F.col("l_orderkey").alias("id"),
         ((F.col("l_linenumber") - 1) * 3 + flag).alias("chunk_index"),
-        ((F.col("l_tax") - 0.04) * F.col("l_extendedprice")).alias("score"),
+        ((F.round(F.col("l_tax") * 100) - 4) * F.round("l_extendedprice")).alias("score"),
     )
 
 
@@ -137,28 +138,27 @@ def chunk_dim(spark: SparkSession, sf: str) -> DataFrame:
 def user_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Events as scored rows of their user: (id, event_id, score)."""
     return table(spark, sf, "events").select(
-        F.col("user_id").alias("id"), "event_id", (F.col("value") / 100).alias("score")
+        F.col("user_id").alias("id"), "event_id", F.round(F.col("value") * 100).alias("score")
     )
 
 
 def user_residuals(spark: SparkSession, sf: str) -> DataFrame:
     """Two tasks per user: the largest value, and the mean one."""
-    ev = table(spark, sf, "events")
-    per_user = ev.groupBy(F.col("user_id").alias("id")).agg(
-        F.max("value").alias("top"), F.avg("value").alias("mid"), F.min("value").alias("low")
+    per_user = user_scores(spark, sf).groupBy("id").agg(
+        F.max("score").alias("top"), F.avg("score").alias("mid"), F.min("score").alias("low")
     )
     tasks = F.array(
-        F.struct(F.lit("mid").alias("task"), F.col("mid").alias("truth"), (F.col("mid") * 0.9).alias("prediction"), F.lit(50.0).alias("ybar_train")),
-        F.struct(F.lit("top").alias("task"), F.col("top").alias("truth"), (F.col("mid") + F.col("low")).alias("prediction"), F.lit(90.0).alias("ybar_train")),
+        F.struct(F.lit("mid").alias("task"), F.col("mid").alias("truth"), (F.col("mid") * 0.9).alias("prediction"), F.lit(5000.0).alias("ybar_train")),
+        F.struct(F.lit("top").alias("task"), F.col("top").alias("truth"), (F.col("mid") + F.col("low")).alias("prediction"), F.lit(20000.0).alias("ybar_train")),
     )
     return per_user.select("id", F.inline(tasks)).withColumn("diff", residual("truth", "prediction"))
 
 
-USER_SQL = """users AS (
-  SELECT user_id AS id, max(value) AS top, avg(value) AS mid, min(value) AS low FROM events GROUP BY user_id),
+USER_SQL = """user_scores AS (SELECT user_id AS id, event_id, round(value * 100) AS score FROM events),
+users AS (SELECT id, max(score) AS top, avg(score) AS mid, min(score) AS low FROM user_scores GROUP BY id),
 user_residuals AS (
-  SELECT id, 'mid' AS task, mid AS truth, mid * 0.9 AS prediction, 50.0::DOUBLE AS ybar_train, mid - mid * 0.9 AS diff FROM users
-  UNION ALL SELECT id, 'top', top, mid + low, 90.0::DOUBLE, top - (mid + low) FROM users)"""
+  SELECT id, 'mid' AS task, mid AS truth, mid * 0.9 AS prediction, 5000.0::DOUBLE AS ybar_train, mid - mid * 0.9 AS diff FROM users
+  UNION ALL SELECT id, 'top', top, mid + low, 20000.0::DOUBLE, top - (mid + low) FROM users)"""
 
 
 def r2_sql(p: str, g: str, m: str) -> str:

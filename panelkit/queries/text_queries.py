@@ -13,11 +13,9 @@ from ..sources.staging import stage
 from . import tables as t
 from .registry import query, r6, table
 
-WORDS_SQL = f"list_filter(string_split_regex({{}}, '{tx.space_class()}+'), lambda w: w <> '')"
-
-
 def words_sql(c: str) -> str:
-    return WORDS_SQL.format(c)
+    """SQL text of the word list of a column."""
+    return f"list_filter(string_split_regex({c}, '{tx.space_class()}+'), lambda w: w <> '')"
 
 
 GRID_SQL = f"""WITH {t.PANEL_SQL}, feats AS (SELECT DISTINCT feature, ord FROM panel),
@@ -106,7 +104,7 @@ def shuffle(spark, sf):
 
 
 def _ranked(name: str, seed: str) -> str:
-    return f"""{name} AS (SELECT user_id AS id, event_id, value / 100 AS score,
+    return f"""{name} AS (SELECT user_id AS id, event_id, round(value * 100) AS score,
   row_number() OVER (PARTITION BY user_id ORDER BY md5(concat_ws(':', '{seed}', user_id, event_id))) AS rank FROM events)"""
 
 
@@ -331,8 +329,7 @@ def prompt_pack(spark, sf):
 
 
 AUTHORS_SQL = f"""WITH d AS (SELECT source, {words_sql('text')} AS w FROM documents),
-p AS (SELECT source, w, unnest(generate_series(1, len(w), 2)) AS i FROM d),
-a AS (SELECT source, CASE WHEN i < len(w) THEN concat(w[i], ' ', w[i + 1]) ELSE w[i] END AS author FROM p),
+a AS (SELECT source, unnest(list_transform(generate_series(1, len(w), 2), lambda i: array_to_string(w[i:i + 1], ' '))) AS author FROM d),
 f AS (SELECT author, count(*) AS n_papers FROM a GROUP BY author)"""
 
 
@@ -369,7 +366,7 @@ vocab AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 4 AS vid
           QUALIFY row_number() OVER (ORDER BY n DESC, token) <= {VOCAB_SIZE - 5}),
 enc AS (SELECT id, list(coalesce(vid, 0) ORDER BY pos) AS body FROM tok LEFT JOIN vocab USING (token)
         WHERE pos <= {MAX_LENGTH - 2} GROUP BY id),
-ids AS (SELECT id, list_concat([2], body, [3], list_transform(range({MAX_LENGTH - 2} - len(body)), lambda x: 1)) AS input_ids FROM enc)"""
+coded AS (SELECT id, list_concat([2], body, [3], list_transform(range({MAX_LENGTH - 2} - len(body)), lambda x: 1)) AS input_ids FROM enc)"""
 
 
 def _texts(spark, sf):
@@ -400,7 +397,7 @@ def _joined(c: str):
 SELECT id, array_to_string(input_ids, ' ') AS input_ids,
  array_to_string(list_transform(input_ids, lambda x: CASE WHEN x = 1 THEN 0 ELSE 1 END), ' ') AS attention_mask,
  array_to_string(list_transform(input_ids, lambda x: CASE WHEN x IN (1, 2, 3) THEN 1 ELSE 0 END), ' ') AS special_tokens_mask
-FROM ids""")
+FROM coded""")
 def encode_fixed(spark, sf):
     texts = _texts(spark, sf)
     enc = vocab.encode(texts, ["id"], _vocab(texts), MAX_LENGTH)
@@ -408,7 +405,7 @@ def encode_fixed(spark, sf):
 
 
 @query("mlm_mask", VOCAB_SQL + f""", x AS (
-  SELECT id, unnest(input_ids) AS tid, generate_subscripts(input_ids, 1) - 1 AS i FROM ids),
+  SELECT id, unnest(input_ids) AS tid, generate_subscripts(input_ids, 1) - 1 AS i FROM coded),
 h AS (SELECT *, tid NOT IN (1, 2, 3) AND {_below('9', "'pick', id, i", 0.15)} AS chosen,
              substr(md5(concat_ws(':', '9', 'fate', id, i)), 1, 8) AS fate,
              ('0x' || substr(md5(concat_ws(':', '9', 'token', id, i)), 1, 12))::BIGINT % {VOCAB_SIZE} AS other FROM x)
@@ -423,8 +420,8 @@ def mlm_mask(spark, sf):
 
 
 @query("decoded_in_source", VOCAB_SQL + """
-SELECT count(*) AS n_foreign, (SELECT count(*) FROM ids) AS n_rows FROM (
-  SELECT id, unnest(input_ids) AS vid FROM ids) e JOIN vocab v USING (vid)
+SELECT count(*) AS n_foreign, (SELECT count(*) FROM coded) AS n_rows FROM (
+  SELECT id, unnest(input_ids) AS vid FROM coded) e JOIN vocab v USING (vid)
 WHERE NOT EXISTS (SELECT 1 FROM tok WHERE tok.id = e.id AND tok.token = v.token)""")
 def decoded_in_source(spark, sf):
     texts = _texts(spark, sf)
