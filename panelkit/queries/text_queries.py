@@ -334,11 +334,20 @@ f AS (SELECT author, count(*) AS n_papers FROM a GROUP BY author)"""
 
 
 def _papers(spark, sf):
-    """Documents as papers: every two words are the name parts of an author."""
-    w = table(spark, sf, "documents").select("source", tx.words("text").alias("w"))
-    starts = F.sequence(F.lit(1), F.size("w"), F.lit(2))
-    parts = F.transform(starts, lambda i: F.slice(F.col("w"), i, 2))
-    return w.where(F.size("w") > 0).select("source", parts.alias("authors_parsed"))
+    """Documents as papers: every two words are the name parts of an author.
+
+    The words are bound to a lambda variable, so they are split once per text
+    and not once per author.
+    """
+
+    def in_twos(w):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(2))
+        return F.transform(starts, lambda i: F.slice(w, i, 2))
+
+    parts = F.get(F.transform(F.array(tx.words("text")), in_twos), F.lit(0))
+    return table(spark, sf, "documents").select(
+        "source", F.filter(parts, lambda p: F.size(p) > 0).alias("authors_parsed")
+    )
 
 
 @query("author_freq", AUTHORS_SQL + " SELECT author, n_papers FROM f")
