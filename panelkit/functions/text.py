@@ -23,29 +23,46 @@ FLOAT_PATTERN = (
 )
 
 
-def _char_class(test) -> str:
-    """Regex class of all characters that pass ``test``, as code ranges."""
-    codes = [c for c in range(0x110000) if test(chr(c))]
+def _ranges(codes: list[int]) -> str:
+    """Code points as the inside of a regex class."""
     runs: list[list[int]] = []
     for c in codes:
         if runs and c == runs[-1][1] + 1:
             runs[-1][1] = c
         else:
             runs.append([c, c])
-    body = "".join(
+    return "".join(
         f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs
     )
-    return f"[{body}]"
 
 
 @lru_cache(maxsize=None)
-def space_class() -> str:
-    return _char_class(str.isspace)
+def _class_codes(name: str) -> list[int]:
+    """All code points of a Python string test: 'isspace' or 'isdigit'."""
+    test = getattr(str, name)
+    return [c for c in range(0x110000) if test(chr(c))]
+
+
+def flat_class(name: str) -> str:
+    """The class as one list of ranges, for any regex dialect."""
+    return f"[{_ranges(_class_codes(name))}]"
 
 
 @lru_cache(maxsize=None)
+def _fast_class(name: str) -> str:
+    """The class for Java: an ASCII character is settled by its first tests."""
+    codes = _class_codes(name)
+    ascii_part = _ranges([c for c in codes if c < 0x80])
+    rest = _ranges([c for c in codes if c >= 0x80])
+    return f"[{ascii_part}[\\x{{80}}-\\x{{10FFFF}}&&[{rest}]]]"
+
+
+def space_class() -> str:
+    return _fast_class("isspace")
+
+
 def digit_class() -> str:
-    return _char_class(str.isdigit)
+    return _fast_class("isdigit")
 
 
 def words(text: Column | str) -> Column:

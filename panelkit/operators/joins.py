@@ -1,8 +1,8 @@
 """Joins of a large table with one-row-per-key tables.
 
 The one-row side is broadcast only after its size was measured. Beyond the
-bound the join shuffles on (key, salt): a key that holds a third of the rows
-is then spread over ``salts`` tasks.
+bound the join shuffles; keys that hold very many rows of the large side are
+found first, and only these are spread over ``salts`` tasks.
 """
 
 from __future__ import annotations
@@ -15,7 +15,11 @@ from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, Struct
 
 MAX_BROADCAST_ROWS = 100_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 16
+# A key with more rows than this is worth spreading.
+HOT_ROWS = 1_000_000
+HOT_KEYS = 256
+TRACKED_KEYS = 20_000
+SALTS = 64
 
 _WIDE = (ArrayType, BinaryType, MapType, StringType, StructType)
 
@@ -32,24 +36,45 @@ def is_small(
     return (size or 0) <= max_bytes
 
 
+def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> list[int]:
+    """Hashes of the keys with about ``hot_rows`` rows or more.
+
+    A heavy-hitter sketch over the key columns: one pass, merged from small
+    partial sketches, at most ``HOT_KEYS`` results.
+    """
+    sketch = F.call_function(
+        "approx_top_k", F.xxhash64(*on), F.lit(HOT_KEYS), F.lit(TRACKED_KEYS)
+    )
+    found = df.agg(sketch.alias("top")).first()["top"] or []
+    return [r["item"] for r in found if r["count"] >= hot_rows]
+
+
 def lookup_join(
     many: DataFrame,
     one: DataFrame,
     on: Sequence[str],
     how: str = "inner",
+    spread: bool = False,
     max_rows: int = MAX_BROADCAST_ROWS,
+    hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join ``many`` rows with the ``one`` row of their key.
 
     ``how`` is inner, left, left_semi or left_anti. A derived ``one`` should be
-    staged by the caller, as its size is measured before it is used.
+    staged by the caller, as its size is measured before it is used. With
+    ``spread`` no key can have many rows, and none is looked for. A hot key
+    that the sketch misses costs time only; the result is the same.
     """
     on = list(on)
     if is_small(one, max_rows):
         return many.join(F.broadcast(one), on, how)
-    spread = F.pmod(
-        F.xxhash64(*[c for c, t in many.dtypes if not t.startswith("map")]), F.lit(salts)
-    ).cast("int")
-    copies = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return many.withColumn("_salt", spread).join(copies, [*on, "_salt"], how).drop("_salt")
+    hot = [] if spread else hot_keys(many, on, hot_rows)
+    if not hot:
+        return many.join(one, on, how)
+    is_hot = F.xxhash64(*on).isin(hot)
+    row_hash = F.xxhash64(*[c for c, t in many.dtypes if not t.startswith("map")])
+    salt = F.when(is_hot, F.pmod(row_hash, F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
+    copies = one.withColumn("_salt", F.explode(F.when(is_hot, all_salts).otherwise(F.array(F.lit(0)))))
+    return many.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")

@@ -23,16 +23,27 @@ def render_rows(
 ) -> DataFrame:
     """One text per id, its features in the given order.
 
-    The list of features is a table's column list. Styles that show nulls
-    ('raw', 'token') walk the whole list for every id; the others join the
-    filled cells only. See ``cell_text`` for the styles.
+    The list of features is a table's column list. Only places in the list
+    and values are shuffled; styles that show nulls ('raw', 'token') add the
+    places an id has no value for. See ``cell_text`` for the styles.
     """
-    # One cell per (id, feature): the map is as wide as the panel.
-    filled = cells.where(F.col("value").isNotNull() & F.col("feature").isin(*features))
-    entries = F.map_from_entries(F.collect_list(F.struct("feature", "value")))
-    ids = filled.groupBy(key).agg(entries.alias("_cells"))
-    order = F.array(*[F.lit(f) for f in features])
-    parts = F.transform(order, lambda f: tx.cell_text(f, F.col("_cells")[f], style))
+    names = F.array(*[F.lit(f) for f in features])
+    places = cells.sparkSession.range(len(features)).select(
+        F.col("id").cast("int").alias("_place"), F.get(names, F.col("id").cast("int")).alias("feature")
+    )
+    filled = cells.where(F.col("value").isNotNull()).select(key, "feature", "value")
+    placed = lookup_join(filled, places, ["feature"]).select(key, "_place", "value")
+    # One cell per (id, feature): the list is as long as the panel is wide.
+    ids = placed.groupBy(key).agg(F.collect_list(F.struct("_place", "value")).alias("_cells"))
+    shown = F.col("_cells")
+    if style in ("raw", "token"):
+        every = F.sequence(F.lit(0), F.lit(len(features) - 1))
+        absent = F.array_except(every, F.transform("_cells", lambda c: c["_place"]))
+        nothing = F.lit(None).cast("double").alias("value")
+        shown = F.concat(shown, F.transform(absent, lambda p: F.struct(p.alias("_place"), nothing)))
+    parts = F.transform(
+        F.array_sort(shown), lambda c: tx.cell_text(F.get(names, c["_place"]), c["value"], style)
+    )
     return ids.select(key, F.array_join(parts, "").alias("text"))
 
 
@@ -162,6 +173,9 @@ def pack_prompt(
     sized = df.select(order, tx.n_words(text).cast("bigint").alias("n_words")).withColumn(
         "_cost", F.col("n_words") + tx.PROMPT_TAIL_WORDS
     )
+    # Stored first: the range bounds are sampled from it, and the texts need
+    # not be split a second time for that.
+    sized = stage(sized, "prompt_sizes")
     totals = stage(number_ordered(sized, [order], totals={"_upto": "_cost"}), "prompt_totals")
     fails = F.col("_upto") - tx.PROMPT_TAIL_WORDS > budget
     end = totals.where(fails).agg(F.min("row_no").alias("end")).scalar()

@@ -15,7 +15,7 @@ from .registry import query, r6, table
 
 def words_sql(c: str) -> str:
     """SQL text of the word list of a column."""
-    return f"list_filter(string_split_regex({c}, '{tx.space_class()}+'), lambda w: w <> '')"
+    return f"list_filter(string_split_regex({c}, '{tx.flat_class("isspace")}+'), lambda w: w <> '')"
 
 
 GRID_SQL = f"""WITH {t.PANEL_SQL}, feats AS (SELECT DISTINCT feature, ord FROM panel),
@@ -217,7 +217,7 @@ def remaining_work(spark, sf):
     )
 
 
-@query("mask_numbers", f"""SELECT doc_id, regexp_replace(text, '\\*?{tx.digit_class()}+', '*', 'g') AS masked_text FROM documents""")
+@query("mask_numbers", f"""SELECT doc_id, regexp_replace(text, '\\*?{tx.flat_class("isdigit")}+', '*', 'g') AS masked_text FROM documents""")
 def mask_numbers(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.mask_numbers("text").alias("masked_text"))
 
@@ -465,7 +465,7 @@ def float_words(spark, sf):
 
 
 @query("drop_blank_lines", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id, line FROM l WHERE NOT regexp_full_match(line, '{tx.space_class()}*')""")
+SELECT doc_id, line FROM l WHERE NOT regexp_full_match(line, '{tx.flat_class("isspace")}*')""")
 def drop_blank_lines(spark, sf):
     lines = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return files.drop_blank_lines(lines, "line")
