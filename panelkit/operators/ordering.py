@@ -66,9 +66,11 @@ def in_pieces(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Range-partition by ``order`` and keep the piece number as ``_piece``.
 
     Range bounds come from a sample, so the result is staged: every later
-    step sees the same pieces.
+    step sees the same pieces. There are ``spark.sql.shuffle.partitions`` of
+    them.
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in order])
+    pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(pieces, *[F.col(c) for c in order])
     return stage(ranged.withColumn("_piece", F.spark_partition_id()), "ranged")
 
 

@@ -102,7 +102,7 @@ def read_nested_splits(
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header and no index column."""
-    df.write.options(header=True, escape='"', emptyValue='""').csv(path)
+    df.write.options(header=True, escape='"').csv(path)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
