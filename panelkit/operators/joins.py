@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
+from ..sources.staging import stage
+
 MAX_BROADCAST_ROWS = 100_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 # A key with more rows than this is worth spreading.
@@ -78,3 +80,15 @@ def lookup_join(
     all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
     copies = one.withColumn("_salt", F.explode(F.when(is_hot, all_salts).otherwise(F.array(F.lit(0)))))
     return many.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def fan_out(rows: DataFrame, few: DataFrame, on: Sequence[str], name: str = "few") -> DataFrame:
+    """Repeat each row for the few entries of its key, such as one per task.
+
+    The entries of a key are packed into one row first, so that the join has a
+    one-row side; their number must be small by nature.
+    """
+    on = list(on)
+    entry = F.struct(*[c for c in few.columns if c not in on])
+    packed = stage(few.groupBy(*on).agg(F.collect_list(entry).alias("_few")), name)
+    return lookup_join(rows, packed, on).select(*rows.columns, F.inline("_few"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..sources.staging import stage
-from .joins import lookup_join
+from .joins import fan_out, lookup_join
 
 
 def fan_out_labels(labels: DataFrame, rows: DataFrame, key: str, task: str, label: str) -> DataFrame:
@@ -17,13 +17,7 @@ def fan_out_labels(labels: DataFrame, rows: DataFrame, key: str, task: str, labe
     known = labels.where(F.col(label).isNotNull()).select(
         key, task, codes.cast_label(task, label).alias(label)
     )
-    return rows.join(known, key) if _several_per_key(known, key) else lookup_join(rows, known, [key])
-
-
-def _several_per_key(df: DataFrame, key: str) -> bool:
-    """True if some key has more than one row, such as one per task."""
-    repeated = df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-    return not repeated.isEmpty()
+    return fan_out(rows, known, [key], "labels")
 
 
 def attach_by_id(rows: DataFrame, one_per_id: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -43,12 +37,7 @@ def chunk_regression_cells(cells: DataFrame, chunks: DataFrame, residuals: DataF
     stay.
     """
     listed = chunks.select("chunk_index", F.explode("chunk").alias("feature"))
-    packed = stage(
-        listed.groupBy("feature").agg(F.collect_list("chunk_index").alias("_chunks")), "chunk_of"
-    )
-    spread = lookup_join(cells, packed, ["feature"]).select(
-        F.explode("_chunks").alias("chunk_index"), "id", "feature", "value"
-    )
+    spread = fan_out(cells.select("id", "feature", "value"), listed, ["feature"], "chunk_of")
     return lookup_join(spread, residuals.select("id", "diff"), ["id"])
 
 

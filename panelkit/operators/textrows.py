@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.draws import as_column
 from ..sources.staging import stage
-from .joins import lookup_join
+from .joins import fan_out, lookup_join
 from .ordering import number_ordered, number_shuffled, renumber
 
 # The fewest rows of a chunk, the words of a prompt.
@@ -63,17 +63,8 @@ def render_chunks(
     than ``min_rows`` texts are dropped.
     """
     listed = chunks.select("chunk_index", F.posexplode("chunk").alias("_pos", "feature"))
-    # A feature may be in several chunks: pack its places into one row.
-    places = stage(
-        listed.groupBy("feature").agg(
-            F.collect_list(F.struct("chunk_index", "_pos")).alias("_places")
-        ),
-        "places",
-    )
     filled = cells.where(F.col("value").isNotNull()).select(key, "feature", "value")
-    spread = lookup_join(filled, places, ["feature"]).select(
-        key, "feature", "value", F.inline("_places")
-    )
+    spread = fan_out(filled, listed, ["feature"], "places")
     shown = tx.cell_text(F.col("feature"), F.col("value"), style)
     ordered = F.array_sort(F.collect_list(F.struct(F.col("_pos").alias("p"), shown.alias("t"))))
     texts = spread.groupBy("chunk_index", key).agg(
@@ -180,7 +171,9 @@ def pack_prompt(
     fails = F.col("_upto") - tx.PROMPT_TAIL_WORDS > budget
     end = totals.where(fails).agg(F.min("row_no").alias("end")).scalar()
     kept = totals.where(end.isNull() | (F.col("row_no") < end)).select(order, "row_no", "n_words")
-    return kept.join(df.select(order, tx.prompt_text(text, label).alias("prompt")), order)
+    # The kept rows are few by their budget: the texts need not be shuffled.
+    prompts = df.select(order, tx.prompt_text(text, label).alias("prompt"))
+    return lookup_join(prompts, stage(kept, "prompt_rows"), [order], spread=True)
 
 
 def author_frequency(papers: DataFrame, authors: str = "authors_parsed", by: Sequence[str] = ()) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import clean, evaluate, models, panel, report, sampling, textrows, vocab
-from ..operators.joins import lookup_join
+from ..operators.joins import fan_out, lookup_join
 from ..sources.staging import stage
 
 
@@ -41,8 +41,8 @@ def panel_scores(
     have = panel.select_available(chunks, binary.select("feature").distinct())
     texts = textrows.render_chunks(binary, "id", have)
     scores = score(texts).select("chunk_index", "id", "score")
-    wanted = residuals.select("id", "task")
-    grid = evaluate.evaluate_grid(scores.join(wanted, "id"), residuals)
+    by_task = fan_out(scores, residuals.select("id", "task"), ["id"], "tasks")
+    grid = evaluate.evaluate_grid(by_task, residuals)
     return report.attach_chunks(grid, chunks)
 
 

@@ -358,6 +358,14 @@ def outlier_list(spark, sf):
     return out.withColumn("n_outliers", out.agg(F.count("*")).scalar())
 
 
+@query("drop_any_null", f"WITH c AS ({MODE_CUSTOMERS}) SELECT c_custkey, nation FROM c WHERE nation IS NOT NULL AND c_mktsegment <> 'BUILDING'")
+def drop_any_null(spark, sf):
+    rows = _mode_customers(spark, sf).withColumn(
+        "c_mktsegment", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment"))
+    )
+    return clean.drop_any_null(rows).select("c_custkey", "nation")
+
+
 @query("side_by_side", """SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance,
  round(coalesce(CASE WHEN c_acctbal >= 0 THEN c_acctbal END, avg(CASE WHEN c_acctbal >= 0 THEN c_acctbal END) OVER ()), 4) AS balance_imp
 FROM customer""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, codes
 from ..operators import clean, evaluate, labels, models, report, sampling, vectors
-from ..operators.joins import lookup_join
+from ..operators.joins import fan_out, lookup_join
 from ..plans import jobs
 from ..sources import files
 from ..sources.staging import new_path, stage
@@ -122,7 +122,7 @@ def mean_median_r2(spark, sf):
 @query("best_pick", f"""WITH {t.USER_SQL}, r AS (SELECT id, task, event_id, score, diff FROM user_scores JOIN user_residuals USING (id))
 SELECT id, task, score AS best FROM r QUALIFY row_number() OVER (PARTITION BY id, task ORDER BY abs(score - diff), event_id) = 1""")
 def best_pick(spark, sf):
-    rows = t.user_scores(spark, sf).join(t.user_residuals(spark, sf), "id")
+    rows = fan_out(t.user_scores(spark, sf), t.user_residuals(spark, sf).select("id", "task", "diff"), ["id"])
     return evaluate.best_pick(rows, ["id", "task"], "score", "diff", "event_id")
 
 
@@ -470,17 +470,17 @@ def io_roundtrip_csv(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars")
     path = new_path(spark, "csv")
     files.write_csv(docs, path)
-    return files.read_table(spark, path, docs.schema)
+    return files.read_table(spark, path, docs.schema, na_texts=())
 
 
-@query("io_records_indexed", "SELECT conv_id, turn, text, 100 * ((row_number() OVER (ORDER BY conv_id, turn)) // 100) - 1 AS rec_no FROM conversations QUALIFY row_number() OVER (ORDER BY conv_id, turn) % 100 = 0")
+@query("io_records_indexed", "SELECT conv_id, turn, text, row_number() OVER (ORDER BY conv_id, turn) - 1 AS rec_no FROM conversations QUALIFY row_number() OVER (ORDER BY conv_id, turn) % 20 = 0")
 def io_records_indexed(spark, sf):
-    """Every 100th record of a CSV file whose fields span lines."""
+    """Every 20th record of a CSV file whose fields span lines."""
     conv = table(spark, sf, "conversations").select("conv_id", "turn", "text").orderBy("conv_id", "turn")
     path = new_path(spark, "records")
     files.write_csv(conv, path)
-    numbered = files.read_records_indexed(spark, path, conv.schema)
-    return files.systematic(numbered, "rec_no", 100)
+    numbered = files.read_records_indexed(spark, path, conv.schema, na_texts=())
+    return files.systematic(numbered, "rec_no", 20)
 
 
 @query("io_roundtrip_jsonl", "SELECT conv_id, turn, role, text FROM conversations")

@@ -15,13 +15,25 @@ from ..operators.joins import lookup_join
 from .staging import stage
 
 
+# Texts of a CSV field that stand for a missing value.
+NA_TEXTS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+
 def read_table(
-    spark: SparkSession, path: str | Sequence[str], schema: StructType | str | None = None, **options
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: StructType | str | None = None,
+    na_texts: Sequence[str] = NA_TEXTS,
+    **options,
 ) -> DataFrame:
     """Table by suffix: ``.parquet``, else CSV with a header.
 
     A text field may span lines, so CSV is read in multi-line mode unless
     ``multiLine=False`` is given (then large files are split over tasks).
+    NaN, empty fields and the ``na_texts`` become null.
     """
     first = path if isinstance(path, str) else path[0]
     if first.rstrip("/").endswith(".parquet"):
@@ -30,7 +42,14 @@ def read_table(
     opts = {"header": True, "multiLine": True, "escape": '"', "nanValue": "NaN", **options}
     reader = spark.read.options(**opts)
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    return reader.csv(path if isinstance(path, str) else list(path))
+    table = reader.csv(path if isinstance(path, str) else list(path))
+    cleaned = {}
+    for name, kind in table.dtypes:
+        if kind == "string" and na_texts:
+            cleaned[name] = F.when(~F.col(name).isin(*na_texts), F.col(name))
+        elif kind in ("double", "float"):
+            cleaned[name] = F.when(~F.isnan(name), F.col(name))
+    return table.withColumns(cleaned) if cleaned else table
 
 
 def read_prefix(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
@@ -59,7 +78,7 @@ def read_records_indexed(
     """CSV records with their 0-based position over all files in path order."""
     records = read_table(spark, path, schema, **options)
     return _number_records(
-        records.select("*", "_metadata.file_path", "_metadata.file_block_start"), out
+        records.select("*", F.col("_metadata.file_path"), F.col("_metadata.file_block_start")), out
     )
 
 

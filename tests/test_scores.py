@@ -192,10 +192,15 @@ def test_systematic_counts_records_not_lines(spark, tmp_path):
     assert got == [99, 199]
 
 
-def test_csv_roundtrip_keeps_nulls_and_empties(spark, tmp_path):
-    df = spark.createDataFrame([(1, 'a "q", b\nc'), (2, ""), (3, None)], "i long, t string")
+def test_csv_roundtrip(spark, tmp_path):
+    rows = [(1, 'a "q", b\nc', 0.5), (2, "", None), (3, None, float("nan")), (4, "NA", 1.0)]
+    df = spark.createDataFrame(rows, "i long, t string, v double")
     files.write_csv(df, str(tmp_path / "out"))
-    assert sorted(files.read_table(spark, str(tmp_path / "out"), df.schema).collect()) == sorted(df.collect())
+    got = files.read_table(spark, str(tmp_path / "out"), df.schema).orderBy("i").collect()
+    assert [tuple(r) for r in got] == [(1, 'a "q", b\nc', 0.5), (2, None, None), (3, None, None), (4, None, 1.0)]
+    inferred = files.read_table(spark, str(tmp_path / "out"), na_texts=())
+    assert dict(inferred.dtypes)["v"] == "double"
+    assert [r.t for r in inferred.where("i = 4").collect()] == ["NA"]
 
 
 def test_collect_results_strict_and_lenient(spark, tmp_path):
