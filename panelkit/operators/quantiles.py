@@ -39,12 +39,11 @@ def rank_steps(
     lows = [max(0.0, s - margin) for s in shares]
     highs = [min(1.0, s + margin) for s in shares]
     k = len(shares)
-    rows = df.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).cast("double").alias("_v")
-    )
-    if not keys:
-        keys = ["_all"]
-        rows = rows.withColumn("_all", F.lit(0))
+    whole = not keys
+    keys = list(keys) or ["_all"]
+    known = df.where(F.col(value).isNotNull())
+    known = known.withColumn("_all", F.lit(0)) if whole else known
+    rows = known.select(*keys, F.col(value).cast("double").alias("_v"))
     sketch = rows.groupBy(*keys).agg(
         F.count("*").alias("n_total"),
         F.min("_v").alias("_min"),
@@ -58,7 +57,12 @@ def rank_steps(
         *[F.when(small, F.col("_min")).otherwise(F.col("_cuts")[i]).alias(f"_lo{i}") for i in range(k)],
         *[F.when(small, F.col("_max")).otherwise(F.col("_cuts")[k + i]).alias(f"_hi{i}") for i in range(k)],
     )
-    joined = lookup_join(rows, stage(brackets, "brackets"), keys)
+    stored = stage(brackets, "brackets")
+    if whole:  # one row of brackets
+        one = stored.drop("_all").select(F.struct("*")).scalar()
+        joined = rows.withColumn("_b", one).select("_all", "_v", "_b.*")
+    else:
+        joined = lookup_join(rows, stored, keys)
     inside = F.lit(False)
     for i in range(k):
         inside = inside | F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
