@@ -242,32 +242,34 @@ def centroid_dispersion(spark, sf):
     return out.select("label", "n_rows", r6("dispersion", "dispersion"))
 
 
-def draws_sql(source: str, m: str, n: int, keys: str) -> str:
-    """CTEs ``pick``: n distinct positions below ``m`` for each row of ``source``.
+def draws_sql(source: str, m: str, n: int, keys: str, out: str) -> str:
+    """CTEs ``out``: n distinct positions below ``m`` for each row of ``source``.
 
     Below 4n positions all are ordered by hash, else draws are taken in turn.
     """
-    return f"""few AS (SELECT *, unnest(range({m})) AS pos FROM {source} WHERE {m} < {4 * n}),
-few_r AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY md5(concat_ws(':', '5', kind, {keys}, pos))) AS rn FROM few),
-many AS (SELECT *, unnest(range({2 * n + 64})) AS j FROM {source} WHERE {m} >= {4 * n}),
-many_p AS (SELECT *, ('0x' || substr(md5(concat_ws(':', '5', kind, {keys}, j)), 1, 12))::BIGINT % {m} AS pos FROM many),
-many_f AS (SELECT {keys}, pos, min(j) AS j FROM many_p GROUP BY ALL),
-many_r AS (SELECT {keys}, pos, row_number() OVER (PARTITION BY {keys} ORDER BY j) AS rn FROM many_f),
-pick AS (SELECT {keys}, pos FROM few_r WHERE rn <= {n} UNION ALL SELECT {keys}, pos FROM many_r WHERE rn <= {n})"""
+    return f"""{out}_few AS (SELECT *, unnest(range({m})) AS pos FROM {source} WHERE {m} < {4 * n}),
+{out}_few_r AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY md5(concat_ws(':', '5', kind, {keys}, pos))) AS rn FROM {out}_few),
+{out}_many AS (SELECT *, unnest(range({2 * n + 64})) AS j FROM {source} WHERE {m} >= {4 * n}),
+{out}_many_p AS (SELECT *, ('0x' || substr(md5(concat_ws(':', '5', kind, {keys}, j)), 1, 12))::BIGINT % {m} AS pos FROM {out}_many),
+{out}_many_f AS (SELECT {keys}, pos, min(j) AS j FROM {out}_many_p GROUP BY ALL),
+{out}_many_r AS (SELECT {keys}, pos, row_number() OVER (PARTITION BY {keys} ORDER BY j) AS rn FROM {out}_many_f),
+{out} AS (SELECT {keys}, pos FROM {out}_few_r WHERE rn <= {n} UNION ALL SELECT {keys}, pos FROM {out}_many_r WHERE rn <= {n})"""
 
 
 N_SAME, REPEATS, N_MIXED = 10, 20, 5
 NUMBERED = """nr AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM embeddings),
 sz AS (SELECT label, count(*) AS m FROM embeddings GROUP BY label)"""
-SAME_SQL = f"""WITH {NUMBERED}, src AS (SELECT 'same' AS kind, label, m, unnest(range(1, {REPEATS + 1})) AS repeat FROM sz),
-{draws_sql('src', 'm', N_SAME, 'label, repeat')},
-same AS (SELECT label, repeat, vec_id FROM pick JOIN nr USING (label, pos))"""
-MIXED_SQL = f"""WITH {NUMBERED}, idn AS (SELECT label, m, row_number() OVER (ORDER BY label) - 1 AS id_no FROM sz),
-src AS (SELECT 'mixed' AS kind, (SELECT count(*) FROM sz) AS m, id_no * {REPEATS} + r AS sample_no FROM idn, (SELECT unnest(range(1, {REPEATS + 1})) AS r)),
-{draws_sql('src', 'm', N_MIXED, 'sample_no')},
+SAME_CTES = f"""same_src AS (SELECT 'same' AS kind, label, m, unnest(range(1, {REPEATS + 1})) AS repeat FROM sz),
+{draws_sql('same_src', 'm', N_SAME, 'label, repeat', 'same_pick')},
+same AS (SELECT label, repeat, vec_id FROM same_pick JOIN nr USING (label, pos))"""
+MIXED_CTES = f"""idn AS (SELECT label, m, row_number() OVER (ORDER BY label) - 1 AS id_no FROM sz),
+mixed_src AS (SELECT 'mixed' AS kind, (SELECT count(*) FROM sz) AS m, id_no * {REPEATS} + r AS sample_no FROM idn, (SELECT unnest(range(1, {REPEATS + 1})) AS r)),
+{draws_sql('mixed_src', 'm', N_MIXED, 'sample_no', 'mixed_pick')},
 placed AS (SELECT sample_no, label, ('0x' || substr(md5(concat_ws(':', '5', 'row', sample_no, label)), 1, 12))::BIGINT % m AS pos
-           FROM pick JOIN idn ON id_no = pick.pos),
+           FROM mixed_pick JOIN idn ON id_no = mixed_pick.pos),
 mixed AS (SELECT sample_no, label, vec_id FROM placed JOIN nr USING (label, pos))"""
+SAME_SQL = f"WITH {NUMBERED}, {SAME_CTES}"
+MIXED_SQL = f"WITH {NUMBERED}, {MIXED_CTES}"
 
 
 @query("same_id_samples", SAME_SQL + " SELECT label, repeat, vec_id FROM same")
@@ -281,11 +283,13 @@ def mixed_id_samples(spark, sf):
 
 
 def _dispersion_sql(samples: str, keys: str) -> str:
-    return f"""v AS (SELECT {keys}, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d
+    """CTEs down to ``<samples>_disp`` (keys, n_rows, dispersion)."""
+    p = samples
+    return f"""{p}_v AS (SELECT {keys}, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d
   FROM (SELECT {keys}, vec_id FROM {samples}) JOIN (SELECT vec_id, embedding FROM embeddings) USING (vec_id)),
-c AS (SELECT {keys}, d, avg(x) AS m FROM v GROUP BY ALL),
-n AS (SELECT {keys}, vec_id, sqrt(sum((x - m) * (x - m))) AS dist FROM v JOIN c USING ({keys}, d) GROUP BY ALL),
-disp AS (SELECT {keys}, count(*) AS n_rows, avg(dist) AS dispersion FROM n GROUP BY ALL)"""
+{p}_c AS (SELECT {keys}, d, avg(x) AS m FROM {p}_v GROUP BY ALL),
+{p}_n AS (SELECT {keys}, vec_id, sqrt(sum((x - m) * (x - m))) AS dist FROM {p}_v JOIN {p}_c USING ({keys}, d) GROUP BY ALL),
+{p}_disp AS (SELECT {keys}, count(*) AS n_rows, avg(dist) AS dispersion FROM {p}_n GROUP BY ALL)"""
 
 
 def _dispersions(spark, sf, kind: str):
@@ -298,30 +302,35 @@ def _dispersions(spark, sf, kind: str):
 
 
 @query("same_dispersion", SAME_SQL + ", " + _dispersion_sql("same", "label, repeat") + """
-SELECT label, repeat, n_rows, round(dispersion, 6) AS dispersion FROM disp""")
+SELECT label, repeat, n_rows, round(dispersion, 6) AS dispersion FROM same_disp""")
 def same_dispersion(spark, sf):
     return _dispersions(spark, sf, "same").withColumn("dispersion", F.round("dispersion", 6))
 
 
 @query("mixed_dispersion", MIXED_SQL + ", " + _dispersion_sql("mixed", "sample_no") + """
-SELECT sample_no, n_rows, round(dispersion, 6) AS dispersion FROM disp""")
+SELECT sample_no, n_rows, round(dispersion, 6) AS dispersion FROM mixed_disp""")
 def mixed_dispersion(spark, sf):
     return _dispersions(spark, sf, "mixed").withColumn("dispersion", F.round("dispersion", 6))
 
 
 @query("dispersion_histogram", SAME_SQL + ", " + _dispersion_sql("same", "label, repeat") + """
 SELECT CAST(floor(dispersion / 0.02) AS BIGINT) AS bin, count(*) AS n, round(CAST(floor(dispersion / 0.02) AS BIGINT) * 0.02::DOUBLE, 6) AS bin_start
-FROM disp GROUP BY ALL""")
+FROM same_disp GROUP BY ALL""")
 def dispersion_histogram(spark, sf):
     out = vectors.histogram(_dispersions(spark, sf, "same"), "dispersion", 0.02)
     return out.withColumn("bin_start", F.round("bin_start", 6))
 
 
-@query("same_vs_mixed")
+@query("same_vs_mixed", SAME_SQL + ", " + MIXED_CTES + ", " + _dispersion_sql("same", "label, repeat") + ", "
+       + _dispersion_sql("mixed", "sample_no") + """,
+both_kinds AS (SELECT 'same' AS kind, dispersion AS x FROM same_disp UNION ALL SELECT 'mixed', dispersion FROM mixed_disp)
+SELECT kind, round(min(x), 6) AS min, round(median(x), 6) AS median, round(max(x), 6) AS max, round(avg(x), 6) AS mean,
+  round(stddev_pop(x), 6) AS std_pop FROM both_kinds GROUP BY kind""")
 def same_vs_mixed(spark, sf):
     parts = {k: _dispersions(spark, sf, k).select("dispersion") for k in ("same", "mixed")}
     both = stage(report.stack_results(parts, "kind"), "dispersions")
-    return evaluate.five_number(both, ["kind"], "dispersion")
+    out = evaluate.five_number(both, ["kind"], "dispersion")
+    return out.select("kind", *[r6(c, c) for c in ("min", "median", "max", "mean", "std_pop")])
 
 
 @query("mean_pool", """WITH k AS (SELECT label, unnest(range(1, 9)) AS d, embedding FROM embeddings),
@@ -411,7 +420,14 @@ def _gappy(spark, sf):
     )
 
 
-@query("impute_pmm")
+@query("impute_pmm", """WITH c AS (SELECT c_custkey, length(c_mktsegment)::DOUBLE AS size, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance FROM customer),
+f AS (SELECT regr_slope(balance, size) AS b, regr_intercept(balance, size) AS a FROM c),
+p AS (SELECT c.*, a + b * size AS pred FROM c, f),
+w AS (SELECT *, last_value(balance IGNORE NULLS) OVER lo AS lv, last_value(CASE WHEN balance IS NOT NULL THEN pred END IGNORE NULLS) OVER lo AS lp,
+             first_value(balance IGNORE NULLS) OVER hi AS uv, first_value(CASE WHEN balance IS NOT NULL THEN pred END IGNORE NULLS) OVER hi AS up
+      FROM p WINDOW lo AS (ORDER BY pred, c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                    hi AS (ORDER BY pred, c_custkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT c_custkey, coalesce(balance, CASE WHEN up IS NULL OR (lp IS NOT NULL AND pred - lp <= up - pred) THEN lv ELSE uv END) AS balance FROM w""")
 def impute_pmm(spark, sf):
     filled = models.impute_pmm(_gappy(spark, sf).drop("grp"), "c_custkey", "balance", ["size"])
     return filled.select("c_custkey", "balance")

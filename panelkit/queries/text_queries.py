@@ -67,17 +67,22 @@ def render_chunks(spark, sf):
     return textrows.render_chunks(panel, "id", chunks, "comma", min_rows=1000)
 
 
-@query("feature_subsets", f"""WITH {t.PANEL_SQL}, f AS (
+def subsets_sql(n_samples: int) -> str:
+    """CTEs down to ``rows`` (id, sample_no, text)."""
+    return f"""WITH {t.PANEL_SQL}, f AS (
   SELECT *, feature LIKE 'cm%' OR feature LIKE 'cf%' AS con FROM panel WHERE value >= 0),
 n AS (SELECT id, count(*) FILTER (con) AS nc, count(*) FILTER (NOT con) AS nr FROM f GROUP BY id),
-s AS (SELECT id, nc, nr, unnest([1, 2, 3]) AS sample_no FROM n),
+s AS (SELECT id, nc, nr, unnest(range(1, {n_samples + 1})) AS sample_no FROM n),
 z AS (SELECT *, 4 + ('0x' || substr(md5(concat_ws(':', '7', 'size', id, sample_no)), 1, 12))::BIGINT % 6 AS size FROM s),
 k AS (SELECT *, least(CAST(ceil(size / 3) AS BIGINT), nc) AS kc FROM z),
 r AS (SELECT k.id, k.sample_no, f.feature, f.ord, f.value, con, kc, least(size - kc, nr) AS kr,
              row_number() OVER (PARTITION BY k.id, k.sample_no, con ORDER BY md5(concat_ws(':', '7', k.id, k.sample_no, feature))) AS rn
-      FROM k JOIN f USING (id))
-SELECT id, sample_no, string_agg(concat(feature, ' ', CAST(trunc(value) AS BIGINT), ' '), '' ORDER BY ord) AS text
-FROM r WHERE rn <= CASE WHEN con THEN kc ELSE kr END GROUP BY 1, 2""")
+      FROM k JOIN f USING (id)),
+rows AS (SELECT id, sample_no, string_agg(concat(feature, ' ', CAST(trunc(value) AS BIGINT), ' '), '' ORDER BY ord) AS text
+         FROM r WHERE rn <= CASE WHEN con THEN kc ELSE kr END GROUP BY 1, 2)"""
+
+
+@query("feature_subsets", subsets_sql(3) + " SELECT id, sample_no, text FROM rows")
 def feature_subsets(spark, sf):
     return jobs.sampled_corpus(t.panel(spark, sf), "id", 3, 4, 9, seed=7)
 
@@ -367,15 +372,35 @@ def author_freq_by_source(spark, sf):
 
 VOCAB_SIZE = 200
 MAX_LENGTH = 24
-VOCAB_SQL = TOKEN_SQL + f""", tok AS (
-  SELECT id, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS token,
+
+
+def encode_sql(keys: str) -> str:
+    """CTEs from ``rows`` (keys, text) to ``coded`` (keys, input_ids)."""
+    return f"""tok AS (
+  SELECT {keys}, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS token,
          generate_subscripts(list_filter(string_split(text, ' '), lambda x: x <> ''), 1) AS pos FROM rows),
 cnt AS (SELECT token, count(*) AS n FROM tok GROUP BY token),
 vocab AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 4 AS vid FROM cnt
           QUALIFY row_number() OVER (ORDER BY n DESC, token) <= {VOCAB_SIZE - 5}),
-enc AS (SELECT id, list(coalesce(vid, 0) ORDER BY pos) AS body FROM tok LEFT JOIN vocab USING (token)
-        WHERE pos <= {MAX_LENGTH - 2} GROUP BY id),
-coded AS (SELECT id, list_concat([2], body, [3], list_transform(range({MAX_LENGTH - 2} - len(body)), lambda x: 1)) AS input_ids FROM enc)"""
+enc AS (SELECT {keys}, list(coalesce(vid, 0) ORDER BY pos) AS body FROM tok LEFT JOIN vocab USING (token)
+        WHERE pos <= {MAX_LENGTH - 2} GROUP BY {keys}),
+coded AS (SELECT {keys}, list_concat([2], body, [3], list_transform(range({MAX_LENGTH - 2} - len(body)), lambda x: 1)) AS input_ids FROM enc)"""
+
+
+def mask_sql(keys: str, seed: str) -> str:
+    """CTEs from ``coded`` to ``masked`` (keys, input_ids, labels as text)."""
+    return f"""x AS (
+  SELECT {keys}, unnest(input_ids) AS tid, generate_subscripts(input_ids, 1) - 1 AS i FROM coded),
+h AS (SELECT *, tid NOT IN (1, 2, 3) AND {_below(seed, f"'pick', {keys}, i", 0.15)} AS chosen,
+             substr(md5(concat_ws(':', '{seed}', 'fate', {keys}, i)), 1, 8) AS fate,
+             ('0x' || substr(md5(concat_ws(':', '{seed}', 'token', {keys}, i)), 1, 12))::BIGINT % {VOCAB_SIZE} AS other FROM x),
+masked AS (SELECT {keys}, string_agg(CAST(CASE WHEN NOT chosen THEN tid WHEN fate < '{share_limit(0.8)}' THEN 4
+                           WHEN fate < '{share_limit(0.9)}' THEN other ELSE tid END AS VARCHAR), ' ' ORDER BY i) AS input_ids,
+       string_agg(CAST(CASE WHEN chosen THEN tid ELSE -100 END AS VARCHAR), ' ' ORDER BY i) AS labels
+FROM h GROUP BY {keys})"""
+
+
+VOCAB_SQL = TOKEN_SQL + ", " + encode_sql("id")
 
 
 def _texts(spark, sf):
@@ -413,15 +438,7 @@ def encode_fixed(spark, sf):
     return enc.select("id", *[_joined(c) for c in ("input_ids", "attention_mask", "special_tokens_mask")])
 
 
-@query("mlm_mask", VOCAB_SQL + f""", x AS (
-  SELECT id, unnest(input_ids) AS tid, generate_subscripts(input_ids, 1) - 1 AS i FROM coded),
-h AS (SELECT *, tid NOT IN (1, 2, 3) AND {_below('9', "'pick', id, i", 0.15)} AS chosen,
-             substr(md5(concat_ws(':', '9', 'fate', id, i)), 1, 8) AS fate,
-             ('0x' || substr(md5(concat_ws(':', '9', 'token', id, i)), 1, 12))::BIGINT % {VOCAB_SIZE} AS other FROM x)
-SELECT id, string_agg(CAST(CASE WHEN NOT chosen THEN tid WHEN fate < '{share_limit(0.8)}' THEN 4
-                           WHEN fate < '{share_limit(0.9)}' THEN other ELSE tid END AS VARCHAR), ' ' ORDER BY i) AS input_ids,
-       string_agg(CAST(CASE WHEN chosen THEN tid ELSE -100 END AS VARCHAR), ' ' ORDER BY i) AS labels
-FROM h GROUP BY id""")
+@query("mlm_mask", VOCAB_SQL + ", " + mask_sql("id", "9") + " SELECT id, input_ids, labels FROM masked")
 def mlm_mask(spark, sf):
     texts = _texts(spark, sf)
     enc = vocab.encode(texts, ["id"], _vocab(texts), MAX_LENGTH)
@@ -471,7 +488,9 @@ def drop_blank_lines(spark, sf):
     return files.drop_blank_lines(lines, "line")
 
 
-@query("corpus_encoding")
+@query("corpus_encoding", subsets_sql(2) + ", " + encode_sql("id, sample_no") + ", " + mask_sql("id, sample_no", "0") + f"""
+SELECT id, sample_no, input_ids, labels, CASE WHEN {_below('0', 'id', 0.05)} THEN 'test' ELSE 'train' END AS split FROM masked""")
 def corpus_encoding(spark, sf):
     texts = stage(jobs.sampled_corpus(t.panel(spark, sf), "id", 2, 4, 9, seed=7), "corpus")
-    return jobs.encoded_corpus(texts, ["id", "sample_no"], VOCAB_SIZE, MAX_LENGTH, 0.05, ["id"])
+    out = jobs.encoded_corpus(texts, ["id", "sample_no"], VOCAB_SIZE, MAX_LENGTH, 0.05, ["id"])
+    return out.select("id", "sample_no", _joined("input_ids"), _joined("labels"), "split")
