@@ -146,7 +146,11 @@ def feature_subsets(
     """
     cell = F.struct("ord", "feature", "value")
     constructed = is_constructed("feature")
-    ids = cells.where(F.col("value").isNotNull() & (F.col("value") >= 0)).groupBy(key).agg(
+    # A small shuffle grows into many samples per id: a stated number of
+    # partitions keeps adaptive execution from packing the ids into few tasks.
+    pieces = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filled = cells.where(F.col("value").isNotNull() & (F.col("value") >= 0)).repartition(pieces, key)
+    ids = filled.groupBy(key).agg(
         F.collect_list(F.when(constructed, cell)).alias("_constructed"),
         F.collect_list(F.when(~constructed, cell)).alias("_raw"),
     )
