@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import substring_dedup, suffix_dedup
+from . import minhash_forest, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,3 +36,8 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), digest(F.col("kept")).alias("kept_sha256"))
+
+
+@query
+def op5_minhash_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash_forest.near_duplicates(table(spark, sf, "documents"), width=2)

@@ -41,3 +41,30 @@ def byte_repeats(texts, window=50):
         spans = sum(x and not y for x, y in zip(f, [False, *f]))
         out[d] = (len(v), sum(f), spans, sha(bytes(b for b, x in zip(v, f) if not x)))
     return out
+
+
+def shingles(text, k):
+    w = WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    if not w:
+        return frozenset()
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) or frozenset([tuple(w)])
+
+
+def near_duplicates(texts, k):
+    """{id: (shingles, component, kept)} with all pairs compared."""
+    sets = {d: shingles(t, k) for d, t in texts}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: (len(s), find(d), find(d) == d) for d, s in sets.items()}
