@@ -2,3 +2,9 @@
 
 Nothing else in the library imports this subpackage.
 """
+
+import panelkit
+from pyspark import cloudpickle
+
+# Functions travel to the executors whole; the library need not be installed there.
+cloudpickle.register_pickle_by_value(panelkit)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash_forest, substring_dedup, suffix_dedup
+from . import bpe, license_scan, minhash_forest, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,3 +42,22 @@ def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op5_minhash_forest(spark: SparkSession, sf: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, sf, "documents"), width=2)
+
+
+@query
+def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = bpe.encode(table(spark, sf, "documents"), path, public_tokenizers.PATTERN)
+    out = bpe.decode(ids, path)
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(joined).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    out = license_scan.scan(table(spark, sf, "documents"))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return out.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").alias("first_word"),
+        F.array_max("places").alias("last_word"), joined("base_labels"), joined("labels"), "score",
+    )

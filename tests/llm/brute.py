@@ -68,3 +68,14 @@ def near_duplicates(texts, k):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {d: (len(s), find(d), find(d) == d) for d, s in sets.items()}
+
+
+def licences(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    labels = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    places = []
+    for phrase, label in labels.items():
+        p = phrase.split()
+        places += [(i, label) for i in range(len(words)) if words[i : i + len(p)] == p]
+    at = [i for i, _ in places]
+    return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
