@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, minhash_forest, substring_dedup, suffix_dedup
+from . import (
+    bpe,
+    license_scan,
+    minhash_forest,
+    quality_rules,
+    secret_scan,
+    sharding,
+    substring_dedup,
+    suffix_dedup,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,3 +70,52 @@ def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").alias("first_word"),
         F.array_max("places").alias("last_word"), joined("base_labels"), joined("labels"), "score",
     )
+
+
+@query
+def op9_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    out = secret_scan.scan(table(spark, sf, "documents").select("doc_id", "text"))
+    of = lambda k: F.size(F.filter("secrets", lambda x: x["k"] == k)).cast("long")
+    base = F.filter("secrets", lambda x: x["k"] < 3)
+    return out.select(
+        "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
+        digest(secret_scan.listed(base)).alias("base_sha256"), secret_scan.listed(F.col("secrets")).alias("spans"),
+    )
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    out = quality_rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+SHARDS = [f"shard-{i:02d}" for i in range(16)]
+
+
+@query
+def op4_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.place(table(spark, sf, "documents").select("doc_id"), ["doc_id"], SHARDS).select("doc_id", "slot", "shard")
+
+
+_names = "[" + ", ".join(f"'{s}'" for s in SHARDS) + "]"
+_number = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+_slots, _shards = sharding.SLOTS, len(SHARDS)
+SQL["op4_sharding"] = f"""
+WITH RECURSIVE walk AS (
+  SELECT list_transform({_names}, s -> {_number.format("s || ':offset'")} % {_slots}) AS start,
+         list_transform({_names}, s -> {_number.format("s || ':skip'")} % ({_slots} - 1) + 1) AS skip
+), fill AS (
+  SELECT 0 AS turn, list_transform(range({_slots}), x -> -1) AS taken
+  UNION ALL
+  SELECT turn + 1, list_concat(list_concat(taken[1:slot], [(turn % {_shards})::INTEGER]), taken[slot + 2:])
+  FROM (
+    SELECT turn, taken, list_filter(list_transform(range({_slots}), j -> (start[turn % {_shards} + 1] + j * skip[turn % {_shards} + 1]) % {_slots}),
+                                    x -> taken[x + 1] = -1)[1] AS slot
+    FROM fill, walk WHERE turn < {_slots}
+  )
+), filled AS (
+  SELECT unnest(range({_slots})) AS slot, unnest(taken) AS owner FROM fill WHERE turn = {_slots}
+)
+SELECT doc_id, slot::INTEGER AS slot, ({_names})[owner + 1] AS shard
+FROM (SELECT doc_id, {_number.format("doc_id::VARCHAR")} % {_slots} AS slot FROM documents) JOIN filled USING (slot)
+"""

@@ -79,3 +79,33 @@ def licences(text):
         places += [(i, label) for i in range(len(words)) if words[i : i + len(p)] == p]
     at = [i for i, _ in places]
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
+
+
+ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("((?:", "((?ai:"))
+
+
+def secrets(text):
+    text = text or ""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    n = [sum(k == x for _, k, _ in found) for x in range(3)]
+    names = ("assign", "access", "hex")
+    return *n, sha(",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(found)))
+
+
+def text_statistics(text):
+    text = text or ""
+    words = WORD.findall(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    runs = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    count = {}
+    for r in runs:
+        count[r] = count.get(r, 0) + 1
+    covered = {i + j for i, r in enumerate(runs) if count[r] > 1 for j in range(5)}
+    failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
+    return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(covered), failed
