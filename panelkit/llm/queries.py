@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from . import (
     bpe,
+    decontamination,
     license_scan,
     minhash_forest,
+    quality_classifier,
     quality_rules,
     secret_scan,
     sharding,
@@ -102,15 +104,15 @@ _number = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 _slots, _shards = sharding.SLOTS, len(SHARDS)
 SQL["op4_sharding"] = f"""
 WITH RECURSIVE walk AS (
-  SELECT list_transform({_names}, s -> {_number.format("s || ':offset'")} % {_slots}) AS start,
-         list_transform({_names}, s -> {_number.format("s || ':skip'")} % ({_slots} - 1) + 1) AS skip
+  SELECT list_transform({_names}, lambda s: {_number.format("s || ':offset'")} % {_slots}) AS start,
+         list_transform({_names}, lambda s: {_number.format("s || ':skip'")} % ({_slots} - 1) + 1) AS skip
 ), fill AS (
-  SELECT 0 AS turn, list_transform(range({_slots}), x -> -1) AS taken
+  SELECT 0 AS turn, list_transform(range({_slots}), lambda x: -1) AS taken
   UNION ALL
   SELECT turn + 1, list_concat(list_concat(taken[1:slot], [(turn % {_shards})::INTEGER]), taken[slot + 2:])
   FROM (
-    SELECT turn, taken, list_filter(list_transform(range({_slots}), j -> (start[turn % {_shards} + 1] + j * skip[turn % {_shards} + 1]) % {_slots}),
-                                    x -> taken[x + 1] = -1)[1] AS slot
+    SELECT turn, taken, list_filter(list_transform(range({_slots}), lambda j: (start[turn % {_shards} + 1] + j * skip[turn % {_shards} + 1]) % {_slots}),
+                                    lambda x: taken[x + 1] = -1)[1] AS slot
     FROM fill, walk WHERE turn < {_slots}
   )
 ), filled AS (
@@ -119,3 +121,13 @@ WITH RECURSIVE walk AS (
 SELECT doc_id, slot::INTEGER AS slot, ({_names})[owner + 1] AS shard
 FROM (SELECT doc_id, {_number.format("doc_id::VARCHAR")} % {_slots} AS slot FROM documents) JOIN filled USING (slot)
 """
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

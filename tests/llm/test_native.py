@@ -26,7 +26,7 @@ def test_secrets(spark, write, corpus):
     for d, t in enumerate(texts):
         assert out[d][:4] == brute.secrets(t), t
     at = len(corpus)
-    assert out[at + 5][4] == "entropy:4:29" and out[at + 6][4] == ""
+    assert out[at + 5][4] == "entropy:4:28" and out[at + 6][4] == ""
 
 
 def test_entropy_of_every_window(spark):
