@@ -3,12 +3,14 @@
 Every document has one signature of ``TREES * DEPTH`` minima. A tree sorts the
 documents by the signature read from its own place on; documents whose longest
 common prefix reaches ``DEPTH`` share a region of that tree. Candidates come in
-two steps:
+three steps:
 
 1. next neighbours in the sorted order of the first trees, the longest common
    prefixes around a document; a region with many rows goes deeper before it is
    sorted. Confirmed neighbours give first components.
-2. all pairs that share a region of any tree and are not in one component yet.
+2. next neighbours in all trees, among documents that can still be similar to
+   another: a set whose shingles are mostly its own cannot.
+3. all pairs that share a region of any tree and are not in one component yet.
    Copies of one text have met by then, so a large group costs its stragglers
    times its size, not its square.
 
@@ -92,15 +94,14 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     s1 = np.add.reduceat(grams.mix(hashes ^ _SHIFTS[0]), starts)
                     s2 = np.add.reduceat(grams.mix(hashes ^ _SHIFTS[1]), starts)
                 regions = np.zeros((len(full), TREES), np.uint64)
-                below = np.zeros((len(full), FIRST_TREES), np.uint64)
+                below = np.zeros((len(full), TREES), np.uint64)
                 for t in range(TREES):
                     key = np.full(len(full), t + 1, np.uint64)
                     for j in range(DEPTH):
                         key = grams.mix(key * np.uint64(31) + minima[:, t * DEPTH + j])
                     regions[:, t] = key
-                    if t < FIRST_TREES:
-                        for j in range(BELOW):
-                            below[:, t] = below[:, t] << np.uint64(16) | minima[:, (t + 1) * DEPTH + j] >> np.uint64(48)
+                    for j in range(BELOW):
+                        below[:, t] = below[:, t] << np.uint64(16) | minima[:, ((t + 1) * DEPTH + j) % (TREES * DEPTH)] >> np.uint64(48)
                 packed = np.packbits(bits, axis=1).view(np.uint64).reshape(len(full), 2)
                 total = piece.last - piece.first
                 spread = lambda x: pa.array(_at(x, full, total), mask=n == 0)
@@ -167,15 +168,59 @@ def neighbours(rows: DataFrame, percent: int, region_rows: int) -> DataFrame:
     return out.where(_close("", "o_", percent)).select(F.greatest("doc", "o_doc").alias("a"), F.least("doc", "o_doc").alias("b")).distinct()
 
 
-def across(rows: DataFrame, first: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a region and lie in different components."""
-    rows = rows.join(first.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")).drop("below")
+def still_open(rows: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """Rows of regions that hold several components, with the component of each row."""
+    rows = rows.drop("component").join(known.withColumnRenamed("node", "doc"), "doc", "left")
+    rows = rows.withColumn("component", F.coalesce("component", "doc"))
     open = rows.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("region")
-    rows = stage(rows.join(open, "region"), "open")
-    left = rows.select("region", *(F.col(c).alias(f"l_{c}") for c in ("doc", "n", "k1", "k2", "component")))
-    right = rows.select("region", *(F.col(c).alias(f"r_{c}") for c in ("doc", "n", "k1", "k2", "component")))
-    pairs = left.join(right, (left.region == right.region) & (F.col("l_component") < F.col("r_component")) & _close("l_", "r_", percent))
-    return pairs.select(F.greatest("l_doc", "r_doc").alias("a"), F.least("l_doc", "r_doc").alias("b")).distinct()
+    return stage(rows.join(open, "region"), name)
+
+
+def common_sizes(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """For each document of ``rows``, how many of its shingles any other of them holds: the most it can share."""
+    docs = rows.select("doc").distinct()
+    single = sets.join(docs, "doc", "left_semi").select("doc", F.explode("members").alias("m"))
+    single = single.groupBy("m").agg(F.count("*").alias("docs"), F.min("doc").alias("doc")).where("docs = 1")
+    own = single.groupBy("doc").agg(F.count("*").alias("own"))
+    return docs.join(own, "doc", "left").select("doc", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def across(rows: DataFrame, regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share a region and lie in different components, each from its first common tree.
+
+    A pair is compared inside the join and leaves it only if its sets, cut to
+    32 bits a shingle, come within one percent of the bound. The cut can lose
+    no shingle in common but two that fall together, hence the slack.
+    """
+    short = F.expr("transform(members, x -> cast((x & 4294967295L) - 2147483648L AS int))")
+    rows = rows.join(regions, "doc").join(sets.select("doc", short.alias("short")), "doc")
+    names = ("doc", "n", "k1", "k2", "component", "common", "tree", "regions", "short")
+    left = rows.select("region", *(F.col(c).alias(f"l_{c}") for c in names))
+    right = rows.select("region", *(F.col(c).alias(f"r_{c}") for c in names))
+    most = F.least("l_common", "r_common")
+    both = F.size(F.array_intersect("l_short", "r_short"))
+    earlier = F.arrays_zip(F.slice("l_regions", 1, F.col("l_tree")).alias("l"), F.slice("r_regions", 1, F.col("l_tree")).alias("r"))
+    pairs = left.join(
+        right,
+        (left.region == right.region)
+        & (F.col("l_component") < F.col("r_component"))
+        & _close("l_", "r_", percent)
+        & (100 * most >= percent * (F.col("l_n") + F.col("r_n") - most))
+        & ~F.exists(earlier, lambda x: x["l"] == x["r"])
+        & (100 * both >= (percent - 1) * (F.col("l_n") + F.col("r_n") - both)),
+    )
+    return pairs.select(F.greatest("l_doc", "r_doc").alias("a"), F.least("l_doc", "r_doc").alias("b"))
+
+
+def joined(known: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """The components after more links: the old ones are contracted first."""
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(known.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")), end, "left")
+    second = stage(components(ends.select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")), name), name)
+    moved = known.join(second.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    moved = moved.select("node", F.coalesce("to", "component").alias("component"))
+    return stage(moved.unionByName(second.join(known.select("node"), "node", "left_anti")), name)
 
 
 def near_duplicates(
@@ -200,24 +245,22 @@ def near_duplicates(
     )
     nodes = stage(classes.select("s1", "s2", "n", "top.*"), "nodes")
     rows = nodes.select("doc", "n", "k1", "k2", "below", F.posexplode("regions").alias("tree", "region"))
-    rows = rows.select("doc", "n", "k1", "k2", "tree", "region", F.when(F.col("tree") < FIRST_TREES, F.get("below", F.col("tree"))).alias("below"))
+    rows = rows.select("doc", "n", "k1", "k2", "tree", "region", F.get("below", F.col("tree")).alias("below"))
     shared = nodes.select(F.explode("regions").alias("region")).groupBy("region").count().where("count > 1").select("region")
     rows = stage(rows.join(shared, "region"), "regions")
     involved = rows.select("doc").distinct()
     sets = stage(sets_of(docs.join(involved, "doc", "left_semi"), width), "sets")
     links = stage(confirmed(neighbours(rows.where(F.col("tree") < FIRST_TREES), percent, region_rows), sets, percent), "links")
-    first = stage(components(links, "first"), "first")
-    more = confirmed(across(rows, first, percent), sets, percent)
-    contracted = (
-        more.join(first.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-        .join(first.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    )
-    second = components(contracted, "second")
-    final = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("final")), "component", "left")
-    final = final.select("node", F.coalesce("final", "component").alias("component"))
-    alone = second.join(first.select("node"), "node", "left_anti")
-    final = stage(final.unionByName(alone), "final")
+    known = stage(components(links, "first"), "first")
+    rows = still_open(rows, known, "open")
+    own = stage(common_sizes(sets, rows), "own")
+    rows = rows.join(own, "doc").withColumn("common", F.col("n") - F.col("own")).where(100 * F.col("common") >= percent * F.col("n"))
+    rows = still_open(rows, known, "open")
+    links = stage(confirmed(neighbours(rows, percent, region_rows), sets, percent), "links")
+    known = joined(known, links, "second")
+    rows = still_open(rows, known, "open")
+    links = stage(confirmed(across(rows, nodes.select("doc", "regions"), sets, percent), sets, percent), "links")
+    final = joined(known, links, "final")
     member = nodes.select("s1", "s2", "n", "doc").join(final.withColumnRenamed("node", "doc"), "doc", "left")
     member = member.select("s1", "s2", "n", F.coalesce("component", "doc").alias("component"))
     out = signed.select("doc", "n", "s1", "s2").join(member, ["s1", "s2", "n"], "left")
