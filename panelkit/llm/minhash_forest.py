@@ -200,15 +200,15 @@ def across(rows: DataFrame, regions: DataFrame, sets: DataFrame, percent: int) -
     most = F.least("l_common", "r_common")
     both = F.size(F.array_intersect("l_short", "r_short"))
     earlier = F.arrays_zip(F.slice("l_regions", 1, F.col("l_tree")).alias("l"), F.slice("r_regions", 1, F.col("l_tree")).alias("r"))
-    pairs = left.join(
-        right,
-        (left.region == right.region)
-        & (F.col("l_component") < F.col("r_component"))
+    cheap = (
+        (F.col("l_component") < F.col("r_component"))
         & _close("l_", "r_", percent)
         & (100 * most >= percent * (F.col("l_n") + F.col("r_n") - most))
-        & ~F.exists(earlier, lambda x: x["l"] == x["r"])
-        & (100 * both >= (percent - 1) * (F.col("l_n") + F.col("r_n") - both)),
     )
+    # The case keeps the order of the tests, and the one-element array computes the intersection once.
+    once = F.get(F.transform(F.array(both), lambda x: 100 * x >= (percent - 1) * (F.col("l_n") + F.col("r_n") - x)), F.lit(0))
+    alike = F.when(~cheap, False).when(F.exists(earlier, lambda x: x["l"] == x["r"]), False).otherwise(once)
+    pairs = left.join(right, (left.region == right.region) & alike)
     return pairs.select(F.greatest("l_doc", "r_doc").alias("a"), F.least("l_doc", "r_doc").alias("b"))
 
 
