@@ -63,15 +63,21 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def _share(a: str, b: str) -> str:
+    return f"({a} / greatest({b}, 1L))"
+
+
+_SQL = {
+    "symbol_share": _share("n_symbols", "word_chars"),
+    "dup_line_share": _share("n_dup_lines", "n_lines"),
+    "repeat_share": _share("n_repeat_words", "n_words"),
+    "mean_word": _share("word_chars", "n_words"),
+    "n_words": "cast(n_words AS double)",
+}
+
+
 def feature(name: str) -> Column:
-    share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    return {
-        "symbol_share": share("n_symbols", "word_chars"),
-        "dup_line_share": share("n_dup_lines", "n_lines"),
-        "repeat_share": share("n_repeat_words", "n_words"),
-        "mean_word": share("word_chars", "n_words"),
-        "n_words": F.col("n_words").cast("double"),
-    }[name]
+    return F.expr(_SQL[name])
 
 
 @dataclass(frozen=True)
@@ -80,18 +86,19 @@ class Condition:
     above: bool
     cut: float
 
-    def column(self) -> Column:
-        return feature(self.feature) >= self.cut if self.above else feature(self.feature) <= self.cut
+    def sql(self) -> str:
+        return f"{_SQL[self.feature]} {'>=' if self.above else '<='} {self.cut!r}D"
 
 
 Rule = tuple[Condition, ...]
 
 
+def _sql(conditions: Rule) -> str:
+    return "(" + (" AND ".join(c.sql() for c in conditions) or "true") + ")"
+
+
 def _all(conditions: Rule) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c.column()
-    return out
+    return F.expr(_sql(conditions))
 
 
 def learn(stats: DataFrame, label: str, id: str) -> list[Rule]:
@@ -106,13 +113,13 @@ def learn(stats: DataFrame, label: str, id: str) -> list[Rule]:
         *(F.percentile_approx(F.when(F.col(label) == 0, feature(f)), [(i + 0.5) / CUTS for i in range(CUTS)], 10_000).alias(f) for f in FEATURES)
     ).first()
     options = [Condition(f, above, float(c)) for f in FEATURES for c in sorted(set(cuts[f] or [])) for above in (True, False)]
-    bad, good = (F.sum(F.when(F.col(label) == v, F.col("rows"))).alias(n) for v, n in ((0, "bad"), (1, "good")))
     columns = ("n_symbols", "word_chars", "n_dup_lines", "n_lines", "n_repeat_words", "n_words")
     left = stage(stats.groupBy("held", label, *columns).agg(F.count("*").alias("rows")), "statistics")
 
     def counts(rows: DataFrame, rules: list[Rule]) -> list[tuple[int, int]]:
-        cells = [F.coalesce(F.sum(F.when(_all(r) & (F.col(label) == v), F.col("rows"))), F.lit(0)) for r in rules for v in (0, 1)]
-        found = rows.agg(F.array(*cells).alias("n")).first()["n"]
+        # One text for all cells: an expression object a cell costs the driver far more than the job.
+        cells = (f"coalesce(sum(CASE WHEN {_sql(r)} AND `{label}` = {v} THEN `rows` END), 0L)" for r in rules for v in (0, 1))
+        found = rows.agg(F.expr(f"array({', '.join(cells)})").alias("n")).first()["n"]
         return list(zip(found[::2], found[1::2]))
 
     rules: list[Rule] = []
