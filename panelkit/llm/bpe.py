@@ -23,6 +23,10 @@ from . import grams
 
 #: Distinct pieces that a task remembers.
 CACHE_PIECES = 400_000
+#: Text taken at once. Its pieces are Python strings, many times the size of the text.
+TEXT_BYTES = 1 << 20
+#: New pieces given to the library at once; what it returns is large.
+NEW_PIECES = 4_096
 
 
 def byte_table() -> dict[str, int]:
@@ -62,7 +66,8 @@ class _Vocabulary:
                 known[piece] = len(known)
                 new.append(piece)
         if new:
-            found = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+            steps = (new[i : i + NEW_PIECES] for i in range(0, len(new), NEW_PIECES))
+            found = [e.ids for step in steps for e in self.library.encode_batch_fast(step, add_special_tokens=False)]
             self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int64)])
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
@@ -109,7 +114,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", id:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _Vocabulary(vocabulary, pattern)
         for batch in batches:
-            for piece in grams.pieces(batch.column(1)):
+            for piece in grams.pieces(batch.column(1), TEXT_BYTES):
                 rows = slice(piece.first, piece.last)
                 texts = [t or "" for t in batch.column(1)[rows].to_pylist()]
                 ids, bounds = own.encode(texts)
