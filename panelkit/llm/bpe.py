@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import grams
 
 #: Distinct pieces that a task remembers.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 #: Text taken at once. Its pieces are Python strings, many times the size of the text.
 TEXT_BYTES = 1 << 20
 #: New pieces given to the library at once; what it returns is large.
@@ -40,6 +40,10 @@ class _Vocabulary:
     """A task's tokenizer, the bytes of its tokens, and the cache of pieces."""
 
     def __init__(self, path: str, pattern: str) -> None:
+        import os
+
+        # A task has one core; the library's own threads would each hold memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
