@@ -85,12 +85,12 @@ def mask_numbers(text: Column | str) -> Column:
 
 
 def number_after(text: Column | str, word: Column | str) -> Column:
-    """The integer right after the first occurrence of ``word``, else null."""
+    """The number right after the first occurrence of ``word``, of any length, else null."""
     w = words(text)
     target = F.lit(word) if isinstance(word, str) else word
     pos = F.array_position(w, target)
     following = F.when(pos > 0, F.try_element_at(w, (pos + 1).cast("int")))
-    return F.when(following.rlike("^[0-9]{1,18}$"), following.cast("bigint"))
+    return F.when(following.rlike("^[0-9]+$"), following.cast("double"))
 
 
 def first_match(items: Column, test) -> Column:
@@ -125,6 +125,34 @@ def is_float(token: Column | str) -> Column:
     return F.lower(as_column(token)).rlike(FLOAT_PATTERN)
 
 
+def to_number(token: Column | str) -> Column:
+    """The value of a text that ``is_float``, else null; '_' between digits is skipped."""
+    plain = F.replace(as_column(token), F.lit("_"), F.lit(""))
+    return F.when(is_float(token), plain.try_cast("double"))
+
+
+def float_text(value: Column) -> Column:
+    """A double as 'nan', '3.0', '15000000.0' or '1.5e-05': fixed point from 1e-4 up to 1e16."""
+    v = value.cast("double")
+    size = F.abs(v)
+    shown = v.cast("string")
+    fixed = F.regexp_replace(shown.try_cast("decimal(38,21)").cast("string"), "0+$", "")
+    fixed = F.when(fixed.endswith("."), F.concat(fixed, F.lit("0"))).otherwise(fixed)
+    parts = F.split(shown, "E")
+    power = F.try_element_at(parts, F.lit(2)).cast("int")
+    sign = F.when(power < 0, "e-").otherwise("e+")
+    digits = F.abs(power).cast("string")
+    digits = F.when(F.length(digits) < 2, F.concat(F.lit("0"), digits)).otherwise(digits)
+    short = F.concat(F.regexp_replace(parts[0], r"\.0$", ""), sign, digits)
+    return (
+        F.when(v.isNull() | F.isnan(v), "nan")
+        .when(size == float("inf"), F.when(v > 0, "inf").otherwise("-inf"))
+        .when((v == 0) | size.between(1e-3, 1e6), shown)
+        .when((size >= 1e-4) & (size < 1e16), fixed)
+        .otherwise(short)
+    )
+
+
 def int_text(value: Column) -> Column:
     """Digits of the value cut to an integer."""
     return value.cast("bigint").cast("string")
@@ -143,8 +171,7 @@ def cell_text(name: Column, value: Column, style: str) -> Column:
     if style == "comma":
         return F.concat(name, F.lit(" "), int_text(value), F.lit(" , "))
     if style == "raw":
-        shown = F.coalesce(value.cast("string"), F.lit("nan"))
-        return F.concat(name, F.lit(" "), shown, F.lit(" , "))
+        return F.concat(name, F.lit(" "), float_text(value), F.lit(" , "))
     if style == "token":
         return F.concat(name, F.lit("_"), F.coalesce(int_text(value), F.lit("#")), F.lit(" "))
     raise ValueError(f"unknown style {style!r}")

@@ -17,6 +17,8 @@ from ..sources.staging import stage
 
 MAX_BROADCAST_ROWS = 100_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+# No number, date or truth value takes more.
+FIXED_BYTES = 16
 # A key with more rows than this is worth spreading.
 HOT_ROWS = 1_000_000
 HOT_KEYS = 256
@@ -29,11 +31,12 @@ _WIDE = (ArrayType, BinaryType, MapType, StringType, StructType)
 def is_small(
     df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES
 ) -> bool:
-    """Measured: at most ``max_rows`` rows and ``max_bytes`` bytes of text."""
-    if df.count() > max_rows:
+    """Measured: at most ``max_rows`` rows and ``max_bytes`` bytes."""
+    rows = df.count()
+    if rows > max_rows:
         return False
     if not any(isinstance(f.dataType, _WIDE) for f in df.schema.fields):
-        return True
+        return rows * len(df.columns) * FIXED_BYTES <= max_bytes
     size = df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
     return (size or 0) <= max_bytes
 

@@ -10,6 +10,7 @@ from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 from ..functions import codes, names
+from ..functions.text import to_number
 from ..sources.staging import stage
 from .joins import lookup_join
 from .ordering import number_ordered
@@ -210,12 +211,10 @@ def select_available(
 
 def numeric_features(cells: DataFrame, text: str = "text") -> DataFrame:
     """Features of a text-typed panel whose every filled cell is a number."""
-    from ..functions.text import is_float
-
     filled = F.col(text).isNotNull()
     return (
         cells.groupBy("feature")
-        .agg(F.count_if(filled & ~is_float(text)).alias("_bad"))
+        .agg(F.count_if(filled & to_number(text).isNull()).alias("_bad"))
         .where("_bad = 0")
         .select("feature")
     )
@@ -225,7 +224,7 @@ def drop_text_columns(cells: DataFrame, text: str = "text") -> DataFrame:
     """Cells of numeric features only, the text read as a number."""
     keep = stage(numeric_features(cells, text), "numeric")
     return lookup_join(cells, keep, ["feature"], "left_semi").withColumn(
-        "value", F.expr(f"try_cast({text} as double)")
+        "value", to_number(text)
     )
 
 

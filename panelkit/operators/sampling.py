@@ -14,7 +14,6 @@ from ..functions.names import is_constructed
 from ..sources.staging import stage
 from .joins import lookup_join
 from .ordering import number_ordered
-from .quantiles import rank_steps, value_at
 
 # Fixed values of the corpus job.
 SAMPLES_PER_ID = 2000
@@ -41,9 +40,10 @@ def hash_split(
 
 def ordered_split(df: DataFrame, key: str, share: float = 0.9, out: str = "split") -> DataFrame:
     """The first ceil(share * n) distinct ids in id order are 'train', the rest 'eval'."""
-    steps = rank_steps(df.select(key).distinct(), [], key, [share])
-    last = F.ceil(F.lit(share) * F.col("n_total")) - 1
-    cut = steps.agg(value_at(last).alias("cut")).scalar()
+    ids = number_ordered(df.select(key).where(F.col(key).isNotNull()).distinct(), [key])
+    ids = stage(ids, "split_ids")
+    last = F.ceil(F.lit(share) * ids.agg(F.count("*")).scalar())
+    cut = ids.where(F.col("row_no") == last).agg(F.max(key)).scalar()
     return df.withColumn(out, F.when(F.col(key) <= cut, "train").otherwise("eval"))
 
 

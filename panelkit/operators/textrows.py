@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions.draws import as_column
 from ..sources.staging import stage
 from .joins import fan_out, lookup_join
-from .ordering import number_ordered, number_shuffled, renumber
+from .ordering import number_shuffled, renumber
 
 # The fewest rows of a chunk, the words of a prompt.
 MIN_CHUNK_ROWS = 100
@@ -25,18 +26,23 @@ def render_rows(
 
     The list of features is a table's column list. Only places in the list
     and values are shuffled; styles that show nulls ('raw', 'token') add the
-    places an id has no value for. See ``cell_text`` for the styles.
+    places an id has no value for, and keep ids without any value. See ``cell_text`` for the styles.
     """
     names = F.array(*[F.lit(f) for f in features])
     places = cells.sparkSession.range(len(features)).select(
         F.col("id").cast("int").alias("_place"), F.get(names, F.col("id").cast("int")).alias("feature")
     )
-    filled = cells.where(F.col("value").isNotNull()).select(key, "feature", "value")
-    placed = lookup_join(filled, places, ["feature"]).select(key, "_place", "value")
+    with_nulls = style in ("raw", "token")
+    rows = cells.select(key, "feature", "value")
+    if not with_nulls:
+        rows = rows.where(F.col("value").isNotNull())
+    placed = lookup_join(rows, places, ["feature"], "left" if with_nulls else "inner").select(key, "_place", "value")
+    listed = F.col("_place").isNotNull() & F.col("value").isNotNull()
+    cell = F.when(listed, F.struct("_place", "value"))
     # One cell per (id, feature): the list is as long as the panel is wide.
-    ids = placed.groupBy(key).agg(F.collect_list(F.struct("_place", "value")).alias("_cells"))
+    ids = placed.groupBy(key).agg(F.collect_list(cell).alias("_cells"))
     shown = F.col("_cells")
-    if style in ("raw", "token"):
+    if with_nulls:
         every = F.sequence(F.lit(0), F.lit(len(features) - 1))
         absent = F.array_except(every, F.transform("_cells", lambda c: c["_place"]))
         nothing = F.lit(None).cast("double").alias("value")
@@ -161,19 +167,17 @@ def pack_prompt(
     A row is taken while its own words plus all words so far fit; the first
     row that does not fit ends the prompt.
     """
-    sized = df.select(order, tx.n_words(text).cast("bigint").alias("n_words")).withColumn(
-        "_cost", F.col("n_words") + tx.PROMPT_TAIL_WORDS
+    # Every row costs at least its tail words, so no row behind these can be in.
+    most = budget // tx.PROMPT_TAIL_WORDS + 2
+    lead = df.select(order, F.col(text).alias("_text"), F.col(label).alias("_label")).orderBy(order).limit(most)
+    along = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    words = tx.n_words("_text").cast("bigint")
+    cost = F.coalesce(words, F.lit(0)) + tx.PROMPT_TAIL_WORDS
+    numbered = lead.select(
+        order, tx.prompt_text("_text", "_label").alias("prompt"),
+        F.count("*").over(along).alias("row_no"), words.alias("n_words"), F.sum(cost).over(along).alias("_upto"),
     )
-    # Stored first: the range bounds are sampled from it, and the texts need
-    # not be split a second time for that.
-    sized = stage(sized, "prompt_sizes")
-    totals = stage(number_ordered(sized, [order], totals={"_upto": "_cost"}), "prompt_totals")
-    fails = F.col("_upto") - tx.PROMPT_TAIL_WORDS > budget
-    end = totals.where(fails).agg(F.min("row_no").alias("end")).scalar()
-    kept = totals.where(end.isNull() | (F.col("row_no") < end)).select(order, "row_no", "n_words")
-    # The kept rows are few by their budget: the texts need not be shuffled.
-    prompts = df.select(order, tx.prompt_text(text, label).alias("prompt"))
-    return lookup_join(prompts, stage(kept, "prompt_rows"), [order], spread=True)
+    return numbered.where(F.col("_upto") - tx.PROMPT_TAIL_WORDS <= budget).drop("_upto")
 
 
 def author_frequency(papers: DataFrame, authors: str = "authors_parsed", by: Sequence[str] = ()) -> DataFrame:

@@ -229,7 +229,7 @@ def mask_numbers(spark, sf):
 
 @query("number_after_word", f"""WITH d AS (SELECT doc_id, {words_sql('text')} AS w FROM documents),
 p AS (SELECT doc_id, w, word, list_position(w, word) AS i FROM d, (SELECT unnest(['ble', 'with', 'de', 'this', 'und']) AS word)),
-n AS (SELECT doc_id, word, CASE WHEN i > 0 AND regexp_full_match(w[i + 1], '[0-9]{{1,18}}') THEN CAST(w[i + 1] AS BIGINT) END AS number FROM p)
+n AS (SELECT doc_id, word, CASE WHEN i > 0 AND regexp_full_match(w[i + 1], '[0-9]+') THEN CAST(w[i + 1] AS DOUBLE) END AS number FROM p)
 SELECT doc_id, word, number FROM n""")
 def number_after_word(spark, sf):
     listed = F.explode(F.array(*[F.lit(w) for w in ("ble", "with", "de", "this", "und")]))

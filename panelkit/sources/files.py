@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions.draws import as_column
-from ..functions.text import is_blank
+from ..functions.text import is_blank, to_number
 from ..operators.joins import lookup_join
 from .staging import stage
 
@@ -33,7 +33,9 @@ def read_table(
 
     A text field may span lines, so CSV is read in multi-line mode unless
     ``multiLine=False`` is given (then large files are split over tasks).
-    NaN, empty fields and the ``na_texts`` become null.
+    NaN, empty fields and the ``na_texts`` become null. Without a schema the
+    types are inferred, and a column of numbers and ``na_texts`` is a double;
+    that reads the files twice more, so give a schema for large ones.
     """
     first = path if isinstance(path, str) else path[0]
     if first.rstrip("/").endswith(".parquet"):
@@ -43,9 +45,17 @@ def read_table(
     reader = spark.read.options(**opts)
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     table = reader.csv(path if isinstance(path, str) else list(path))
+    marked = [n for n, kind in table.dtypes if kind == "string"] if schema is None and na_texts else []
+    numbers = set()
+    if marked:  # text only because of its marks for missing values: numbers
+        bad = [F.count_if(~F.col(c).isin(*na_texts) & to_number(c).isNull()).alias(c) for c in marked]
+        numbers = {c for c, n in table.agg(*bad).first().asDict().items() if n == 0}
     cleaned = {}
     for name, kind in table.dtypes:
-        if kind == "string" and na_texts:
+        if name in numbers:
+            number = F.when(~F.col(name).isin(*na_texts), to_number(name))
+            cleaned[name] = F.when(~F.isnan(number), number)
+        elif kind == "string" and na_texts:
             cleaned[name] = F.when(~F.col(name).isin(*na_texts), F.col(name))
         elif kind in ("double", "float"):
             cleaned[name] = F.when(~F.isnan(name), F.col(name))
@@ -135,7 +145,8 @@ def write_text_corpus(df: DataFrame, path: str, text: str = "text") -> None:
 
 def write_partitioned(df: DataFrame, path: str, keys: Sequence[str], fmt: str = "parquet") -> None:
     """One folder per key value, such as ``task=gpa/strategy=mean/chunk_index=3``."""
-    df.write.partitionBy(*keys).format(fmt).save(path)
+    # Rows of a key meet in one task, a very large key in several: few files, no hot task.
+    df.hint("rebalance", *keys).write.partitionBy(*keys).format(fmt).save(path)
 
 
 def save_matrix(df: DataFrame, path: str, key: str, values: str) -> None:
