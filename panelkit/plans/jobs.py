@@ -1,7 +1,7 @@
 """The four jobs: panel scores, sampled corpus, baseline, biographies.
 
-Each is one lineage keyed by (task, chunk_index, id); nothing loops over
-tasks, chunks or ids.
+Each is one lineage keyed by (task, chunk_index, id); no job loops over tasks,
+chunks or ids. Only ``models.tree_per_chunk`` fits its chunks one by one.
 """
 
 from __future__ import annotations
