@@ -11,8 +11,9 @@ characters that tokens have split.
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +56,9 @@ class _Vocabulary:
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[str, int] = {}
+        # A new piece gets the next number when it is looked up.
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
         self.ids = np.zeros(0, np.int64)
         self.ends = np.zeros(1, np.int64)
 
@@ -64,19 +67,15 @@ class _Vocabulary:
         if len(self.number) > CACHE_PIECES:
             self.reset()
         cuts = [self.cut(t) for t in texts]
-        known, new = self.number, []
-        for piece in dict.fromkeys(chain.from_iterable(cuts)):
-            if piece not in known:
-                known[piece] = len(known)
-                new.append(piece)
-        if new:
-            steps = (new[i : i + NEW_PIECES] for i in range(0, len(new), NEW_PIECES))
-            found = [e.ids for step in steps for e in self.library.encode_batch_fast(step, add_special_tokens=False)]
+        n = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        known = len(self.number)
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cuts)), np.int64, int(n.sum()))
+        new = islice(self.number, known, None)
+        while step := list(islice(new, NEW_PIECES)):
+            found = [e.ids for e in self.library.encode_batch_fast(step, add_special_tokens=False)]
             self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int64)])
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
-        n = np.fromiter(map(len, cuts), np.int64, len(cuts))
-        at = np.fromiter(map(known.__getitem__, chain.from_iterable(cuts)), np.int64, int(n.sum()))
         size = self.ends[at + 1] - self.ends[at]
         bounds = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[spread(self.ends[at], size)]
@@ -105,9 +104,23 @@ def _list(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", id: str = "doc_id", offsets: bool = False) -> DataFrame:
+def _joined(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of each row's tokens; a row's ids lie between two bounds."""
+    size = offsets[ids + 1] - offsets[ids]
+    out = data[spread(offsets[ids], size)]
+    ends = np.concatenate([[0], np.cumsum(size)])[bounds].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def encode(
+    df: DataFrame, vocabulary: str, pattern: str, text: str = "text", id: str = "doc_id", offsets: bool = False,
+    decoded: bool = False,
+) -> DataFrame:
     """``id``, ``ids`` and on request ``starts`` and ``ends`` of each token in code points.
 
+    With ``decoded`` the ids are at once decoded as by ``decode``, in the same
+    task: a round trip then needs no second Python worker for the ids.
+
     ``vocabulary`` is a byte-level file of the library, ``pattern`` its cutting
     rule. No special tokens are made. A token that holds part of a character
     spans the whole character. Null and empty texts have no tokens. Rows are
@@ -132,10 +145,12 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", id:
                     base = np.repeat(chars[piece.offsets[:-1]], n)
                     first = chars[np.minimum(ends - size + 1, len(piece.data))] - 1
                     columns += [_list(first - base, bounds), _list(chars[ends] - base, bounds)]
+                if decoded:
+                    columns.append(_joined(own.bytes, own.offsets, ids, bounds))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["id", "ids", *(["starts", "ends"] if offsets else [])]
-    schema = "id long, ids array<int>" + (", starts array<int>, ends array<int>" if offsets else "")
+    names = ["id", "ids", *(["starts", "ends"] if offsets else []), *(["decoded"] if decoded else [])]
+    schema = "id long, ids array<int>" + (", starts array<int>, ends array<int>" if offsets else "") + (", decoded binary" if decoded else "")
     docs = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     return docs.mapInArrow(each, schema).withColumnRenamed("id", id)
 
@@ -154,11 +169,8 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
                 part = column[first : first + STEP]
                 flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 n = np.fromiter((len(x) if x.is_valid else 0 for x in part), np.int64, len(part))
-                size = offsets[flat + 1] - offsets[flat]
-                out = data[spread(offsets[flat], size)]
-                ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])]
-                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())])
-                yield pa.RecordBatch.from_arrays([*(c[first : first + STEP] for c in batch.columns), raw.cast(pa.binary())], names)
+                raw = _joined(data, offsets, flat, np.concatenate([[0], np.cumsum(n)]))
+                yield pa.RecordBatch.from_arrays([*(c[first : first + STEP] for c in batch.columns), raw], names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(each, f"{fields}, decoded binary")

@@ -58,8 +58,7 @@ def op5_minhash_forest(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    ids = bpe.encode(table(spark, sf, "documents"), path, public_tokenizers.PATTERN)
-    out = bpe.decode(ids, path)
+    out = bpe.encode(table(spark, sf, "documents"), path, public_tokenizers.PATTERN, decoded=True)
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(joined).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
 

@@ -45,6 +45,17 @@ def test_offsets(spark, coder, monkeypatch):
         assert at == len(text.encode())
 
 
+def test_stored_ids_decode(spark):
+    texts = ["", None, *ODD]
+    df = spark.createDataFrame(rows(texts), DOCUMENTS)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    both = bpe.encode(df, path, public_tokenizers.PATTERN, decoded=True).withColumnRenamed("decoded", "at_once")
+    for r in bpe.decode(both, path).collect():
+        assert bytes(r.at_once) == bytes(r.decoded) == (texts[r.doc_id] or "").encode()
+    empty = df.selectExpr("cast(null AS array<int>) AS ids")
+    assert all(bytes(r.decoded) == b"" for r in bpe.decode(empty, path).collect())
+
+
 def test_licences(spark, write, corpus):
     texts = corpus + [
         "GNU General Public License", "the MIT License, mit-license MIT LICENSE.", "apache LICENSE\nCC-BY cc by by cc",
