@@ -31,14 +31,14 @@ def chunk_prediction_table(chunk_preds: DataFrame, residuals: DataFrame) -> Data
 
 
 def chunk_regression_cells(cells: DataFrame, chunks: DataFrame, residuals: DataFrame) -> DataFrame:
-    """Regression cells of all chunks at once: (chunk_index, id, feature, value, diff).
+    """Regression cells of all chunks at once: (chunk_index, id, feature, value, task, diff).
 
-    A feature of several chunks is repeated for each; only ids with a residual
-    stay.
+    A feature of several chunks is repeated for each, a cell for each task of
+    its id; only ids with a residual stay.
     """
     listed = chunks.select("chunk_index", F.explode("chunk").alias("feature"))
     spread = fan_out(cells.select("id", "feature", "value"), listed, ["feature"], "chunk_of")
-    return lookup_join(spread, residuals.select("id", "diff"), ["id"])
+    return fan_out(spread, residuals.select("id", "task", "diff"), ["id"], "tasks_of")
 
 
 def uncovered_ids(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from ..functions import draws
 from ..sources.staging import stage
 from .clean import impute_mean
+from .joins import fan_out
 from .ordering import in_pieces
 
 # Fixed values of the boosting job.
@@ -89,42 +90,53 @@ def linear_scorer(vector: str, weights: Sequence[float], bias: float = 0.0):
     return load
 
 
-def chunk_table(cells: DataFrame, features: Sequence[str], keep: Sequence[str] = ("diff",)) -> DataFrame:
-    """Regression cells of one chunk as a wide table, nulls mean-filled.
+def chunk_table(cells: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Regression cells of one chunk as a wide table, one row per (id, task).
 
-    A feature without any value has no mean; it is left out.
+    Nulls become the mean over the ids, each counted once whatever its number
+    of tasks. A chunk with a feature without any value has no mean for it, and
+    no rows.
     """
-    wide = cells.groupBy("id", *keep).pivot("feature", list(features)).agg(F.first("value"))
-    filled = impute_mean(wide, features)
-    return filled.dropna(subset=list(features))
+    wide = cells.groupBy("id").pivot("feature", list(features)).agg(F.first("value", ignorenulls=True))
+    filled = impute_mean(wide, features).dropna(subset=list(features))
+    return fan_out(filled, cells.select("id", "task", "diff").distinct(), ["id"], "tasks_of")
+
+
+def tasks_of(df: DataFrame) -> list:
+    """The tasks that occur, a short list by nature: there is one model for each."""
+    return [r.task for r in df.select("task").distinct().orderBy("task").toLocalIterator()]
 
 
 def tree_per_chunk(
     cells: DataFrame, chunk_features: Mapping[int, Sequence[str]], train: Column,
     depth: int = TREE_DEPTH, max_bins: int = 32,
 ) -> DataFrame:
-    """One regression tree per chunk, and its mean absolute error on the rest.
+    """One regression tree per (chunk, task), and its mean absolute error on the rest.
 
-    ``cells`` is (chunk_index, id, feature, value, diff, ...); ``train`` tells
-    the training ids. The loop is over chunks, a fixed small list; each fit
-    and its evaluation run over all rows of the chunk on the cluster.
+    ``cells`` is (chunk_index, id, task, feature, value, diff, ...); ``train``
+    tells the training ids. The loop is over chunks and tasks, two short
+    lists; each fit and its evaluation run over all rows on the cluster.
     """
     out: DataFrame | None = None
     for chunk, features in sorted(chunk_features.items()):
         wide = chunk_table(cells.where(F.col("chunk_index") == chunk), features)
-        rows = stage(assemble(wide, features).select("id", "diff", "_x"), "tree_rows")
-        fitter = DecisionTreeRegressor(
-            featuresCol="_x", labelCol="diff", maxDepth=depth, maxBins=max_bins, seed=0
-        )
-        model = fitter.fit(rows.where(train))
-        scored = model.transform(rows.where(~train)).agg(
-            F.lit(chunk).alias("chunk_index"),
-            F.count("*").alias("n_test"),
-            F.avg(F.abs(F.col("diff") - F.col("prediction"))).alias("mae"),
-        )
-        out = scored if out is None else out.unionByName(scored)
+        known = F.col("diff").isNotNull()
+        rows = stage(assemble(wide.where(known), features).select("id", "task", "diff", "_x"), "tree_rows")
+        for task in tasks_of(rows.where(train)):
+            own = rows.where(F.col("task") == F.lit(task))
+            fitter = DecisionTreeRegressor(
+                featuresCol="_x", labelCol="diff", maxDepth=depth, maxBins=max_bins, seed=0
+            )
+            model = fitter.fit(own.where(train))
+            scored = model.transform(own.where(~train)).agg(
+                F.lit(chunk).alias("chunk_index"),
+                F.lit(task).alias("task"),
+                F.count("*").alias("n_test"),
+                F.avg(F.abs(F.col("diff") - F.col("prediction"))).alias("mae"),
+            )
+            out = scored if out is None else out.unionByName(scored)
     if out is None:
-        raise ValueError("no chunks given")
+        raise ValueError("no chunks given, or no training rows")
     return out
 
 

@@ -188,11 +188,11 @@ def prediction_joins(spark, sf):
     return labels.chunk_prediction_table(means, res)
 
 
-@query("chunk_regression_cells", f"""WITH {t.PANEL_SQL}, {RES} SELECT (p.ord - 1) // 7 AS chunk_index, p.id, p.feature, p.value, r.diff
-FROM panel p JOIN residuals r USING (id)""")
+@query("chunk_regression_cells", f"""WITH {t.PANEL_SQL}, {RES}, {t.TWO_TASKS_SQL}
+SELECT (p.ord - 1) // 7 AS chunk_index, p.id, p.feature, p.value, r.task, r.diff FROM panel p JOIN two_tasks r USING (id)""")
 def chunk_regression_cells(spark, sf):
     cells, chunks = _chunked(spark, sf)
-    diffs = stage(t.residuals(spark, sf).select("id", "diff"), "diffs")
+    diffs = stage(t.two_tasks(spark, sf), "diffs")
     return labels.chunk_regression_cells(cells, chunks, diffs)
 
 
@@ -444,7 +444,7 @@ def impute_chained(spark, sf):
 @query("tree_per_chunk")
 def tree_per_chunk(spark, sf):
     cells, chunks = _chunked(spark, sf)
-    known = evaluate.with_residual(t.residuals(spark, sf)).select("id", "diff")
+    known = t.two_tasks(spark, sf).where("diff IS NOT NULL")
     table_ = stage(labels.chunk_regression_cells(cells, chunks, stage(known, "known")), "tree_cells")
     listed = {i // 7: t.PANEL_FEATURES[i : i + 7] for i in range(0, len(t.PANEL_FEATURES), 7)}
     from ..functions.draws import draw_below
@@ -454,14 +454,14 @@ def tree_per_chunk(spark, sf):
 
 @query("boost_chunk_predictions")
 def boost_chunk_predictions(spark, sf):
-    """Boosted correction of the benchmark from the chunk predictions."""
+    """Boosted correction of the benchmark from the chunk predictions, by task; a chunk without one counts as its mean."""
     from ..functions.draws import draw_below
 
     res = stage(evaluate.with_residual(t.residuals(spark, sf)), "residuals")
     means = evaluate.mean_per_id(t.task_scores(spark, sf, res), ["id", "task", "chunk_index"], "score")
     wide = report.pivot_chunk_predictions(means, range(t.N_SCORE_CHUNKS))
     cols = [str(i) for i in range(t.N_SCORE_CHUNKS)]
-    rows = lookup_join(wide.fillna(0.0, subset=cols), res.select("id", "task", "diff"), ["id", "task"])
+    rows = lookup_join(clean.impute_mean(wide, cols), res.select("id", "task", "diff"), ["id", "task"])
     rows = stage(rows.toDF("id", "task", *[f"c{c}" for c in cols], "diff"), "boost_rows")
     in_test = draw_below(2, 0.2, "id")
     return jobs.corrected_by_boosting(

@@ -108,6 +108,20 @@ def residuals(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Two tasks per order: the benchmark's residual, and the distance from the mean of the task.
+TWO_TASKS_SQL = """two_tasks AS (
+  SELECT id, 'benchmark' AS task, diff FROM residuals
+  UNION ALL SELECT id, 'mean', truth - ybar_train FROM residuals)"""
+
+
+def two_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    tasks = F.array(
+        F.struct(F.lit("benchmark").alias("task"), F.col("diff")),
+        F.struct(F.lit("mean").alias("task"), residual("truth", "ybar_train").alias("diff")),
+    )
+    return residuals(spark, sf).select("id", F.inline(tasks))
+
+
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     """(id, chunk_index, score), several rows per id."""
     li = table(spark, sf, "lineitem")

@@ -136,10 +136,12 @@ def test_boosting_and_trees(spark):
         if upto >= total / 2:
             assert row.predicted_diff == pytest.approx(p)
             break
-    cells = df.select(F.lit(0).alias("chunk_index"), "id", "diff", F.inline(F.array(*[
+    # The second task has the opposite residual; one tree for both would find nothing.
+    tasks = F.explode(F.array(F.struct(F.lit("t").alias("task"), F.col("diff")), F.struct(F.lit("u").alias("task"), (-F.col("diff")).alias("diff"))))
+    cells = df.select("id", "a", "b", tasks.alias("t")).select(F.lit(0).alias("chunk_index"), "id", "t.task", "t.diff", F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in ("a", "b")])))
-    out = models.tree_per_chunk(cells, {0: ["a", "b"]}, F.col("id") < 300).first()
-    assert out.n_test == 100 and out.mae < 0.2
+    out = models.tree_per_chunk(cells, {0: ["a", "b"]}, F.col("id") < 300).collect()
+    assert [(r.task, r.n_test) for r in out] == [("t", 100), ("u", 100)] and max(r.mae for r in out) < 0.2
 
 
 def test_score_batches_loads_once_per_task(spark):
