@@ -13,30 +13,56 @@ from panelkit.llm.queries import table
 from panelkit.llm.store import stage
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, or with more underscores if ``docs`` has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _keyed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` with an own key for each row, stored once so that every later read sees the same keys."""
+    key = _free(docs, "row_key")
+    return stage(docs.withColumn(key, F.monotonically_increasing_id()), name), key
+
+
+def _without(docs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    return docs.join(rows.select(key).distinct(), key, "left_anti").drop(key)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; labels come from the source, texts from the stage's input."""
-    scored = quality_classifier.classify(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scored.where("predicted = 0"))
+    """Rows that the classifier accepts; labels come from the source, texts from the stage's input."""
+    docs, key = _keyed(docs, "quality-rows")
+    scored = quality_classifier.classify(docs, table(spark, sf_dir, "labels"), key=key)
+    return _without(docs, scored.where("predicted = 0"), key)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
-    return _without(docs, minhash_forest.near_duplicates(docs).where("not kept"))
+    """One row of each group of near copies (five-word shingles, similarity 0.8).
+
+    It is the row with the smallest id; a row without id stays only if its
+    group has no id. Of rows with that id, the hash of the text decides.
+    """
+    docs, key = _keyed(docs, "near-rows")
+    found = minhash_forest.near_duplicates(docs, id=key).select(key, "component_id")
+    order = docs.select(key, F.struct(F.isnull("doc_id"), "doc_id", F.xxhash64("text"), key).alias("order"))
+    found = stage(found.join(order, key), "near-groups")
+    first = found.groupBy("component_id").agg(F.min("order").alias("first")).select(F.col(f"first.{key}").alias(key))
+    return _without(docs, found.join(first, key, "left_anti"), key)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    return _without(docs, decontamination.matches(docs, table(spark, sf_dir, "benchmark")))
+    """Rows without a benchmark passage."""
+    docs, key = _keyed(docs, "benchmark-rows")
+    return _without(docs, decontamination.matches(docs, table(spark, sf_dir, "benchmark"), id=key), key)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked and ``n_chars`` of the new text."""
-    out = secret_scan.redact(secret_scan.scan(docs))
-    return out.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """All rows, with secrets masked and ``n_chars`` of the new text."""
+    spans = _free(docs, "secrets")
+    out = secret_scan.redact(secret_scan.scan(docs, spans=spans), spans=spans)
+    return out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(spans)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,13 +77,13 @@ def _entropy(c: str) -> str:
         b -> b.least) / {WINDOW})"""
 
 
-def scan(df: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """``df`` with ``secrets``: spans of secrets as (s, k, e), by start, then kind.
+def scan(df: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW, spans: str = "secrets") -> DataFrame:
+    """``df`` with ``secrets``, or another column ``spans``: spans of secrets as (s, k, e), by start, then kind.
 
     ``s`` and ``e`` count code points, end exclusive; ``k`` is the place in
     ``KINDS``. Entropy spans never overlap the spans of known forms. Null and
-    empty texts have none. All columns are kept; a column ``secrets`` is
-    replaced. Rows are judged one by one, so ids need not be unique.
+    empty texts have none. All columns are kept; a column of that
+    name is replaced. Rows are judged one by one, so ids need not be unique.
     """
     t = "__secret_text"
     allowed = " OR ".join(f"v RLIKE {_quote('^(' + a + ')$')}" for a in allow) or "false"
@@ -94,7 +94,7 @@ def scan(df: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW) -> D
     out = df.withColumn(t, F.coalesce(F.col(text).cast("string"), F.lit("")))
     out = out.withColumn("__secret_base", base).withColumn("__secret_more", _spans(t, _CANDIDATE, 3, high))
     own = F.expr("filter(__secret_more, x -> NOT exists(__secret_base, y -> y.s < x.e AND x.s < y.e))")
-    return out.withColumn("secrets", F.array_sort(F.concat("__secret_base", own))).drop(t, "__secret_base", "__secret_more")
+    return out.withColumn(spans, F.array_sort(F.concat("__secret_base", own))).drop(t, "__secret_base", "__secret_more")
 
 
 def listed(spans: Column) -> Column:
@@ -103,10 +103,10 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["k"]), x["s"], x["e"])), ",")
 
 
-def redact(df: DataFrame, text: str = "text", mask: str = "[secret]") -> DataFrame:
-    """``df`` with the spans of ``secrets`` in the text replaced by a mask; overlapping spans become one."""
+def redact(df: DataFrame, text: str = "text", mask: str = "[secret]", spans: str = "secrets") -> DataFrame:
+    """``df`` with the spans of ``secrets``, or of ``spans``, in the text replaced by a mask; overlapping spans become one."""
     cut = F.expr(f"""
-        CASE WHEN size(secrets) > 0 THEN aggregate(secrets, named_struct('at', 0, 'out', ''),
+        CASE WHEN size(`{spans}`) > 0 THEN aggregate(`{spans}`, named_struct('at', 0, 'out', ''),
           (a, x) -> named_struct(
             'at', greatest(a.at, x.e),
             'out', CASE WHEN x.s >= a.at THEN concat(a.out, substring(`{text}`, a.at + 1, x.s - a.at), {_quote(mask)}) ELSE a.out END),

@@ -132,3 +132,46 @@ def test_odd_tables(spark, write, name):
     labels = ([(1, None, 0), (2, 0, 0), (None, 1, 1)], LABELS)
     out = queries.QUERIES[name](spark, write(documents=(same, DOCUMENTS), labels=labels, benchmark=items)).collect()
     assert len(out) == (4 if name.startswith("op2") else 1)
+
+
+def test_pipeline_decides_by_row(spark, write):
+    """Null ids, repeated ids, repeated rows and an own column ``secrets``: only the judged row goes."""
+    import corpus_pipeline
+
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    junk = lambda: " ".join(word() + "***" for _ in range(40))
+    item, copy, twin, double = text(30), text(60), text(60), text(60)
+    leak = lambda: text(20) + " " + item + " " + text(20)
+    clean = [text(60) for _ in range(5)]
+    odd = [
+        (None, junk()), (None, leak()), (None, clean[0]), (None, copy), (None, copy), (None, twin), (9001, twin),
+        (9002, junk()), (9002, clean[1]), (9003, leak()), (9003, clean[2]), (9004, double), (9004, double), (9005, double),
+        (9006, copy), (9006, clean[3]), (9007, clean[4] + " token=abcdefgh"),
+    ]
+    known = [(i, junk() if i < 80 else text(40)) for i in range(320)]
+    data = [(d, t, "en", "src", len(t), f"own {d}", f"key {d}") for d, t in odd + known]
+    sf = write(
+        documents=(data, DOCUMENTS + ", secrets string, row_key string"), benchmark=([(1, item)], ITEMS), labels=([(i, int(i >= 80), 0) for i, _ in known], LABELS)
+    )
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        docs = step(spark, docs, sf).localCheckpoint()
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "secrets", "row_key"]
+    out = docs.collect()
+    left = sorted(((r.doc_id, r.text) for r in out if r.doc_id is None or r.doc_id >= 9000), key=str)
+    want = [(None, clean[0]), (9001, twin), (9002, clean[1]), (9003, clean[2]), (9004, double), (9006, copy), (9006, clean[3])]
+    assert left == sorted([*want, (9007, clean[4] + " [secret]")], key=str)
+    assert all((r.secrets, r.row_key) == (f"own {r.doc_id}", f"key {r.doc_id}") for r in out)
+    assert next(r for r in out if r.doc_id == 9007).n_chars == len(clean[4] + " [secret]")
+
+
+def test_pipeline_of_null_ids_and_no_rows(spark, write):
+    import corpus_pipeline
+
+    empty = write(documents=([], DOCUMENTS), benchmark=([], ITEMS), labels=([], LABELS))
+    assert corpus_pipeline.run(spark, empty).collect() == []
+    same = [(None, "one text of words", None, None, None)] * 3 + [(None, None, None, None, None)] * 2
+    sf = write(documents=(same, DOCUMENTS), benchmark=([], ITEMS), labels=([], LABELS))
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.run(spark, sf).collect()) == [(None, ""), (None, ""), (None, "one text of words")]
