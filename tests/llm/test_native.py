@@ -43,6 +43,29 @@ def test_redaction(spark):
     assert out == ["é [secret], x [secret]", None, "plain"]
 
 
+def listed(spark, texts):
+    """The spans of each text as (kind, start, end)."""
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    out = {r.i: [(secret_scan.KINDS[x.k], x.s, x.e) for x in r.secrets] for r in secret_scan.scan(df).collect()}
+    return [out[i] for i in range(len(texts))]
+
+
+def test_random_keys_of_each_alphabet(spark):
+    rnd = random.Random(6)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = [
+        digits, digits + "ABCDEF", digits + "abcdef", lower, upper, lower + "234567", upper + "234567", lower + digits, upper + digits, lower + upper,
+        lower + upper + digits, lower + upper + digits + "+/", lower + upper + digits + "-_",
+    ]
+    for alphabet in alphabets:
+        for size in (20, 32):
+            for before in ("", "sk_"):
+                keys = ["".join(rnd.choice(alphabet) for _ in range(size)) for _ in range(200)]
+                found = listed(spark, [f"see {before}{k} there" for k in keys])
+                least = 0.91 if size == 20 else 0.96
+                assert sum(bool(x) for x in found) >= least * len(keys), (alphabet, size, before)
+
+
 def test_statistics(spark, write, corpus):
     texts = corpus + ["a b\na b\n \n\nc\r\nc\r", "p q r s t u p q r s t v q r s t u", "x " * 9, "# $ %% <b> |é|", "a b c d e a b c d e a b c d e"]
     labels = ([(i, i % 2, 0) for i in range(0, len(texts), 3)], "doc_id long, quality int, toxic int")
