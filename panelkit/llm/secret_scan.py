@@ -5,8 +5,9 @@ Shannon entropy is high for their character class somewhere: a window slides
 over the candidate, and each step updates the sum of ``n log2 n`` with the
 counts of the character that leaves and the one that enters. A candidate is
 judged whole and by its runs of letters and digits, each by the alphabet it is
-written in. An allow-list suppresses identifiers that look random and are not
-secret.
+written in; what a known form or a date in front takes is cut off first, and
+what remains is a candidate of its own. An allow-list suppresses identifiers
+that look random and are not secret.
 """
 
 from __future__ import annotations
@@ -33,10 +34,11 @@ CLASSES = (
     ("[A-Za-z]+", 3.68),
 )
 BASE64_BITS = 3.78
-#: Candidates that are no secrets: UUIDs, dates in front, paths of plain words, one repeated character.
+#: A date, or date and time, in front of a candidate; the rest is judged without it.
+_DATE = r"(?<![A-Za-z0-9+/_=-])[/_=+-]*[0-9]{4}-[0-9]{2}-[0-9]{2}([T_-]?[0-9]{2}-?[0-9]{2}(-?[0-9]{2}(-?[0-9]{3,6})?)?Z?(?![A-Za-z0-9]))?"
+#: Candidates that are no secrets: UUIDs, paths of plain words, one repeated character.
 ALLOW = (
     r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",
-    r"[0-9]{4}-[0-9]{2}-[0-9]{2}.*",
     r"/?([a-z]{1,19}[/_-])+[a-z]{0,19}[0-9]{0,4}",
     r"(.)\1+",
 )
@@ -88,17 +90,27 @@ def _entropy(c: str) -> str:
         b -> b.least) / {WINDOW})"""
 
 
+def _blanked(text: str, spans: str) -> str:
+    """``text`` with a space for each character of the spans, which come by start and may overlap."""
+    return f"""CASE WHEN size({spans}) > 0 THEN aggregate({spans}, named_struct('at', 0, 'out', ''),
+          (a, x) -> named_struct(
+            'at', greatest(a.at, x.e),
+            'out', concat(a.out, substring({text}, a.at + 1, greatest(x.s - a.at, 0)), repeat(' ', greatest(x.e - greatest(a.at, x.s), 0)))),
+          a -> concat(a.out, substring({text}, a.at + 1, length({text})))) ELSE {text} END"""
+
+
 def scan(df: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW, spans: str = "secrets") -> DataFrame:
     """``df`` with ``secrets``, or another column ``spans``: spans of secrets as (s, k, e), by start, then kind.
 
     ``s`` and ``e`` count code points, end exclusive; ``k`` is the place in
-    ``KINDS``. Entropy spans never overlap the spans of known forms.
-    Keys in groups of less than 20 letters and digits are judged as
+    ``KINDS``. Entropy spans never overlap the spans of known forms: a
+    candidate is cut at them, and each rest of 20 and more characters is judged
+    on its own. Keys in groups of less than 20 letters and digits are judged as
     base64 only. Null and empty texts have none. All columns are kept; a column
     of that name is replaced. Rows are judged one by one, so ids need not be
     unique.
     """
-    t = "__secret_text"
+    t, left = "__secret_text", "__secret_left"
     allowed = " OR ".join(f"v RLIKE {_quote('^(' + a + ')$')}" for a in allow) or "false"
     bits = lambda c: "CASE " + " ".join(f"WHEN {c} RLIKE {_quote('^(' + k + ')$')} THEN {b}D" for k, b in CLASSES) + f" ELSE {BASE64_BITS}D END"
     runs = f"filter(split(v, '[+/_=-]+'), r -> length(r) >= {WINDOW} AND length(r) < length(v))"
@@ -106,9 +118,10 @@ def scan(df: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW, span
         ELSE exists({runs}, r -> {_entropy('r')} >= {bits('r')}) END"""
     base = F.array_sort(F.concat(_spans(t, _ASSIGN, 0, f"length(v) >= {_LEAST_VALUE}", 2), _spans(t, _ACCESS, 1, "true"), _spans(t, _HEX, 2, "true")))
     out = df.withColumn(t, F.coalesce(F.col(text).cast("string"), F.lit("")))
-    out = out.withColumn("__secret_base", base).withColumn("__secret_more", _spans(t, _CANDIDATE, 3, high))
-    own = F.expr("filter(__secret_more, x -> NOT exists(__secret_base, y -> y.s < x.e AND x.s < y.e))")
-    return out.withColumn(spans, F.array_sort(F.concat("__secret_base", own))).drop(t, "__secret_base", "__secret_more")
+    out = out.withColumn("__secret_base", base).withColumn(left, F.expr(_blanked(t, "__secret_base")))
+    out = out.withColumn("__secret_dates", _spans(left, _DATE, 3, "true")).withColumn(left, F.expr(_blanked(left, "__secret_dates")))
+    out = out.withColumn("__secret_more", _spans(left, _CANDIDATE, 3, high))
+    return out.withColumn(spans, F.array_sort(F.concat("__secret_base", "__secret_more"))).drop(t, left, "__secret_base", "__secret_dates", "__secret_more")
 
 
 def listed(spans: Column) -> Column:
