@@ -3,13 +3,16 @@
 An Aho-Corasick automaton finds all phrases in one pass over the words of a
 text, and all identifier tags in one pass over its characters. The expression
 behind a tag is ordered by the shunting-yard rule and evaluated to its choices:
-``and`` joins, ``or`` offers, ``with`` adds an exception to one licence.
+``and`` joins, ``or`` offers, ``with`` adds an exception to one licence. Its
+labels are the union of its operands, whatever its length.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, product
+from math import prod
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +43,9 @@ TAGS = ("spdx-license-identifier:", "license-identifier:")
 #: Weight of one kind of evidence in the score.
 PHRASE_WEIGHT, TAG_WEIGHT = 0.6, 0.9
 
+#: Licences that the choices of one expression may list when ``and`` multiplies over ``or``.
+MOST_LISTED = 1 << 16
+
 # Bytes outside words become spaces; A-Z become a-z.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -47,28 +53,11 @@ _TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+-]*")
 _STRENGTH = {"or": 1, "and": 2, "with": 3}
 
 
-def choices(expression: str) -> list[frozenset[str]]:
-    """The sets of licences that satisfy an expression, in the order they are offered.
-
-    A malformed tail is dropped at the last place where the expression is
-    complete; an expression that starts malformed has no choice.
-    """
-    output: list[list[frozenset[str]]] = []
-    waiting: list[str] = []
-
-    def reduce() -> None:
-        op, right, left = waiting.pop(), output.pop(), output.pop()
-        if op == "or":
-            output.append(list(dict.fromkeys(left + right)))
-        elif op == "and":
-            output.append(list(dict.fromkeys(a | b for a in left for b in right)))
-        else:
-            (name,), (exception,) = left[0], right[0]
-            output.append([frozenset([f"{name} with {exception}"])])
-
+def _complete(expression: str) -> list[str]:
+    """The tokens up to the last place where the expression is complete."""
     tokens = _TOKEN.findall(expression)
     depth, operand, complete = 0, True, 0
-    for i, t in enumerate(tokens):  # the longest complete beginning
+    for i, t in enumerate(tokens):
         if operand and t == "(":
             depth += 1
         elif operand and t not in _STRENGTH and t != ")":
@@ -83,24 +72,98 @@ def choices(expression: str) -> list[frozenset[str]]:
             break
         if not operand and not depth:
             complete = i + 1
-        if i >= 64:
-            break
-    for t in tokens[:complete]:
+    return tokens[:complete]
+
+
+def _operands(tokens: list[str]) -> list[str]:
+    """Tokens with each licence and its exceptions as one."""
+    out: list[str] = []
+    after = False
+    for t in tokens:
+        if after:
+            out[-1] = f"{out[-1]} with {t}"
+        elif t != "with":
+            out.append(t)
+        after = t == "with"
+    return out
+
+
+def _choices(tokens: list[str], most: int | None) -> list[frozenset[str]] | None:
+    """The choices of a complete expression; None if a product would list more than ``most`` licences."""
+    output: list[tuple[str, list[list[frozenset[str]]]]] = []  # an operator and what it combines
+    waiting: list[str] = []
+
+    def value(item: tuple[str, list[list[frozenset[str]]]]) -> list[frozenset[str]] | None:
+        op, parts = item
+        if len(parts) == 1:
+            return parts[0]
+        if op == "or":
+            return list(dict.fromkeys(chain.from_iterable(parts)))
+        size = prod(len(p) for p in parts)
+        if most is not None and size > 1 and size * sum(max(map(len, p)) for p in parts) > most:
+            return None
+        common = frozenset(chain.from_iterable(p[0] for p in parts if len(p) == 1))
+        return list(dict.fromkeys(common.union(*some) for some in product(*(p for p in parts if len(p) > 1))))
+
+    def reduce() -> bool:
+        op, right, left = waiting.pop(), output.pop(), output.pop()
+        parts: list[list[frozenset[str]]] = []
+        for side in (left, right):
+            if side[0] == op:
+                more = side[1]
+            elif (one := value(side)) is None:
+                return False
+            else:
+                more = [one]
+            if parts:
+                parts.extend(more)
+            else:
+                parts = more
+        output.append((op, parts))
+        return True
+
+    for t in _operands(tokens):
         if t == "(":
             waiting.append(t)
         elif t == ")":
             while waiting[-1] != "(":
-                reduce()
+                if not reduce():
+                    return None
             waiting.pop()
         elif t in _STRENGTH:
             while waiting and waiting[-1] != "(" and _STRENGTH[waiting[-1]] >= _STRENGTH[t]:
-                reduce()
+                if not reduce():
+                    return None
             waiting.append(t)
         else:
-            output.append([frozenset([t])])
+            output.append(("", [[frozenset([t])]]))
     while waiting:
-        reduce()
-    return output[0] if output else []
+        if not reduce():
+            return None
+    return value(output[0]) if output else []
+
+
+def choices(expression: str) -> list[frozenset[str]]:
+    """The sets of licences that satisfy an expression, in the order they are offered.
+
+    A malformed tail is dropped at the last place where the expression is
+    complete; an expression that starts malformed has no choice. All sets are
+    made, however many.
+    """
+    return _choices(_complete(expression), None) or []
+
+
+def named(expression: str) -> tuple[set[str], list[str]]:
+    """The licences of an expression, and its choices as texts.
+
+    Where ``and`` over ``or`` would list more than ``MOST_LISTED`` licences the
+    expression itself, in one form of writing, stands for its choices.
+    """
+    tokens = _complete(expression)
+    words = _operands(tokens)
+    labels = {t for t in words if t not in _STRENGTH and t not in "()"}
+    found = _choices(tokens, MOST_LISTED)
+    return labels, [" ".join(words)] if found is None else [" and ".join(sorted(c)) for c in found]
 
 
 def _automaton(phrases):
@@ -119,7 +182,8 @@ def scan(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     Returns one row per input row: the id, ``n_words``, ``places`` (word
     numbers of the base phrases, ascending), ``base_labels``, ``labels`` (with
     those of further phrases and identifier tags), ``choices`` (alternatives
-    offered by tags, each its licences joined by `` and ``) and ``score``
+    offered by tags, each its licences joined by `` and ``; an expression with too
+    many to list stands there itself) and ``score``
     (how sure a licence is named, 0 to 1). Null and empty texts name none.
     Repeated and null ids stay as they are; other columns are not carried.
     """
@@ -159,8 +223,8 @@ def _one(raw: bytes, phrases, tags):
     if "license-identifier:" in seen:
         for end in sorted({e for e, _ in tags.iter(seen)}):
             stop = seen.find("\n", end)
-            for choice in choices(seen[end + 1 : stop if stop >= 0 else len(seen)]):
-                more |= choice
-                offered.append(" and ".join(sorted(choice)))
+            names, ways = named(seen[end + 1 : stop if stop >= 0 else len(seen)])
+            more |= names
+            offered += ways
     score = 1 - (1 - PHRASE_WEIGHT) ** min(len(places), 8) * (1 - TAG_WEIGHT) ** min(len(offered), 4)
     return len(words), sorted(places), sorted(base), sorted(base | more), sorted(set(offered)), float(score)

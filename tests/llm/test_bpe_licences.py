@@ -79,6 +79,23 @@ def test_expressions():
     assert sets("") == sets("and mit") == sets("(mit") == []
 
 
+def test_long_expressions(spark):
+    names = [f"l-{i}" for i in range(3000)]
+    every = " and ".join(names)
+    grouped = " and ".join(f"({a} or {b})" for a, b in zip(names[::2], names[1::2]))
+    nested = "(".join(f"{n} {'and' if i % 2 else 'or'} " for i, n in enumerate(names[:-1])) + "(" + names[-1] + ")" * (len(names) - 1)
+    cases = [every, f"({every})", " or ".join(names), grouped, nested, f"(x or y) and {every}"]
+    texts = [f"SPDX-License-Identifier: {e}\nnext" for e in cases]
+    out = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows(texts), DOCUMENTS)).collect()}
+    for d in range(len(cases)):
+        assert set(out[d].labels) - {"x", "y"} == set(names), cases[d][:40]
+    assert out[0].choices == out[1].choices == [" and ".join(sorted(names))]
+    assert out[2].choices == sorted(names) and out[3].choices == [grouped.replace("(", "( ").replace(")", " )")]
+    assert out[5].choices == sorted(" and ".join(sorted([*names, n])) for n in "xy")
+    some = "(a or b) and (c or d) and e with f"
+    assert license_scan.choices(some) == [frozenset([x, y, "e with f"]) for x in "ab" for y in "cd"]
+
+
 @pytest.mark.parametrize("name", ["op8_byte_bpe", "op10_license_scan"])
 def test_odd_tables(spark, write, name):
     assert queries.QUERIES[name](spark, write(documents=([], DOCUMENTS))).collect() == []
