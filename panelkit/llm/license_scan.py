@@ -25,7 +25,7 @@ BASE_PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Phrases that add a label only.
+#: Phrases that add a label and count in the score; their places are not reported.
 MORE_PHRASES = {
     "gnu lesser general public license": "lgpl",
     "gnu affero general public license": "agpl",
@@ -184,7 +184,8 @@ def scan(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     those of further phrases and identifier tags), ``choices`` (alternatives
     offered by tags, each its licences joined by `` and ``; an expression with too
     many to list stands there itself) and ``score``
-    (how sure a licence is named, 0 to 1). Null and empty texts name none.
+    (how sure a licence is named, 0 to 1: by the
+    places of all phrases and the alternatives of tags). Null and empty texts name none.
     Repeated and null ids stay as they are; other columns are not carried.
     """
 
@@ -210,7 +211,7 @@ def scan(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
 def _one(raw: bytes, phrases, tags):
     words = raw.translate(_WORDS).split()
     line = " " + b" ".join(words).decode("latin-1") + " "  # one character a byte
-    places, base, more = [], set(), set()
+    places, base, more, further = [], set(), set(), 0
     for end, phrase in phrases.iter(line):
         phrase_words = phrase.strip()
         if phrase_words in BASE_PHRASES:
@@ -218,6 +219,7 @@ def _one(raw: bytes, phrases, tags):
             base.add(BASE_PHRASES[phrase_words])
         else:
             more.add(MORE_PHRASES[phrase_words])
+            further += 1
     offered: list[str] = []
     seen = raw.translate(_LOWER).decode("latin-1")
     if "license-identifier:" in seen:
@@ -226,5 +228,5 @@ def _one(raw: bytes, phrases, tags):
             names, ways = named(seen[end + 1 : stop if stop >= 0 else len(seen)])
             more |= names
             offered += ways
-    score = 1 - (1 - PHRASE_WEIGHT) ** min(len(places), 8) * (1 - TAG_WEIGHT) ** min(len(offered), 4)
+    score = 1 - (1 - PHRASE_WEIGHT) ** (len(places) + further) * (1 - TAG_WEIGHT) ** len(offered)
     return len(words), sorted(places), sorted(base), sorted(base | more), sorted(set(offered)), float(score)

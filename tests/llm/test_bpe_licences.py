@@ -96,6 +96,15 @@ def test_long_expressions(spark):
     assert license_scan.choices(some) == [frozenset([x, y, "e with f"]) for x in "ab" for y in "cd"]
 
 
+def test_score(spark):
+    texts = [f"see the {p} here" for p in license_scan.MORE_PHRASES] + ["no notice", None]
+    texts += ["mit license " * n for n in (1, 8, 9)] + ["".join(f"SPDX-License-Identifier: l-{i}\n" for i in range(n)) for n in (4, 5)]
+    score = [r.score for r in sorted(license_scan.scan(spark.createDataFrame(rows(texts), DOCUMENTS)).collect(), key=lambda r: r.doc_id)]
+    n = len(license_scan.MORE_PHRASES)
+    assert score[:n] == [pytest.approx(license_scan.PHRASE_WEIGHT)] * n and score[n : n + 2] == [0, 0]
+    assert score[n + 2] < score[n + 3] < score[n + 4] < 1 and score[n + 5] < score[n + 6] < 1
+
+
 @pytest.mark.parametrize("name", ["op8_byte_bpe", "op10_license_scan"])
 def test_odd_tables(spark, write, name):
     assert queries.QUERIES[name](spark, write(documents=([], DOCUMENTS))).collect() == []
