@@ -13,6 +13,8 @@ from . import (
     decontamination,
     license_scan,
     minhash_forest,
+    periodic_runs,
+    ptolemaic_clusters,
     quality_classifier,
     quality_rules,
     secret_scan,
@@ -130,3 +132,74 @@ def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op11_ptolemaic_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    out = ptolemaic_clusters.cluster(table(spark, sf, "embeddings"))
+    components = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest(components).alias("centroid_sha256"))
+
+
+def _clusters_sql(clusters: int, rounds: int, width: int) -> str:
+    gap = "list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT row, best.k AS cluster, best.d AS distance
+  FROM (SELECT row, min({{'d': {gap}, 'k': k}}) AS best FROM vectors, c{r} GROUP BY row)
+)""")
+        if r < rounds:
+            steps.append(f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT k, coalesce(m, c) AS c FROM c{r} LEFT JOIN (
+    SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS m
+    FROM (SELECT cluster, i, sum(v)::HUGEINT AS s, count(*) AS n
+          FROM (SELECT cluster, unnest(x) AS v, unnest(range({width})) AS i FROM a{r} JOIN vectors USING (row)) GROUP BY cluster, i)
+    GROUP BY cluster
+  ) ON cluster = k
+)""")
+    return f"""
+WITH vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda e: floor({ptolemaic_clusters.SCALE} * e::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {width}
+),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x AS c
+  FROM (SELECT sha256('1:' || vec_id) AS h, x FROM vectors ORDER BY h, x LIMIT {clusters})
+),{",".join(steps)}
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN vectors USING (row) JOIN c{rounds} ON k = cluster
+"""
+
+
+SQL["op11_ptolemaic_clusters"] = _clusters_sql(ptolemaic_clusters.CLUSTERS, ptolemaic_clusters.ROUNDS, ptolemaic_clusters.WIDTH)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """One document of ten, by the checksum of its id, repeats a stretch of its words to its end."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.col("text").cast("string"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    out = docs.select("doc_id", "text", (crc % 10).alias("h"), F.floor(crc / 10).alias("g"))
+    out = out.withColumn("words", F.when(F.col("h") == 0, words)).withColumn("n", F.size("words").cast("long"))
+    out = out.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    out = out.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    repeated = F.transform("words", lambda w, i: F.get("words", at(i.cast("long")).cast("int")))
+    return out.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    out = periodic_runs.runs(with_planted_runs(table(spark, sf, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    out = out.withColumn("best", best).withColumn("lines", F.array_join(lines, ""))
+    length, period = F.col("best.l"), -F.col("best.p")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), digest(F.col("lines")).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"),
+    )
