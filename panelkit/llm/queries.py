@@ -21,6 +21,7 @@ from . import (
     sharding,
     substring_dedup,
     suffix_dedup,
+    toxicity_crf,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,3 +204,8 @@ def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), length.alias("length"), period.alias("period"),
         F.floor(1000 * length / period).alias("exponent_milli"), digest(F.col("lines")).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"),
     )
+
+
+@query
+def op13_toxicity_crf(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity_crf.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
