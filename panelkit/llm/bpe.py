@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import grams
+from . import carried, grams
+from .columns import free
 
 #: Distinct pieces that a task remembers.
 CACHE_PIECES = 200_000
@@ -155,11 +157,31 @@ def encode(
     return docs.mapInArrow(each, schema).withColumnRenamed("id", id)
 
 
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """All columns of ``df`` and ``ids``, with the text that the ids decode to in place of ``text``; a null text becomes empty."""
+    ids, again = free(df, ids), free(df, "decoded")
+    at = df.columns.index(text)
+
+    def begin() -> carried.Compute:
+        own = _Vocabulary(vocabulary, pattern)
+
+        def compute(batch: pa.RecordBatch, piece: grams.Piece) -> list[pa.Array]:
+            found, bounds = own.encode([t or "" for t in batch.column(at)[piece.first : piece.last].to_pylist()])
+            return [_list(found, bounds), _joined(own.bytes, own.offsets, found, bounds)]
+
+        return compute
+
+    out = carried.with_columns(df, text, [(ids, T.ArrayType(T.IntegerType())), (again, T.BinaryType())], begin, TEXT_BYTES)
+    return out.withColumn(text, F.col(again).cast("string")).drop(again)
+
+
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
-    """All columns of ``df`` and ``decoded``: the bytes of the tokens, joined. Null ids decode to nothing."""
-    names = [*df.columns, "decoded"]
-    if "decoded" in df.columns:
-        raise ValueError("the input has a column named decoded")
+    """All columns of ``df`` and ``decoded``: the bytes of the tokens, joined. Null ids decode to nothing.
+
+    If ``df`` has a column of that name, the new one gets underscores at its end.
+    """
+    decoded = free(df, "decoded")
+    names = [*df.columns, decoded]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = token_bytes(vocabulary)
@@ -173,7 +195,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(c[first : first + STEP] for c in batch.columns), raw], names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(each, f"{fields}, decoded binary")
+    return df.mapInArrow(each, f"{fields}, `{decoded}` binary")
 
 
 #: Rows decoded at once.

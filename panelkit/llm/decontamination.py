@@ -17,8 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import grams
+from pyspark.sql import types as T
+
+from . import carried, grams
 from .bpe import spread
+from .columns import free
 
 RADIUS = 20
 #: Blocks of three bits, the last of four: one more than the radius.
@@ -126,16 +129,47 @@ def matches(df: DataFrame, items: DataFrame, text: str = "text", id: str = "doc_
     Repeated rows are reported each; a document without id is reported with a
     null id. Other columns are not carried.
     """
-    spark = df.sparkSession
     docs = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    out = None
+    for block in _blocks(items, item_id):
+        found = docs.mapInArrow(_matcher(block, width, percent), SCHEMA)
+        out = out.unionByName(found) if out else found
+    return out.withColumnRenamed("id", id).withColumnRenamed("item", item_id)
+
+
+def clean(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df``, all columns as they are, that ``matches`` finds no item in; one map for each block of items."""
+    mark = free(df, "leaks")
+    for block in _blocks(items, item_id):
+        df = carried.with_columns(df, text, [(mark, T.BooleanType())], _marker(block, width, percent)).where(~F.col(mark)).drop(mark)
+    return df
+
+
+def _blocks(items: DataFrame, item_id: str) -> Iterator[pa.Table]:
+    """The items with a text, in blocks of about ``ITEM_BYTES``; at least one."""
     known = items.select(F.col(item_id).cast("long").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // ITEM_BYTES) or 1
-    out = spark.createDataFrame([], SCHEMA)
     for b in range(blocks):
-        block = known.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).orderBy("item", "text").toArrow()
-        out = out.unionByName(docs.mapInArrow(_matcher(block, width, percent), SCHEMA)) if b else docs.mapInArrow(_matcher(block, width, percent), SCHEMA)
-    return out.withColumnRenamed("id", id).withColumnRenamed("item", item_id)
+        yield known.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).orderBy("item", "text").toArrow()
+
+
+def _marker(block: pa.Table, width: int, percent: int):
+    ids, texts = block.column("item").to_pylist(), block.column("text").combine_chunks()
+
+    def begin() -> carried.Compute:
+        items = _Items(ids, texts, width)
+
+        def compute(_: pa.RecordBatch, piece: grams.Piece) -> list[pa.Array]:
+            hashes, bounds = document_words(piece)
+            out = np.zeros(piece.last - piece.first, bool)
+            for row, sizes in _gated(items, hashes, bounds).items():
+                out[row] = next(_best(items, hashes[bounds[row] : bounds[row + 1]], sizes, width, percent), None) is not None
+            return [pa.array(out)]
+
+        return compute
+
+    return begin
 
 
 SCHEMA = "id long, item long, start_word long, n_words long, similarity double"

@@ -17,7 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import grams
+from pyspark.sql import types as T
+
+from . import carried, grams
+from .columns import free
 from .store import stage
 
 BITS = 18
@@ -125,28 +128,35 @@ def _weight(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def score(df: DataFrame, model: tuple[np.ndarray, float], text: str = "text", id: str = "doc_id", key: str | None = None) -> DataFrame:
-    """``id`` and ``score`` of every row, the chance of label 1; with ``key`` also that column, a long."""
+def _chances(piece: grams.Piece, model: tuple[np.ndarray, float]) -> pa.Array:
     weights, bias = model
-    names = ["id", "score", "key"] if key else ["id", "score"]
+    slot, value, first = features(piece)
+    return pa.array(1.0 / (1.0 + np.exp(-np.clip(_sums(weights[slot] * value, first) + bias, -35, 35))))
+
+
+def score(df: DataFrame, model: tuple[np.ndarray, float], text: str = "text", id: str = "doc_id") -> DataFrame:
+    """``id`` and ``score`` of every row, the chance of label 1."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in grams.pieces(batch.column(1)):
-                slot, value, first = features(piece)
-                sums = np.clip(_sums(weights[slot] * value, first) + bias, -35, 35)
-                rows = slice(piece.first, piece.last)
-                own = [batch.column(2)[rows]] if key else []
-                yield pa.RecordBatch.from_arrays([batch.column(0)[rows], pa.array(1.0 / (1.0 + np.exp(-sums))), *own], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[piece.first : piece.last], _chances(piece, model)], ["id", "score"])
 
-    docs = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *([F.col(key).cast("long").alias("key")] if key else []))
-    out = docs.mapInArrow(each, "id long, score double" + ", key long" * bool(key))
-    return (out.withColumnRenamed("key", key) if key else out).withColumnRenamed("id", id)
+    docs = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    return docs.mapInArrow(each, "id long, score double").withColumnRenamed("id", id)
+
+
+def accepted(
+    df: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "quality", threshold: float = 0.3, rows: int = SAMPLE,
+) -> DataFrame:
+    """The rows of ``df``, all columns as they are, that ``classify`` predicts as label 1; judged one by one in a single map."""
+    model, chance = train(sample(df, labels, text, id, label, rows)), free(df, "score")
+    scored = carried.with_columns(df, text, [(chance, T.DoubleType())], lambda: lambda _, piece: [_chances(piece, model)])
+    return scored.where(F.col(chance) >= threshold).drop(chance)
 
 
 def classify(
     df: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "quality", threshold: float = 0.3, rows: int = SAMPLE,
-    key: str | None = None,
 ) -> DataFrame:
     """``id, held_out, score, predicted`` of every row, trained on ``labels``.
 
@@ -154,8 +164,8 @@ def classify(
     text enters a score. Null and empty texts score as the intercept alone; a
     null id is not held out. Repeated ids are scored each by its own text;
     several labels of an id count by the lowest. Without labels all score 0.5.
-    Other columns are not carried, except ``key``, a row's own number.
+    Other columns are not carried.
     """
-    out = score(df, train(sample(df, labels, text, id, label, rows)), text, id, key)
+    out = score(df, train(sample(df, labels, text, id, label, rows)), text, id)
     held = F.coalesce(held_out(id), F.lit(False))
-    return out.select(id, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *([key] if key else []))
+    return out.select(id, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

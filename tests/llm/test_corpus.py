@@ -5,7 +5,7 @@ import brute
 import pytest
 from conftest import DOCUMENTS, rows
 
-from panelkit.llm import decontamination, quality_classifier, queries
+from panelkit.llm import decontamination, quality_classifier, queries, store
 
 LABELS = "doc_id long, quality int, toxic int"
 ITEMS = "item_id long, text string"
@@ -157,8 +157,11 @@ def test_pipeline_decides_by_row(spark, write):
     )
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, step in corpus_pipeline.STAGES[:-1]:
-        docs = step(spark, docs, sf).localCheckpoint()
+        docs = store.stage(step(spark, docs, sf), "step")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "secrets", "row_key"]
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert last.columns == [*docs.columns, "ids", "n_tokens"]
+    assert last.drop("ids", "n_tokens").exceptAll(docs).count() == 0 == docs.count() - last.count()
     out = docs.collect()
     left = sorted(((r.doc_id, r.text) for r in out if r.doc_id is None or r.doc_id >= 9000), key=str)
     want = [(None, clean[0]), (9001, twin), (9002, clean[1]), (9003, clean[2]), (9004, double), (9006, copy), (9006, clean[3])]

@@ -6,6 +6,8 @@ import parity
 import pytest
 from conftest import DOCUMENTS, rows
 
+from pyspark.sql import functions as F
+
 from panelkit.llm import quality_rules, queries, secret_scan, sharding
 
 NATIVE = ["op3_quality_rules", "op4_sharding", "op9_secret_scan"]
@@ -32,7 +34,7 @@ def test_secrets(spark, write, corpus):
 def test_entropy_of_every_window(spark):
     rnd = random.Random(1)
     words = ["".join(rnd.choice("abcdef0123456789XYZ+/"[: rnd.randint(2, 21)]) for _ in range(rnd.randint(20, 60))) for _ in range(40)]
-    df = spark.createDataFrame([(w,) for w in words], "v string").selectExpr("v", f"{secret_scan._entropy('v')} AS e")
+    df = spark.createDataFrame([(w,) for w in words], "v string").select("v", secret_scan._entropy(F.col("v")).alias("e"))
     for r in df.collect():
         assert r.e == pytest.approx(entropy(r.v), abs=1e-9)
 
