@@ -2,9 +2,10 @@
 
 A task gets its texts as Arrow batches. ``pieces`` cuts a batch into runs of
 whole documents of a few megabytes, so the arrays of a task stay bounded
-whatever the batch holds. All hashes are 64-bit polynomials over the ring of
-unsigned 64-bit integers, finished with a mixer; a slice's hash costs one
-subtraction and one product of prefix sums.
+whatever the batch holds. All hashes are polynomials modulo the prime 2**61 - 1
+with a random base, finished with a mixer: unlike arithmetic modulo a power
+of two, no structured text makes them meet more often than chance. A slice's
+hash costs one subtraction and one product of prefix sums.
 """
 
 from __future__ import annotations
@@ -16,18 +17,54 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 1 << 21
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_PRIME = (1 << 61) - 1
+_P = np.uint64(_PRIME)
+_BASE = 1_573_680_962_116_398_497
+_INVERSE = pow(_BASE, -1, _PRIME)
+#: Elements multiplied at once, so that the steps of a product stay in the processor's cache.
+_AT_ONCE = 1 << 14
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit values modulo the prime."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, for reduced values."""
+    low, half, rest = np.uint64((1 << 31) - 1), np.uint64(31), np.uint64((1 << 30) - 1)
+    out = np.empty(len(a), np.uint64)
+    for i in range(0, len(a), _AT_ONCE):
+        x, y = a[i : i + _AT_ONCE], b[i : i + _AT_ONCE]
+        xl, xh, yl, yh = x & low, x >> half, y & low, y >> half
+        middle = xh * yl
+        middle += xl * yh
+        total = xh * yh
+        total <<= np.uint64(1)
+        total += middle >> np.uint64(30)
+        middle &= rest
+        middle <<= half
+        total += middle
+        xl *= yl
+        total += xl
+        out[i : i + _AT_ONCE] = _reduced(total)
+    return out
+
+
+def _less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a - b modulo the prime, for reduced values."""
+    return np.where(a >= b, a - b, a + (_P - b))
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) in uint64 by doubling."""
+    """base**0 .. base**(n-1) modulo the prime by doubling."""
     out = np.ones(max(n, 1), np.uint64)
-    filled, step = 1, base & (2**64 - 1)
+    filled, step = 1, base
     while filled < n:
         take = min(filled, n - filled)
-        out[filled : filled + take] = out[:take] * np.uint64(step)
-        filled, step = filled + take, step * step & (2**64 - 1)
+        out[filled : filled + take] = _product(out[:take], np.full(take, step, np.uint64))
+        filled, step = filled + take, step * step % _PRIME
     return out
 
 
@@ -61,17 +98,26 @@ BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE
 
 
 def prefix(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values[i] * base**i; one longer than the input."""
+    """Prefix sums of values[i] * base**i modulo the prime; one longer than the input."""
     up, _ = _TABLES.of(len(values) + 1)
+    terms = _product(_reduced(values), up[: len(values)])
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=out[1:])
+    # Sums of halves stay below 2**64 for up to 2**32 values.
+    low, high = np.cumsum(terms & np.uint64(0xFFFFFFFF)), _reduced(np.cumsum(terms >> np.uint64(32)))
+    # high * 2**32 modulo the prime: its upper 32 bits wrap around to the front.
+    high = ((high & np.uint64((1 << 29) - 1)) << np.uint64(32)) + (high >> np.uint64(29))
+    out[1:] = _reduced(_reduced(low) + high)
     return out
 
 
+def _moved(sums: np.ndarray, start: np.ndarray, down: np.ndarray, length: np.ndarray | np.uint64) -> np.ndarray:
+    return mix(_product(_less(sums, start), down) + length)
+
+
 def slice_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Mixed hash of the values in [start, end); equal for equal slices anywhere."""
     _, down = _TABLES.of(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    return _moved(sums[end], sums[start], down[start], (end - start).astype(np.uint64) << np.uint64(32))
 
 
 def gram_hash(sums: np.ndarray, q: int) -> np.ndarray:
@@ -80,7 +126,7 @@ def gram_hash(sums: np.ndarray, q: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     _, down = _TABLES.of(len(sums))
-    return mix((sums[q:] - sums[:n]) * down[:n] + np.uint64(q))
+    return _moved(sums[q:], sums[:n], down[:n], np.uint64(q << 32))
 
 
 @dataclass
@@ -209,7 +255,7 @@ def _part(sums, bounds, window, gram, low, high):
     size = high - low + window - 1
     local = sums[low : low + size + 1]
     _, down = _TABLES.of(len(sums))
-    grams = mix((local[gram:] - local[: size - gram + 1]) * down[low : low + size - gram + 1] + np.uint64(gram))
+    grams = _moved(local[gram:], local[: size - gram + 1], down[low : low + size - gram + 1], np.uint64(gram << 32))
     order = (grams >> np.uint64(_INDEX_BITS)) << np.uint64(_INDEX_BITS) | np.arange(len(grams), dtype=np.uint64)
     chosen = (_sliding_min(order, window - gram + 1) & np.uint64((1 << _INDEX_BITS) - 1)).astype(np.int64)
     ok = _inside(bounds, window, low, high)
