@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, LinearRegressionModel
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -16,15 +16,15 @@ from pyspark.sql.window import Window
 
 from ..functions import draws
 from ..sources.staging import stage
-from .clean import impute_mean
-from .joins import fan_out
+from . import trees
+from .joins import lookup_join
 from .ordering import in_pieces
 
 # Fixed values of the boosting job.
 BOOST_ROUNDS = 50
 BOOST_RATE = 0.01
 BOOST_DEPTH = 3
-# Largest tree Spark ML grows; the original tree has no limit.
+# The original tree has no limit; nodes are numbered by 64-bit paths.
 TREE_DEPTH = 30
 
 
@@ -90,131 +90,55 @@ def linear_scorer(vector: str, weights: Sequence[float], bias: float = 0.0):
     return load
 
 
-def chunk_table(cells: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Regression cells of one chunk as a wide table, one row per (id, task).
+def tree_splits(
+    cells: DataFrame, chunk_features: Mapping[int, Sequence[str]], train: Column, depth: int = TREE_DEPTH, max_bins: int = trees.MAX_BINS,
+) -> tuple[DataFrame, DataFrame]:
+    """One regression tree per (chunk, task): its nodes, and every row with the value of its leaf.
 
-    Nulls become the mean over the ids, each counted once whatever its number
-    of tasks. A chunk with a feature without any value has no mean for it, and
-    no rows.
+    Nodes are (chunk_index, task, node, n, value, feature, threshold); rows with
+    the feature up to the threshold go to node ``2 * node``, others to the next. Leaves are
+    (chunk_index, task, id, train, diff, prediction).
     """
-    wide = cells.groupBy("id").pivot("feature", list(features)).agg(F.first("value", ignorenulls=True))
-    filled = impute_mean(wide, features).dropna(subset=list(features))
-    return fan_out(filled, cells.select("id", "task", "diff").distinct(), ["id"], "tasks_of")
-
-
-def tasks_of(df: DataFrame) -> list:
-    """The tasks that occur, a short list by nature: there is one model for each."""
-    return [r.task for r in df.select("task").distinct().orderBy("task").toLocalIterator()]
+    rows, edges = trees.chunk_rows(cells, chunk_features, max_bins)
+    rows = stage(rows.select("chunk_index", "task", "id", "diff", "bins", train.alias("train"), trees.whole(F.col("diff")).alias("y"), F.lit(1).cast("long").alias("w")), "tree_rows")
+    grown = trees.grow(rows, ["chunk_index", "task"], depth)
+    back = F.col("value") / trees.SCALE
+    leaves = grown.leaves.select("chunk_index", "task", "id", "train", "diff", back.alias("prediction"))
+    names = stage(edges.withColumnRenamed("at", "feature_at"), "names")
+    nodes = lookup_join(grown.nodes.withColumnRenamed("feature", "feature_at"), names, ["chunk_index", "feature_at"], "left")
+    return nodes.select("chunk_index", "task", "node", "n", back.alias("value"), "feature", F.get("edges", F.col("bin")).alias("threshold")), leaves
 
 
 def tree_per_chunk(
-    cells: DataFrame, chunk_features: Mapping[int, Sequence[str]], train: Column,
-    depth: int = TREE_DEPTH, max_bins: int = 32,
+    cells: DataFrame, chunk_features: Mapping[int, Sequence[str]], train: Column, depth: int = TREE_DEPTH, max_bins: int = trees.MAX_BINS,
 ) -> DataFrame:
     """One regression tree per (chunk, task), and its mean absolute error on the rest.
 
     ``cells`` is (chunk_index, id, task, feature, value, diff, ...); ``train``
-    tells the training ids. The loop is over chunks and tasks, two short
-    lists; each fit and its evaluation run over all rows on the cluster.
+    tells the training ids. All trees grow together, one aggregation a level.
+    A tree without other rows is not listed.
     """
-    out: DataFrame | None = None
-    for chunk, features in sorted(chunk_features.items()):
-        wide = chunk_table(cells.where(F.col("chunk_index") == chunk), features)
-        known = F.col("diff").isNotNull()
-        rows = stage(assemble(wide.where(known), features).select("id", "task", "diff", "_x"), "tree_rows")
-        for task in tasks_of(rows.where(train)):
-            own = rows.where(F.col("task") == F.lit(task))
-            fitter = DecisionTreeRegressor(
-                featuresCol="_x", labelCol="diff", maxDepth=depth, maxBins=max_bins, seed=0
-            )
-            model = fitter.fit(own.where(train))
-            scored = model.transform(own.where(~train)).agg(
-                F.lit(chunk).alias("chunk_index"),
-                F.lit(task).alias("task"),
-                F.count("*").alias("n_test"),
-                F.avg(F.abs(F.col("diff") - F.col("prediction"))).alias("mae"),
-            )
-            out = scored if out is None else out.unionByName(scored)
-    if out is None:
-        raise ValueError("no chunks given, or no training rows")
-    return out
+    _, leaves = tree_splits(cells, chunk_features, train, depth, max_bins)
+    gap = F.abs(F.col("diff") - F.col("prediction"))
+    return leaves.where(~F.col("train")).groupBy("chunk_index", "task").agg(F.count("*").alias("n_test"), F.avg(gap).alias("mae"))
 
 
-class BoostedTrees:
-    """AdaBoost.R2 (Drucker 1997, linear loss) over Spark ML trees.
+def boosted_correction(
+    train: DataFrame, test: DataFrame, features: Sequence[str], rounds: int = BOOST_ROUNDS, rate: float = BOOST_RATE, depth: int = BOOST_DEPTH,
+) -> tuple[trees.Boosted, DataFrame]:
+    """A booster per task, fitted on (task, diff, features...), and the test rows with ``predicted_diff``.
 
-    Rounds depend on each other; every round stores the row weights, so a
-    lost executor costs one round at most.
+    The bins of a feature come from the training rows of all tasks. A null feature is an error.
     """
-
-    def __init__(
-        self, features: Sequence[str], label: str, rounds: int = BOOST_ROUNDS,
-        rate: float = BOOST_RATE, depth: int = BOOST_DEPTH, seed: int = 5,
-    ) -> None:
-        self.features, self.label = list(features), label
-        self.rounds, self.rate, self.depth, self.seed = rounds, rate, depth, seed
-        self.models: list = []
-        self.weights: list[float] = []
-
-    def fit(self, train: DataFrame) -> BoostedTrees:
-        import math
-
-        rows = stage(
-            assemble(train, self.features).select("_x", self.label).withColumn("_w", F.lit(1.0)),
-            "boost",
-        )
-        for number in range(self.rounds):
-            model = DecisionTreeRegressor(
-                featuresCol="_x", labelCol=self.label, weightCol="_w",
-                maxDepth=self.depth, seed=self.seed + number,
-            ).fit(rows)
-            errors = model.transform(rows).withColumn(
-                "_e", F.abs(F.col(self.label) - F.col("prediction"))
-            )
-            worst, total, weighted = errors.agg(
-                F.max("_e"), F.sum("_w"), F.sum(F.col("_w") * F.col("_e"))
-            ).first()
-            if not worst:
-                self.models.append(model)
-                self.weights.append(1.0)
-                break
-            loss = weighted / worst / total
-            if loss >= 0.5:
-                if not self.models:
-                    self.models.append(model)
-                    self.weights.append(1.0)
-                break
-            beta = loss / (1 - loss)
-            self.models.append(model)
-            self.weights.append(self.rate * math.log(1 / beta))
-            if number + 1 < self.rounds:
-                power = (1 - F.col("_e") / F.lit(worst)) * F.lit(self.rate)
-                grown = F.col("_w") / F.lit(total) * F.pow(F.lit(beta), power)
-                rows = stage(errors.select("_x", self.label, grown.alias("_w")), "boost")
-        return self
-
-    def predict(self, df: DataFrame, out: str = "predicted_diff") -> DataFrame:
-        """Weighted median of the trees' predictions, inside the row."""
-        scored = assemble(df, self.features)
-        names = []
-        for i, model in enumerate(self.models):
-            names.append(f"_p{i}")
-            model.setPredictionCol(names[-1])
-            scored = model.transform(scored)
-        votes = F.array_sort(
-            F.array(*[F.struct(F.col(n).alias("p"), F.lit(w).alias("w")) for n, w in zip(names, self.weights)])
-        )
-        half = sum(self.weights) / 2
-        state = F.aggregate(
-            votes,
-            F.struct(F.lit(0.0).alias("w"), F.lit(None).cast("double").alias("p")),
-            lambda s, v: F.struct(
-                (s["w"] + v["w"]).alias("w"),
-                F.when(s["p"].isNotNull(), s["p"])
-                .when(s["w"] + v["w"] >= half * (1 - 1e-12), v["p"]).alias("p"),
-            ),
-        )
-        return scored.withColumn(out, state["p"]).drop("_x", *names)
+    names = list(features)
+    long = train.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in names])).alias("place", "value"))
+    edges = stage(trees.bin_edges(long, ["place"], "value"), "edges")
+    # One row for each feature.
+    found = {r.place: r.edges for r in edges.toLocalIterator()}
+    known = lambda c: F.when(F.col(c).isNotNull(), F.col(c).cast("double")).otherwise(F.raise_error(F.lit(f"{c} is null")).cast("double"))
+    bins = F.array(*[trees.bin_of(known(c), F.lit(found.get(i, [])).cast("array<double>")) for i, c in enumerate(names)]).alias("bins")
+    model = trees.Boosted(["task"], rounds, rate, depth).fit(train.where("diff is not null").select("task", bins, trees.whole(F.col("diff")).alias("y")))
+    return model, model.predict(test.withColumn("bins", bins), "predicted_diff").drop("bins")
 
 
 def _normal(seed: object, *keys: Column | str) -> Column:

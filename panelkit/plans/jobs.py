@@ -1,13 +1,12 @@
 """The four jobs: panel scores, sampled corpus, baseline, biographies.
 
 Each is one lineage keyed by (task, chunk_index, id); no job loops over ids.
-Models are fitted one by one: a tree per (chunk, task), a booster per task.
+Trees of all (chunk, task), and boosters of all tasks, grow together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,11 +106,7 @@ def corrected_by_boosting(
     A task without training rows gets no booster and is not scored; a null
     feature is an error.
     """
-    parts = []
-    for task in models.tasks_of(train):
-        own = F.col("task") == F.lit(task)
-        boosted = models.BoostedTrees(features, "diff", rounds).fit(train.where(own))
-        parts.append(boosted.predict(test.where(own)).select("id", "task", "predicted_diff"))
-    scored = reduce(DataFrame.unionByName, parts, test.select("id", "task", F.lit(None).cast("double").alias("predicted_diff")).limit(0))
+    _, scored = models.boosted_correction(train, test, features, rounds)
+    scored = scored.where("predicted_diff is not null").select("id", "task", "predicted_diff")
     joined = lookup_join(residuals, stage(scored, "boosted"), ["id", "task"])
     return evaluate.compare_with_baseline(joined, ["task"], {"boosted": "predicted_diff"})

@@ -441,34 +441,6 @@ def impute_chained(spark, sf):
     )
 
 
-@query("tree_per_chunk")
-def tree_per_chunk(spark, sf):
-    cells, chunks = _chunked(spark, sf)
-    known = t.two_tasks(spark, sf).where("diff IS NOT NULL")
-    table_ = stage(labels.chunk_regression_cells(cells, chunks, stage(known, "known")), "tree_cells")
-    listed = {i // 7: t.PANEL_FEATURES[i : i + 7] for i in range(0, len(t.PANEL_FEATURES), 7)}
-    from ..functions.draws import draw_below
-
-    return models.tree_per_chunk(table_, listed, ~draw_below(1, 0.2, "id"), depth=5)
-
-
-@query("boost_chunk_predictions")
-def boost_chunk_predictions(spark, sf):
-    """Boosted correction of the benchmark from the chunk predictions, by task; a chunk without one counts as its mean."""
-    from ..functions.draws import draw_below
-
-    res = stage(evaluate.with_residual(t.residuals(spark, sf)), "residuals")
-    means = evaluate.mean_per_id(t.task_scores(spark, sf, res), ["id", "task", "chunk_index"], "score")
-    wide = report.pivot_chunk_predictions(means, range(t.N_SCORE_CHUNKS))
-    cols = [str(i) for i in range(t.N_SCORE_CHUNKS)]
-    rows = lookup_join(clean.impute_mean(wide, cols), res.select("id", "task", "diff"), ["id", "task"])
-    rows = stage(rows.toDF("id", "task", *[f"c{c}" for c in cols], "diff"), "boost_rows")
-    in_test = draw_below(2, 0.2, "id")
-    return jobs.corrected_by_boosting(
-        rows.where(~in_test), rows.where(in_test).drop("diff"), res, [f"c{c}" for c in cols], rounds=3
-    )
-
-
 # Files.
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelkit.operators import evaluate, labels, models
+from panelkit.operators import evaluate, labels, models, trees
 from panelkit.sources import files
 
 
@@ -116,34 +116,82 @@ def test_chained_imputation(spark):
     assert np.corrcoef(a.x, a.y)[0, 1] > 0.95
 
 
-def test_boosting_and_trees(spark):
+def test_trees_of_two_tasks(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 2))
     y = np.where(x[:, 0] > 0, 2.0, -1.0) + x[:, 1] * 0.1
     df = spark.createDataFrame([(i, *map(float, x[i]), float(y[i])) for i in range(400)], "id long, a double, b double, diff double")
-    model = models.BoostedTrees(["a", "b"], "diff", rounds=4, rate=0.5).fit(df)
-    got = model.predict(df).agg(F.avg(F.abs(F.col("diff") - F.col("predicted_diff"))), F.count("predicted_diff")).first()
-    assert len(model.models) == 4 and got[0] < 0.1 and got[1] == 400
-    # The weighted median against its definition.
-    row = model.predict(df).orderBy("id").first()
-    votes = sorted(
-        (m.transform(models.assemble(df.where("id = 0"), ["a", "b"])).first()[m.getPredictionCol()], w)
-        for m, w in zip(model.models, model.weights)
-    )
-    total, upto = sum(w for _, w in votes), 0.0
-    for p, w in votes:
-        upto += w
-        if upto >= total / 2:
-            assert row.predicted_diff == pytest.approx(p)
-            break
     # The second task has the opposite residual; one tree for both would find nothing.
     tasks = F.explode(F.array(F.struct(F.lit("t").alias("task"), F.col("diff")), F.struct(F.lit("u").alias("task"), (-F.col("diff")).alias("diff"))))
     cells = df.select("id", "a", "b", tasks.alias("t")).select(F.lit(0).alias("chunk_index"), "id", "t.task", "t.diff", F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in ("a", "b")])))
-    out = models.tree_per_chunk(cells, {0: ["a", "b"]}, F.col("id") < 300).collect()
+    out = models.tree_per_chunk(cells, {0: ["a", "b"]}, F.col("id") < 300).orderBy("task").collect()
     assert [(r.task, r.n_test) for r in out] == [("t", 100), ("u", 100)] and max(r.mae for r in out) < 0.2
 
 
+def brute_tree(rows, depth, node=1):
+    """Nodes of a tree by trying every split: {node: (n, mean, feature, bin)}."""
+    n, s = len(rows), sum(y for _, y in rows)
+    best = None
+    if depth and len({y for _, y in rows}) > 1:
+        for f in range(len(rows[0][0])):
+            for b in sorted({r[0][f] for r in rows})[:-1]:
+                left = [y for bins, y in rows if bins[f] <= b]
+                gain = sum(left) * sum(left) / len(left) + (s - sum(left)) * (s - sum(left)) / (n - len(left))
+                if best is None or gain > best[0]:
+                    best = (gain, f, b)
+    out = {node: (n, s / n, *(best[1:] if best else (None, None)))}
+    if best:
+        for side in (0, 1):
+            out |= brute_tree([r for r in rows if (r[0][best[1]] > best[2]) == bool(side)], depth - 1, 2 * node + side)
+    return out
+
+
+def test_grown_trees_against_every_split(spark):
+    rng = np.random.default_rng(7)
+    data = {m: [([int(v) for v in rng.integers(0, 4, 3)], int(rng.integers(-9, 10))) for _ in range(60)] for m in "ab"}
+    data["c"] = [([1, 1, 1], 5)] * 4
+    rows = [(m, i, True, bins, y, 1) for m, own in data.items() for i, (bins, y) in enumerate(own)]
+    rows += [("a", 99, False, [0, 0, 0], 0, 1), ("z", 99, False, [0, 0, 0], 0, 1)]
+    df = spark.createDataFrame(rows, "m string, id long, train boolean, bins array<int>, y long, w long")
+    for depth in (0, 2, 30):
+        grown = trees.grow(df, ["m"], depth)
+        got = {(r.m, r.node): (r.n, r.value, r.feature, r.bin) for r in grown.nodes.collect()}
+        assert got == {(m, k): v for m, own in data.items() for k, v in brute_tree(own, depth).items()}
+        leaves = grown.leaves.collect()
+        assert len(leaves) == len(rows) - 1 and all(r.value is not None for r in leaves)
+
+
+def test_boosting_of_all_tasks(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 2))
+    y = np.where(x[:, 0] > 0, 2.0, -1.0) + x[:, 1] * 0.1
+    rows = [(i, task, *map(float, x[i]), sign * float(y[i])) for task, sign in (("t", 1), ("u", -1)) for i in range(400)]
+    rows += [(i, "same", *map(float, x[i]), 3.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, task string, a double, b double, diff double")
+    model, out = models.boosted_correction(df, df.unionByName(df.limit(1).withColumn("task", F.lit("none"))), ["a", "b"], rounds=4, rate=0.5)
+    got = {r.task: r for r in out.groupBy("task").agg(F.avg(F.abs(F.col("diff") - F.col("predicted_diff"))).alias("gap"), F.count("predicted_diff").alias("n")).collect()}
+    assert got["t"].gap < 0.15 and got["u"].gap < 0.15 and got["same"].gap == 0 and got["none"].n == 0
+    assert [sorted(w) for w in model.weights][0] == [("same",), ("t",), ("u",)] and len(model.weights) == 4
+    # The weighted median against its definition.
+    edges = np.array([[r[2], r[3]] for r in rows])
+    bins = [[int((np.array(e) < v).sum()) for v, e in zip(edges[0], (sorted(set(np.sort(edges[:, j])[[-(-k * len(rows) // 32) - 1 for k in range(1, 32)]])) for j in (0, 1)))]]
+    votes = []
+    for found, own in zip(model.trees, model.weights):
+        nodes, node = {r.node: r for r in found if r.task == "t"}, 1
+        while node in nodes and nodes[node].feature is not None:
+            r = nodes[node]
+            right = bins[0][r.feature] > r.bin
+            node, value = 2 * node + right, r.right if right else r.left
+        votes.append((nodes[node].value if node in nodes else value, own[("t",)]))
+    votes.sort()
+    upto, half = 0.0, sum(w for _, w in votes) / 2
+    want = next(p for p, w in votes if (upto := upto + w) >= half)
+    assert out.where("id = 0 and task = 't'").first().predicted_diff == pytest.approx(want / trees.SCALE)
+    with pytest.raises(Exception, match="a is null"):
+        models.boosted_correction(df.withColumn("a", F.when(F.col("id") > 0, F.col("a"))), df, ["a", "b"], rounds=1)
+
+
 def test_score_batches_loads_once_per_task(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "id long, v array<double>").repartition(3)
     out = models.score_batches(df, models.linear_scorer("v", [2.0, 3.0], 1.0))
