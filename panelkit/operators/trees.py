@@ -145,78 +145,42 @@ def chunk_rows(cells: DataFrame, chunk_features: Mapping[int, Sequence[str]], ma
     return fan_out(ids, tasks, ["chunk_index", "id"], "tasks_of"), named
 
 
-def boost_round(rows: DataFrame, keys: Sequence[str], depth: int) -> list:
-    """The nodes of one shallow tree per ``keys``, as at most ``2 ** depth - 1`` rows each: (keys, node, feature, bin, left, right, value).
-
-    ``rows`` are staged; the way to a node is computed from the splits found so far, so no level is stored.
-    """
-    found: list = []
-    for level in range(depth):
-        under_way = rows.withColumn("node", node_of(found, keys, level)).where("node is not null")
-        found += best_splits(under_way, keys).collect()
-    return found
-
-
-def _literal(values: list, kind: str) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
-
-
-def _tables(found: list, keys: Sequence[str]) -> dict[tuple, dict]:
+def _arrays(nodes: dict, depth: int) -> tuple[list, list, list]:
+    """Features, bins and values of a shallow tree by node number; a leaf has no feature."""
+    size = 1 << (depth + 1)
+    feature, at, value = [None] * size, [None] * size, [None] * size
+    for i, r in sorted(nodes.items()):
+        feature[i], at[i] = r.feature, r.bin
+        if r.feature is None:
+            value[i] = r.value
+        else:
+            value[2 * i], value[2 * i + 1] = r.left, r.right
+    return feature, at, value
+
+
+def _walk(feature: Column, at: Column, levels: int) -> Column:
+    """The node that a row reaches after so many splits, or the leaf where it ends before."""
+    right = lambda n: (F.get("bins", F.get(feature, n)) > F.get(at, n)).cast("int")
+    step = lambda n, _: F.when(F.get(feature, n).isNull(), n).otherwise(2 * n + right(n))
+    return F.aggregate(F.array_repeat(F.lit(0), levels), F.lit(1), step)
+
+
+def _by_model(found: list, keys: Sequence[str]) -> dict[tuple, dict]:
     out: dict[tuple, dict] = {}
     for r in found:
         out.setdefault(tuple(r[k] for k in keys), {})[r.node] = r
     return out
 
 
-def _of_model(keys: Sequence[str], cases: dict[tuple, Column]) -> Column:
-    out = F
-    for model, value in cases.items():
-        is_it = F.lit(True)
-        for k, v in zip(keys, model):
-            is_it = is_it & F.col(k).eqNullSafe(F.lit(v))
-        out = out.when(is_it, value)
-    return out.otherwise(None) if cases else F.lit(None)
-
-
-def node_of(found: list, keys: Sequence[str], level: int) -> Column:
-    """The node that a row reaches after ``level`` splits, or null where its tree has ended."""
-    if level == 0:
-        return F.lit(1).cast("long")
-    cases = {}
-    for model, nodes in _tables(found, keys).items():
-        split = [nodes.get(i) for i in range(1 << level)]
-        feature, at = (_literal([s[c] if s else None for s in split], "int") for c in ("feature", "bin"))
-        node = F.lit(1)
-        for _ in range(level):
-            node = F.transform(F.array(node), lambda n: 2 * n + (F.get("bins", F.get(feature, n)) > F.get(at, n)).cast("int"))[0]
-        cases[model] = node.cast("long")
-    return _of_model(keys, cases)
-
-
-def value_of(found: list, keys: Sequence[str], depth: int) -> Column:
-    """The value of a row's leaf in a tree of ``boost_round``."""
-    cases = {}
-    for model, nodes in _tables(found, keys).items():
-        end: dict[int, float] = {}
-        for i, r in nodes.items():
-            if r.feature is None:
-                end[i] = r.value
-            else:
-                end.setdefault(2 * i, r.left)
-                end.setdefault(2 * i + 1, r.right)
-        split = [nodes.get(i) for i in range(1 << depth)]
-        feature, at = (_literal([s[c] if s else None for s in split], "int") for c in ("feature", "bin"))
-        values = _literal([end.get(i) for i in range(1 << (depth + 1))], "double")
-        node = F.lit(1)
-        for _ in range(depth):
-            step = lambda n: F.when(F.get(feature, n).isNull(), n).otherwise(2 * n + (F.get("bins", F.get(feature, n)) > F.get(at, n)).cast("int"))
-            node = F.transform(F.array(node), step)[0]
-        cases[model] = F.get(values, node)
-    return _of_model(keys, cases).cast("double")
+_TREE = "feature array<int>, bin array<int>, value array<double>"
 
 
 class Boosted:
-    """AdaBoost.R2 (Drucker 1997, linear loss) of shallow trees, one booster per ``keys``, all grown in the same rounds."""
+    """AdaBoost.R2 (Drucker 1997, linear loss) of shallow trees, one booster per ``keys``, all grown in the same rounds.
+
+    A round's trees are a table with a row for each of ``keys``, joined to the
+    rows as a broadcast: its size is the number of models, known beforehand.
+    """
 
     def __init__(self, keys: Sequence[str], rounds: int, rate: float, depth: int) -> None:
         self.keys, self.rounds, self.rate, self.depth = list(keys), rounds, rate, depth
@@ -224,56 +188,70 @@ class Boosted:
         self.trees: list[list] = []
         self.weights: list[dict[tuple, float]] = []
 
+    def _table(self, rows: DataFrame, values: list[tuple], fields: str) -> DataFrame:
+        kinds = dict(rows.dtypes)
+        schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in self.keys), fields])
+        return F.broadcast(rows.sparkSession.createDataFrame(values, schema))
+
+    def _with_trees(self, rows: DataFrame, found: list) -> DataFrame:
+        return rows.join(self._table(rows, [(*m, *_arrays(n, self.depth)) for m, n in _by_model(found, self.keys).items()], _TREE), self.keys)
+
+    def _grown(self, rows: DataFrame) -> list:
+        """The nodes of one shallow tree per ``keys``, at most ``2 ** depth - 1`` each; no level is stored."""
+        found = best_splits(rows.withColumn("node", F.lit(1).cast("long")), self.keys).collect()
+        for level in range(1, self.depth):
+            node = _walk(F.col("feature"), F.col("bin"), level).cast("long")
+            here = self._with_trees(rows, found).withColumn("node", node).drop("feature", "bin", "value")
+            found += best_splits(here.where(F.col("node") >= 1 << level), self.keys).collect()
+        return found
+
     def fit(self, rows: DataFrame) -> Boosted:
         """``rows`` hold the keys, ``bins`` and whole numbers ``y``. A round stores each row's weight, and so costs at most itself if executors are lost."""
         rows = stage(rows.select(*self.keys, "bins", "y").withColumn("weight", F.lit(1.0)), "boost")
-        done: set[tuple] = set()
         for number in range(self.rounds):
-            open = self._open(rows, done)
-            found = boost_round(open.withColumn("w", F.greatest(F.round(F.col("weight") * WEIGHT_SCALE).cast("long"), F.lit(1))), self.keys, self.depth)
+            found = self._grown(rows.withColumn("w", F.greatest(F.round(F.col("weight") * WEIGHT_SCALE).cast("long"), F.lit(1))))
             if not found:
                 break
-            error = F.abs(F.col("y") - value_of(found, self.keys, self.depth))
-            scored = stage(open.withColumn("error", error), "boost")
+            value = F.get("value", _walk(F.col("feature"), F.col("bin"), self.depth))
+            scored = stage(self._with_trees(rows, found).withColumn("error", F.abs(F.col("y") - value)).drop("feature", "bin", "value"), "boost")
             stats = scored.groupBy(*self.keys).agg(
                 F.max("error").alias("worst"), F.sum("weight").alias("total"), F.sum(F.col("weight") * F.col("error")).alias("sum"), F.count("*").alias("n")
             ).collect()
             own: dict[tuple, float] = {}
-            factors: dict[tuple, Column] = {}
+            factors: list[tuple] = []
             for s in stats:
                 model = tuple(s[k] for k in self.keys)
-                loss = s.sum / s.worst / s.total if s.worst else 0.0
+                loss = s["sum"] / s.worst / s.total if s.worst else 0.0
                 if not s.worst or loss >= 0.5:
+                    # The model ends here; its last tree counts only if it is perfect or the only one.
                     if not s.worst or number == 0:
                         own[model] = 1.0
-                    done.add(model)
                     continue
                 beta = loss / (1 - loss)
                 own[model] = self.rate * math.log(1 / beta)
-                power = (1 - F.col("error") / F.lit(s.worst)) * F.lit(self.rate)
-                factors[model] = F.lit(s.n / s.total) * F.pow(F.lit(beta), power)
+                # The factor leaves the mean weight near 1.
+                factors.append((*model, s.worst, beta, s.n / s.total))
             self.trees.append([r for r in found if tuple(r[k] for k in self.keys) in own])
             self.weights.append(own)
             if not factors:
                 break
-            # The factor leaves the mean weight near 1.
-            rows = scored.withColumn("weight", F.col("weight") * _of_model(self.keys, factors).cast("double")).drop("error")
-            rows = rows.where(F.col("weight").isNotNull())
+            power = (1 - F.col("error") / F.col("worst")) * F.lit(self.rate)
+            rows = scored.join(self._table(rows, factors, "worst double, beta double, factor double"), self.keys)
+            rows = rows.withColumn("weight", F.col("weight") * F.col("factor") * F.pow("beta", power)).drop("error", "worst", "beta", "factor")
         return self
 
-    def _open(self, rows: DataFrame, done: set[tuple]) -> DataFrame:
-        return rows.where(_of_model(self.keys, {m: F.lit(False) for m in done}).isNull()) if done else rows
-
     def predict(self, rows: DataFrame, out: str) -> DataFrame:
-        """The weighted median of the trees' values, in units of ``1 / SCALE`` turned back; null for keys without a booster."""
-        votes = []
+        """The weighted median of the trees' values, turned back from units of ``1 / SCALE``; null for keys without a booster."""
+        forests: dict[tuple, list] = {}
         for found, own in zip(self.trees, self.weights):
-            weight = _of_model(self.keys, {m: F.lit(w) for m, w in own.items()}).cast("double")
-            votes.append(F.struct(value_of(found, self.keys, self.depth).alias("p"), weight.alias("w")))
-        listed = F.array_sort(F.filter(F.array(*votes), lambda v: v["w"].isNotNull())) if votes else F.array().cast("array<struct<p: double, w: double>>")
+            for model, nodes in _by_model(found, self.keys).items():
+                forests.setdefault(model, []).append((*_arrays(nodes, self.depth), own[model]))
+        table = self._table(rows, [(*m, f) for m, f in forests.items()], f"_forest array<struct<{_TREE.replace(' array', ': array')}, w: double>>")
+        vote = lambda t: F.struct(F.get(t["value"], _walk(t["feature"], t["bin"], self.depth)).alias("p"), t["w"].alias("w"))
+        voted = rows.join(table, self.keys, "left").withColumn("_votes", F.array_sort(F.transform("_forest", vote)))
         half = F.aggregate("_votes", F.lit(0.0), lambda s, v: s + v["w"]) / 2 * F.lit(1 - 1e-12)
         state = F.aggregate(
             "_votes", F.struct(F.lit(0.0).alias("w"), F.lit(None).cast("double").alias("p")),
             lambda s, v: F.struct((s["w"] + v["w"]).alias("w"), F.when(s["p"].isNotNull(), s["p"]).when(s["w"] + v["w"] >= F.col("_half"), v["p"]).alias("p")),
         )
-        return rows.withColumn("_votes", listed).withColumn("_half", half).withColumn(out, state["p"] / SCALE).drop("_votes", "_half")
+        return voted.withColumn("_half", half).withColumn(out, state["p"] / SCALE).drop("_forest", "_votes", "_half")
