@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 _PRIME = (1 << 61) - 1
 _P = np.uint64(_PRIME)
 _BASE = 1_573_680_962_116_398_497
