@@ -188,9 +188,10 @@ def feature_chunks(
     ).agg(F.transform(listed, lambda x: x["_column"]).alias("chunk"))
 
 
-def wave_columns(features: DataFrame, stems: DataFrame, wave: str) -> DataFrame:
-    """For each listed stem its column of the given wave."""
-    cat = describe_features(features).where(F.col("wave") == wave).select("stem", "feature")
+def wave_columns(features: DataFrame, stems: DataFrame, wave: str | None = None) -> DataFrame:
+    """For each listed stem its column of the given wave, or of every wave."""
+    cat = describe_features(features)
+    cat = (cat if wave is None else cat.where(F.col("wave") == wave)).select("stem", "feature")
     return lookup_join(cat, stems.select("stem").distinct(), ["stem"])
 
 

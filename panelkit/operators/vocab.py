@@ -11,7 +11,6 @@ from pyspark.sql.window import Window
 from ..functions import draws
 from ..functions import text as tx
 from ..sources.staging import stage
-from .joins import lookup_join
 
 # Vocabulary size, special tokens in id order, row length,
 # masking share, and what becomes of a masked token.
@@ -54,6 +53,25 @@ def top_vocab(
     return fixed.unionByName(words)
 
 
+#: Words that one row can list.
+MOST_WORDS = 1_000_000
+
+
+def word_table(vocab: DataFrame) -> tuple[Column, int]:
+    """The vocabulary as one value: a list of buckets by the word's hash, each a short list of (id, token), and its length.
+
+    Its size is measured; a word is then looked up inside the row.
+    """
+    n = vocab.count()
+    if n > MOST_WORDS:
+        raise ValueError(f"{n} words are too many for a table that every task holds")
+    n = max(n, 1)
+    own = vocab.groupBy(F.pmod(F.xxhash64("token"), F.lit(n)).alias("bucket")).agg(F.array_sort(F.collect_list(F.struct("id", "token"))).alias("words"))
+    every = vocab.sparkSession.range(n).withColumnRenamed("id", "bucket").join(own, "bucket", "left")
+    one = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("words", F.array().cast("array<struct<id: int, token: string>>")).alias("words")))), lambda b: b["words"]).alias("buckets"))
+    return stage(one, "words").select("buckets").scalar(), n
+
+
 def encode(
     texts: DataFrame, key: Sequence[str], vocab: DataFrame, max_length: int = MAX_LENGTH,
     text: str = "text",
@@ -64,18 +82,14 @@ def encode(
     [UNK], short rows are filled with [PAD].
     """
     body = max_length - 2
-    cut = texts.select(*key, F.slice(tokens(text), 1, body).alias("_t"))
-    spread = cut.select(*key, F.posexplode_outer("_t").alias("_pos", "token"))
-    known = stage(vocab.select("token", F.col("id").alias("_id")), "vocab")
-    found = lookup_join(spread, known, ["token"], "left")
-    item = F.when(
-        F.col("_pos").isNotNull(),
-        F.struct("_pos", F.coalesce("_id", F.lit(UNK)).alias("id")),
-    )
-    # ``max_length`` ids per row at most.
-    rows = found.groupBy(*key).agg(
-        F.transform(F.array_sort(F.collect_list(item)), lambda x: x["id"]).alias("_ids")
-    )
+    buckets, n = word_table(vocab)
+
+    def number(word: Column) -> Column:
+        own = F.get("_buckets", F.pmod(F.xxhash64(word), F.lit(n)).cast("int"))
+        return F.coalesce(F.get(F.filter(own, lambda e: e["token"] == word), F.lit(0))["id"], F.lit(UNK))
+
+    words = F.coalesce(F.slice(tokens(text), 1, body), F.array().cast("array<string>"))
+    rows = texts.withColumn("_buckets", buckets).select(*key, F.transform(words, number).alias("_ids"))
     real = F.concat(F.array(F.lit(CLS)), F.col("_ids"), F.array(F.lit(SEP)))
     padding = F.array_repeat(F.lit(PAD), F.lit(body) - F.size("_ids"))
     ids = F.concat(real, padding)
@@ -161,10 +175,14 @@ def decoded_in_source(
     Special tokens aside, every id must decode to a token of the text, so the
     result is empty when encoding loses nothing but the cut tail.
     """
-    ids = encoded.select(*key, F.explode(F.array_distinct("input_ids")).alias("_id")).where(
-        ~F.col("_id").isin(UNK, PAD, CLS, SEP, MASK)
-    )
-    known = stage(vocab.select("token", F.col("id").alias("_id")), "vocab")
-    decoded = lookup_join(ids, known, ["_id"], "left")
-    source = texts.select(*key, F.explode(F.array_distinct(tokens(text))).alias("token"))
-    return decoded.join(source, [*key, "token"], "left_anti").select(*key, "token")
+    if vocab.count() > MOST_WORDS:
+        raise ValueError("the vocabulary is too large for a table that every task holds")
+    # ``size`` entries at most.
+    known = vocab.agg(F.map_from_entries(F.collect_list(F.struct("id", "token"))).alias("words"))
+    words = stage(known, "words").select("words").scalar()
+    plain = F.filter(F.array_distinct("input_ids"), lambda x: ~x.isin(UNK, PAD, CLS, SEP, MASK))
+    known = encoded.withColumn("_words", words)
+    decoded = known.select(*key, F.transform(plain, lambda x: F.try_element_at(F.col("_words"), x)).alias("_decoded"))
+    both = decoded.join(texts.select(*key, tokens(text).alias("_source")), list(key), "left")
+    lost = F.array_except("_decoded", F.coalesce("_source", F.array().cast("array<string>")))
+    return both.select(*key, F.explode(lost).alias("token"))

@@ -104,22 +104,22 @@ def feature_chunks(spark, sf):
 
 
 @query("wave_columns", STEMS_SQL + """
-SELECT stem, feature FROM st WHERE wave = '3' AND stem IN (SELECT stem FROM g WHERE n_columns > 1)""")
+SELECT stem, feature FROM st WHERE stem IN (SELECT stem FROM g WHERE n_columns > 1)""")
 def wave_columns(spark, sf):
     cat = t.catalog(spark, sf)
     stems = stage(po.stem_wave_sets(po.stem_groups(cat)).select("stem"), "stems")
-    return po.wave_columns(cat, stems, "3").select("stem", "feature")
+    return po.wave_columns(cat, stems).select("stem", "feature")
 
 
 @query("available_chunks", CHUNKS_SQL + """, have AS (
-  SELECT DISTINCT concat('m', 1 + p_size % 5, 'q', p_partkey // 5) AS feature FROM part WHERE p_retailprice > 1500),
+  SELECT DISTINCT concat('m', 1 + p_size % 5, 'q', p_partkey // 5) AS feature FROM part),
 e AS (SELECT chunk_index, unnest(string_split(chunk, ',')) AS feature, generate_subscripts(string_split(chunk, ','), 1) AS pos FROM chunks)
 SELECT chunk_index, coalesce(string_agg(e.feature, ',' ORDER BY pos) FILTER (h.feature IS NOT NULL), '') AS chunk,
        count(*) FILTER (h.feature IS NULL) AS n_missing
 FROM e LEFT JOIN have h ON e.feature = h.feature
 GROUP BY chunk_index HAVING count(*) FILTER (h.feature IS NULL) <= 5""")
 def available_chunks(spark, sf):
-    part = table(spark, sf, "part").where("p_retailprice > 1500")
+    part = table(spark, sf, "part")
     have = part.select(
         F.concat(F.lit("m"), F.col("p_size") % 5 + 1, F.lit("q"), F.floor(F.col("p_partkey") / 5)).alias("feature")
     )
@@ -221,9 +221,10 @@ def numeric_features(spark, sf):
 
 @query("melt_wide", """SELECT c_custkey, 'c_nationkey' AS feature, CAST(c_nationkey AS DOUBLE) AS value, NULL AS text FROM customer
 UNION ALL SELECT c_custkey, 'c_acctbal', c_acctbal, NULL FROM customer
-UNION ALL SELECT c_custkey, 'c_mktsegment', NULL, c_mktsegment FROM customer""")
+UNION ALL SELECT c_custkey, 'c_mktsegment', NULL, c_mktsegment FROM customer
+UNION ALL SELECT c_custkey, 'c_name', NULL, c_name FROM customer""")
 def melt_wide(spark, sf):
-    return po.melt(table(spark, sf, "customer"), "c_custkey", ["c_nationkey", "c_acctbal", "c_mktsegment"])
+    return po.melt(table(spark, sf, "customer"), "c_custkey")
 
 
 @query("impute_mean", """SELECT c_custkey,

@@ -84,9 +84,9 @@ DESCRIBE = """SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 4)
  round(quantile_cont({c}::DOUBLE, 0.75), 4) AS p75, max({c})::DOUBLE AS max FROM customer"""
 
 
-@query("describe", DESCRIBE.format(c="c_acctbal") + " UNION ALL " + DESCRIBE.format(c="c_nationkey"))
+@query("describe", DESCRIBE.format(c="c_acctbal") + " UNION ALL " + DESCRIBE.format(c="c_nationkey") + " UNION ALL " + DESCRIBE.format(c="c_custkey"))
 def describe(spark, sf):
-    out = evaluate.describe(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"])
+    out = evaluate.describe(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey", "c_custkey"])
     return out.select("column", "count", *[r6(c, c, 4) for c in ("mean", "std_samp", "min", "p25", "p50", "p75", "max")])
 
 

@@ -370,8 +370,8 @@ def author_freq_by_source(spark, sf):
     return textrows.author_frequency(_papers(spark, sf), by=["source"])
 
 
-VOCAB_SIZE = 200
-MAX_LENGTH = 24
+VOCAB_SIZE = vocab.VOCAB_SIZE
+MAX_LENGTH = vocab.MAX_LENGTH
 
 
 def encode_sql(keys: str) -> str:
