@@ -98,6 +98,44 @@ def test_classifier(spark, world):
     assert sum(out[d].predicted == q for d, q in held) >= 0.95 * len(held)
 
 
+def test_scores_against_plain_ftrl(spark, world):
+    """The update rule over dicts, one row after another, and the mean of the shards."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    q = quality_classifier
+    _, _, _, sf = world
+    docs, known = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    picked = q.sample(docs, known, "text", "doc_id", "quality", q.SAMPLE)
+    picked = picked.select("*", F.xxhash64("id", F.lit(7)).alias("order"), F.pmod(F.xxhash64("id"), F.lit(q.SHARDS)).alias("shard"))
+    shards = {}
+    for r in sorted(picked.collect(), key=lambda r: (r.order, r.id)):
+        shards.setdefault(r.shard, []).append(r)
+    weigh = lambda z, n, l1, l2: 0.0 if abs(z) <= l1 else (math.copysign(l1, z) - z) / ((q.BETA + n**0.5) / q.ALPHA + l2)
+    mean = {}
+    for own in shards.values():
+        z, n = {-1: 0.0}, {-1: 0.0}
+        weight = lambda k: weigh(z.get(k, 0.0), n.get(k, 0.0), q.L1 * (k >= 0), q.L2 * (k >= 0))
+        for _ in range(q.EPOCHS):
+            for r in own:
+                x = {-1: 1.0, **dict(zip(r.slots, r.vals))}
+                w = {k: weight(k) for k in x}
+                error = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items()))) - r.label
+                for k, v in x.items():
+                    g, before = error * v, n.get(k, 0.0)
+                    z[k] = z.get(k, 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / q.ALPHA * w[k]
+                    n[k] = before + g * g
+        for k in z:
+            mean[k] = mean.get(k, 0.0) + weight(k) / len(shards)
+    got = {r.doc_id: r.score for r in queries.op2_quality_classifier(spark, sf).collect()}
+    every = q.sample(docs, docs.select("doc_id", F.lit(1).alias("quality")), "text", "doc_id", "quality", q.SAMPLE).collect()
+    assert len(every) > 200
+    for r in every:
+        want = 1 / (1 + math.exp(-mean[-1] - sum(mean.get(k, 0.0) * v for k, v in zip(r.slots, r.vals))))
+        assert got[r.id] == pytest.approx(want, abs=1e-4)
+
+
 def test_classifier_never_sees_held_out_labels(spark, world, write):
     texts, _, labels, sf = world
     flipped = [(d, 1 - q if zlib.crc32(str(d).encode()) % 5 == 0 else q, 0) for d, q, _ in labels]

@@ -59,13 +59,12 @@ def test_random_keys_of_each_alphabet(spark):
         digits, digits + "ABCDEF", digits + "abcdef", lower, upper, lower + "234567", upper + "234567", lower + digits, upper + digits, lower + upper,
         lower + upper + digits, lower + upper + digits + "+/", lower + upper + digits + "-_",
     ]
-    for alphabet in alphabets:
-        for size in (20, 32):
-            for before in ("", "sk_"):
-                keys = ["".join(rnd.choice(alphabet) for _ in range(size)) for _ in range(200)]
-                found = listed(spark, [f"see {before}{k} there" for k in keys])
-                least = 0.91 if size == 20 else 0.96
-                assert sum(bool(x) for x in found) >= least * len(keys), (alphabet, size, before)
+    cases = [(alphabet, size, before) for alphabet in alphabets for size in (20, 32) for before in ("", "sk_")]
+    texts = [f"see {before}{''.join(rnd.choice(alphabet) for _ in range(size))} there" for alphabet, size, before in cases for _ in range(200)]
+    found = listed(spark, texts)
+    for i, (alphabet, size, before) in enumerate(cases):
+        least = 0.91 if size == 20 else 0.96
+        assert sum(bool(x) for x in found[200 * i : 200 * i + 200]) >= least * 200, (alphabet, size, before)
 
 
 def test_rest_of_a_candidate(spark):
