@@ -140,6 +140,17 @@ def good_bad_sets(groups: DataFrame) -> DataFrame:
     )
 
 
+def column_kinds(cells: DataFrame, split: DataFrame) -> DataFrame:
+    """How many columns hold text, how many numeric ones pass both gates of the median split, and how many there are."""
+    kinds = cells.groupBy("feature").agg(F.max(F.col("text").isNotNull()).alias("is_text"))
+    passed = split.select("feature", (F.col("dense") & F.col("balanced")).alias("passed"))
+    usable = ~F.col("is_text") & F.coalesce("passed", F.lit(False))
+    # A row for each column of the panel.
+    return kinds.join(passed, "feature", "left").agg(
+        F.count_if("is_text").alias("text_columns"), F.count_if(usable).alias("usable_columns"), F.count("*").alias("n_columns")
+    )
+
+
 def feature_chunks(
     features: DataFrame, size: int = CHUNK_SIZE, min_tail: int = MIN_TAIL
 ) -> DataFrame:

@@ -11,8 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import clean, evaluate, models, panel, report, sampling, textrows, vocab
-from ..operators.joins import fan_out, lookup_join
+from ..operators import clean, evaluate, labels, models, panel, report, sampling, textrows, vocab
+from ..operators.joins import fan_out
 from ..sources.staging import stage
 
 
@@ -108,5 +108,5 @@ def corrected_by_boosting(
     """
     _, scored = models.boosted_correction(train, test, features, rounds)
     scored = scored.where("predicted_diff is not null").select("id", "task", "predicted_diff")
-    joined = lookup_join(residuals, stage(scored, "boosted"), ["id", "task"])
+    joined = labels.attach_by_id(residuals, stage(scored, "boosted"), ["id", "task"])
     return evaluate.compare_with_baseline(joined, ["task"], {"boosted": "predicted_diff"})

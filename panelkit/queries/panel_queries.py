@@ -179,6 +179,18 @@ def median_split(spark, sf):
     return sp.select("feature", "n_rows", "n_valid", r6("median", "median", 4), "below", "equal", "above", "zeros", "ones", *flags)
 
 
+@query("column_kinds", """WITH c AS (SELECT 'c_nationkey' AS feature, c_nationkey::DOUBLE AS value FROM customer UNION ALL SELECT 'c_acctbal', c_acctbal FROM customer),
+v AS (SELECT feature, CASE WHEN value >= 0 THEN value END AS v FROM c),
+m AS (SELECT feature, count(*) AS n_rows, count(v) AS n_valid, median(v) AS med FROM v GROUP BY feature),
+s AS (SELECT feature, n_rows, n_valid, count(*) FILTER (v < med) AS below, count(*) FILTER (v = med) AS equal, count(*) FILTER (v > med) AS above FROM v JOIN m USING (feature) GROUP BY ALL),
+z AS (SELECT *, below + CASE WHEN below < above THEN equal ELSE 0 END AS zeros FROM s)
+SELECT (SELECT (count(c_name) > 0)::BIGINT + (count(c_mktsegment) > 0)::BIGINT FROM customer) AS text_columns,
+  (SELECT count(*) FROM z WHERE (n_rows - n_valid) / n_rows * 100 <= 99 AND zeros >= 40 AND n_valid - zeros >= 40) AS usable_columns, 4::BIGINT AS n_columns""")
+def column_kinds(spark, sf):
+    cells = stage(po.melt(table(spark, sf, "customer"), "c_custkey"), "cells")
+    return po.column_kinds(cells, po.median_split(cells.where("text IS NULL")))
+
+
 BITS_SQL = SPLIT_SQL + """, bits AS (
   SELECT id, feature, CASE WHEN v IS NULL THEN NULL
               WHEN v < med OR (below_smaller AND v = med) THEN 0 ELSE 1 END AS value

@@ -108,3 +108,10 @@ def test_melt_keeps_nulls_and_text(spark):
     got = {(r.k, r.feature): (r.value, r.text) for r in panel.melt(df, "k").collect()}
     assert got == {(1, "a"): (2.0, None), (1, "b"): (None, None), (2, "a"): (None, None), (2, "b"): (None, "x")}
     assert panel.melt(df, "k").where(F.col("value") >= 0).count() == 1
+
+
+def test_column_kinds(spark):
+    rows = [(i, float(i), None if i % 2 else "a", -1.0, 5.0) for i in range(100)]
+    cells = panel.melt(spark.createDataFrame(rows, "id long, n double, t string, gone double, same double"), "id")
+    got = panel.column_kinds(cells, panel.median_split(cells)).first()
+    assert (got.text_columns, got.usable_columns, got.n_columns) == (1, 1, 4)
