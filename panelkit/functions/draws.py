@@ -37,32 +37,75 @@ def draw_below(seed: object, share: float, *keys: Column | str) -> Column:
     return F.substring(draw_key(seed, *keys), 1, 8) < F.lit(share_limit(share))
 
 
+# Rounds of the position permutation, and turns walked before the long walk.
+ROUNDS = 6
+SHORT_WALK = 8
+
+
 def distinct_draws(m: Column, n: int, seed: object, *keys: Column | str) -> Column:
     """``n`` different positions out of 0..m-1, in draw order, inside the row.
 
-    Large ``m``: positions are drawn one after another and repeats skipped, so
-    the cost is O(n) whatever ``m`` is. Small ``m`` (< 4n): all positions are
-    put in hash order. Fewer than ``n`` positions is an error.
+    Positions 0..n-1 go through a keyed permutation of 0..m-1, so they differ
+    whatever the hashes are and the cost is O(n) for any ``m``. The permutation
+    is a Feistel network over pairs (left, right) of an a x b grid with
+    a = ceil(sqrt(m)); a pair beyond m is sent through it again until it falls
+    below m. Fewer than a pairs lie beyond, so a walk of a turns always ends.
+    Fewer than ``n`` positions is an error.
     """
-    shuffled = F.transform(
-        F.array_sort(
-            F.transform(
-                F.sequence(F.lit(0).cast("bigint"), m.cast("bigint") - 1),
-                lambda p: F.struct(draw_key(seed, *keys, p).alias("h"), p.alias("p")),
-            )
-        ),
-        lambda x: x["p"],
-    )
-    # 2n + 64 draws out of >= 4n positions leave n distinct ones except with
-    # a probability far below 1e-15; the size test below still guards it.
-    drawn = F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(0).cast("bigint"), F.lit(2 * n + 63).cast("bigint")),
-            lambda j: F.pmod(draw_int(seed, *keys, j), m.cast("bigint")),
+    m = m.cast("bigint")
+    a = F.ceil(F.sqrt(m)).cast("bigint")
+    b = _whole(m + a - 1, a)
+
+    def turn(x: Column) -> Column:
+        def mixed(s: Column, i: Column) -> Column:
+            left = (s["l"] + F.pmod(draw_int(seed, *keys, i, s["r"]), a)) % a
+            right = (s["r"] + F.pmod(draw_int(seed, *keys, i, s["l"]), b)) % b
+            return F.when(i % 2 == 0, _pair(left, s["r"])).otherwise(_pair(s["l"], right))
+
+        return F.aggregate(
+            F.sequence(F.lit(0), F.lit(ROUNDS - 1)), _pair(_whole(x, b), x % b), mixed,
+            lambda s: s["l"] * b + s["r"],
         )
-    )
-    picks = F.slice(F.when(m < 4 * n, shuffled).otherwise(drawn), 1, n)
+
+    def walk(x: Column, turns: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(1).cast("bigint"), turns), x,
+            lambda y, _: F.when(y >= m, turn(y)).otherwise(y),
+        )
+
+    starts = F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+    near = F.transform(starts, lambda j: walk(turn(j), F.lit(SHORT_WALK).cast("bigint")))
+    picks = F.transform(near, lambda x: F.when(x >= m, walk(x, a)).otherwise(x))
     short = F.raise_error(F.concat(F.lit(f"cannot draw {n} rows out of "), m.cast("string")))
-    return F.when(m < n, short.cast("array<bigint>")).otherwise(
-        F.when(F.size(picks) == n, picks).otherwise(short.cast("array<bigint>"))
+    return F.when(m < n, short.cast("array<bigint>")).otherwise(picks)
+
+
+def _whole(x: Column, by: Column) -> Column:
+    """Integer quotient, exact below 2**53."""
+    return ((x - x % by) / by).cast("bigint")
+
+
+def _pair(left: Column, right: Column) -> Column:
+    return F.struct(left.alias("l"), right.alias("r"))
+
+
+def distinct_positions(m: Column, k: Column, seed: object, *keys: Column | str) -> Column:
+    """A set of ``k`` different positions out of 0..m-1, every set alike (Floyd).
+
+    One draw for each picked position, whatever ``m`` is: the draw below j + 1
+    for j = m-k..m-1, and j itself if that position is taken. ``k`` is small;
+    the set is searched for each draw. ``k`` must not exceed ``m``.
+    """
+    m, k = m.cast("bigint"), k.cast("bigint")
+    drawn = F.transform(
+        F.sequence(m - k, m - 1),
+        lambda j: F.struct(j.alias("j"), F.pmod(draw_int(seed, *keys, j), j + 1).alias("t")),
+    )
+    none = F.array().cast("array<bigint>")
+    picks = F.aggregate(
+        drawn, none,
+        lambda s, d: F.concat(
+            s, F.array(F.when(F.array_contains(s, d["t"]), d["j"]).otherwise(d["t"]))
+        ),
     )
+    return F.when(k > 0, picks).otherwise(none)

@@ -19,6 +19,9 @@ from .ordering import number_ordered
 SAMPLES_PER_ID = 2000
 MIN_FEATURES = 60
 MAX_FEATURES = 90
+# Fixed values of the dispersion job.
+SAMPLE_ROWS = 100
+SAMPLE_REPEATS = 250
 
 
 def shuffle(df: DataFrame, key: Sequence[str], seed: object) -> DataFrame:
@@ -141,7 +144,9 @@ def feature_subsets(
 
     ``cells`` is (key, ord, feature, value) with one row per filled cell; an
     id has one cell per feature at most, so its list is as wide as the panel.
-    After the grouping nothing is shuffled, whatever the number of samples.
+    The list is sorted once; a sample then costs a draw for each feature it
+    takes, not for each it could take. After the grouping nothing is shuffled,
+    whatever the number of samples.
     Result: (key, sample_no, cells) with the cells in ``ord`` order.
     """
     cell = F.struct("ord", "feature", "value")
@@ -151,28 +156,23 @@ def feature_subsets(
     pieces = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     filled = cells.where(F.col("value").isNotNull() & (F.col("value") >= 0)).repartition(pieces, key)
     ids = filled.groupBy(key).agg(
-        F.collect_list(F.when(constructed, cell)).alias("_constructed"),
-        F.collect_list(F.when(~constructed, cell)).alias("_raw"),
+        F.array_sort(F.collect_list(F.when(constructed, cell))).alias("_constructed"),
+        F.array_sort(F.collect_list(F.when(~constructed, cell))).alias("_raw"),
     )
     samples = ids.withColumn("sample_no", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
     keys = [F.col(key), F.col("sample_no")]
-
-    def drawn(stratum: str, size: Column) -> Column:
-        ranked = F.array_sort(
-            F.transform(
-                F.col(stratum),
-                lambda c: F.struct(
-                    draws.draw_key(seed, *keys, c["feature"]).alias("h"), c.alias("c")
-                ),
-            )
-        )
-        return F.transform(F.slice(ranked, F.lit(1), size), lambda x: x["c"])
-
     n_con, n_raw = subset_sizes(
         F.size("_constructed"), F.size("_raw"), seed, keys, min_features, max_features
     )
-    both = F.concat(drawn("_constructed", n_con), drawn("_raw", n_raw))
-    return samples.select(key, "sample_no", F.array_sort(both).alias("cells"))
+
+    def drawn(stratum: str, size: Column) -> Column:
+        cells = F.col(f"_{stratum}")
+        places = draws.distinct_positions(F.size(cells), size, seed, F.lit(stratum), *keys)
+        return F.transform(places, lambda p: F.get(cells, p.cast("int")))
+
+    sized = samples.withColumn("_n_con", n_con).withColumn("_n_raw", n_raw)
+    both = F.concat(drawn("constructed", F.col("_n_con")), drawn("raw", F.col("_n_raw")))
+    return sized.select(key, "sample_no", F.array_sort(both).alias("cells"))
 
 
 def _numbered_rows(vectors: DataFrame, key: str, row: str) -> DataFrame:
@@ -181,7 +181,7 @@ def _numbered_rows(vectors: DataFrame, key: str, row: str) -> DataFrame:
 
 
 def same_id_samples(
-    vectors: DataFrame, key: str, row: str, n: int = 100, repeats: int = 250, seed: object = 0
+    vectors: DataFrame, key: str, row: str, n: int = SAMPLE_ROWS, repeats: int = SAMPLE_REPEATS, seed: object = 0
 ) -> DataFrame:
     """``repeats`` samples of ``n`` different rows inside each id: (key, repeat, row)."""
     numbered = _numbered_rows(vectors, key, row)
@@ -195,7 +195,7 @@ def same_id_samples(
 
 
 def mixed_id_samples(
-    vectors: DataFrame, key: str, row: str, n: int = 100, repeats: int = 250, seed: object = 0
+    vectors: DataFrame, key: str, row: str, n: int = SAMPLE_ROWS, repeats: int = SAMPLE_REPEATS, seed: object = 0
 ) -> DataFrame:
     """As many samples as same_id_samples takes, each of ``n`` different ids.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions import arrays, codes
+from ..functions import arrays, codes, draws
 from ..operators import clean, evaluate, labels, models, report, sampling, vectors
 from ..operators.joins import fan_out, lookup_join
 from ..plans import jobs
@@ -245,31 +245,49 @@ def centroid_dispersion(spark, sf):
 def draws_sql(source: str, m: str, n: int, keys: str, out: str) -> str:
     """CTEs ``out``: n distinct positions below ``m`` for each row of ``source``.
 
-    Below 4n positions all are ordered by hash, else draws are taken in turn.
+    Positions 0..n-1 pass a keyed permutation of an a x b grid, again and
+    again until they are below m.
     """
-    return f"""{out}_few AS (SELECT *, unnest(range({m})) AS pos FROM {source} WHERE {m} < {4 * n}),
-{out}_few_r AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY md5(concat_ws(':', '5', kind, {keys}, pos))) AS rn FROM {out}_few),
-{out}_many AS (SELECT *, unnest(range({2 * n + 64})) AS j FROM {source} WHERE {m} >= {4 * n}),
-{out}_many_p AS (SELECT *, ('0x' || substr(md5(concat_ws(':', '5', kind, {keys}, j)), 1, 12))::BIGINT % {m} AS pos FROM {out}_many),
-{out}_many_f AS (SELECT {keys}, pos, min(j) AS j FROM {out}_many_p GROUP BY ALL),
-{out}_many_r AS (SELECT {keys}, pos, row_number() OVER (PARTITION BY {keys} ORDER BY j) AS rn FROM {out}_many_f),
-{out} AS (SELECT {keys}, pos FROM {out}_few_r WHERE rn <= {n} UNION ALL SELECT {keys}, pos FROM {out}_many_r WHERE rn <= {n})"""
-
-
-N_SAME, REPEATS, N_MIXED = 10, 20, 5
+    def mixed(i: int, side: str, other: str, size: str, inner: str) -> str:
+        key = f"md5(concat_ws(':', '5', kind, {keys}, {i}, {other}))"
+        return f"(SELECT * REPLACE (({side} + ('0x' || substr({key}, 1, 12))::BIGINT % {size}) % {size} AS {side}) FROM {inner})"
+
+    turned = f"(SELECT *, x // b AS l, x % b AS r FROM {out}_w WHERE NOT begun OR x >= m)"
+    for i in range(draws.ROUNDS):
+        turned = mixed(i, "l", "r", "a", turned) if i % 2 == 0 else mixed(i, "r", "l", "b", turned)
+    return f"""{out}_s AS (SELECT *, CAST(ceil(sqrt({m})) AS BIGINT) AS a FROM {source}),
+{out}_d AS (SELECT kind, {keys}, {m} AS m, a, ({m} + a - 1) // a AS b, unnest(range({n})) AS x FROM {out}_s),
+{out}_w AS (SELECT *, FALSE AS begun FROM {out}_d
+  UNION ALL SELECT kind, {keys}, m, a, b, l * b + r AS x, TRUE AS begun FROM {turned}),
+{out} AS (SELECT {keys}, x AS pos FROM {out}_w WHERE begun AND x < m)"""
+
+
+# Groups of the test vectors have 42 rows and more, and there are ten of them.
+N_SAME, REPEATS, N_MIXED = 40, sampling.SAMPLE_REPEATS, 8
 NUMBERED = """nr AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM embeddings),
 sz AS (SELECT label, count(*) AS m FROM embeddings GROUP BY label)"""
-SAME_CTES = f"""same_src AS (SELECT 'same' AS kind, label, m, unnest(range(1, {REPEATS + 1})) AS repeat FROM sz),
-{draws_sql('same_src', 'm', N_SAME, 'label, repeat', 'same_pick')},
+
+
+def same_sql(n: int) -> str:
+    """CTEs down to ``same`` (label, repeat, vec_id)."""
+    return f"""same_src AS (SELECT 'same' AS kind, label, m, unnest(range(1, {REPEATS + 1})) AS repeat FROM sz),
+{draws_sql('same_src', 'm', n, 'label, repeat', 'same_pick')},
 same AS (SELECT label, repeat, vec_id FROM same_pick JOIN nr USING (label, pos))"""
-MIXED_CTES = f"""idn AS (SELECT label, m, row_number() OVER (ORDER BY label) - 1 AS id_no FROM sz),
+
+
+def mixed_sql(n: int) -> str:
+    """CTEs down to ``mixed`` (sample_no, label, vec_id)."""
+    return f"""idn AS (SELECT label, m, row_number() OVER (ORDER BY label) - 1 AS id_no FROM sz),
 mixed_src AS (SELECT 'mixed' AS kind, (SELECT count(*) FROM sz) AS m, id_no * {REPEATS} + r AS sample_no FROM idn, (SELECT unnest(range(1, {REPEATS + 1})) AS r)),
-{draws_sql('mixed_src', 'm', N_MIXED, 'sample_no', 'mixed_pick')},
+{draws_sql('mixed_src', 'm', n, 'sample_no', 'mixed_pick')},
 placed AS (SELECT sample_no, label, ('0x' || substr(md5(concat_ws(':', '5', 'row', sample_no, label)), 1, 12))::BIGINT % m AS pos
            FROM mixed_pick JOIN idn ON id_no = mixed_pick.pos),
 mixed AS (SELECT sample_no, label, vec_id FROM placed JOIN nr USING (label, pos))"""
-SAME_SQL = f"WITH {NUMBERED}, {SAME_CTES}"
-MIXED_SQL = f"WITH {NUMBERED}, {MIXED_CTES}"
+
+
+SAME_CTES, MIXED_CTES = same_sql(N_SAME), mixed_sql(N_MIXED)
+SAME_SQL = f"WITH RECURSIVE {NUMBERED}, {SAME_CTES}"
+MIXED_SQL = f"WITH RECURSIVE {NUMBERED}, {MIXED_CTES}"
 
 
 @query("same_id_samples", SAME_SQL + " SELECT label, repeat, vec_id FROM same")
@@ -282,6 +300,40 @@ def mixed_id_samples(spark, sf):
     return sampling.mixed_id_samples(table(spark, sf, "embeddings"), "label", "vec_id", N_MIXED, REPEATS, 5)
 
 
+# The operators' own sizes, on lines: a group is a return flag, or a flag and a quantity.
+SIZES = """sz AS (SELECT label, count(*) AS m FROM lines GROUP BY label),
+nr AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM lines)"""
+
+
+@query("same_id_lines", f"""WITH RECURSIVE lines AS (SELECT l_returnflag AS label, l_orderkey * 8 + l_linenumber AS vec_id FROM lineitem),
+{SIZES}, {same_sql(sampling.SAMPLE_ROWS)}
+SELECT label, repeat, count(*) AS n, count(DISTINCT vec_id) AS n_rows, CAST(sum(vec_id) AS BIGINT) AS total FROM same GROUP BY ALL""")
+def same_id_lines(spark, sf):
+    lines = _lines(spark, sf, F.col("l_returnflag"))
+    out = sampling.same_id_samples(lines, "label", "vec_id", seed=5)
+    return _sample_sums(out, ["label", "repeat"], "vec_id")
+
+
+@query("mixed_id_lines", f"""WITH RECURSIVE lines AS (SELECT concat(l_returnflag, CAST(l_quantity AS BIGINT)) AS label, l_orderkey * 8 + l_linenumber AS vec_id FROM lineitem),
+{SIZES}, {mixed_sql(sampling.SAMPLE_ROWS)}
+SELECT sample_no, count(*) AS n, count(DISTINCT label) AS n_rows, CAST(sum(vec_id) AS BIGINT) AS total FROM mixed GROUP BY ALL""")
+def mixed_id_lines(spark, sf):
+    lines = _lines(spark, sf, F.concat("l_returnflag", F.col("l_quantity").cast("bigint").cast("string")))
+    out = sampling.mixed_id_samples(lines, "label", "vec_id", seed=5)
+    return _sample_sums(out, ["sample_no"], "label")
+
+
+def _lines(spark, sf, label):
+    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint")
+    return table(spark, sf, "lineitem").select(label.alias("label"), line.alias("vec_id"))
+
+
+def _sample_sums(samples, keys, distinct):
+    return samples.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.count_distinct(distinct).alias("n_rows"), F.sum("vec_id").alias("total")
+    )
+
+
 def _dispersion_sql(samples: str, keys: str) -> str:
     """CTEs down to ``<samples>_disp`` (keys, n_rows, dispersion)."""
     p = samples

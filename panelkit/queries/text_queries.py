@@ -67,24 +67,35 @@ def render_chunks(spark, sf):
     return textrows.render_chunks(panel, "id", chunks, "comma", min_rows=1000)
 
 
+# The test panel has 28 features, so a sample takes 4 to 9 of them.
+N_SAMPLES, MIN_FEATURES, MAX_FEATURES = 20, 4, 9
+
+
 def subsets_sql(n_samples: int) -> str:
     """CTEs down to ``rows`` (id, sample_no, text)."""
-    return f"""WITH {t.PANEL_SQL}, f AS (
-  SELECT *, feature LIKE 'cm%' OR feature LIKE 'cf%' AS con FROM panel WHERE value >= 0),
-n AS (SELECT id, count(*) FILTER (con) AS nc, count(*) FILTER (NOT con) AS nr FROM f GROUP BY id),
+    def draw(*parts: str) -> str:
+        return f"('0x' || substr(md5(concat_ws(':', '7', {', '.join(parts)})), 1, 12))::BIGINT"
+
+    return f"""WITH RECURSIVE {t.PANEL_SQL}, f AS (
+  SELECT *, CASE WHEN feature LIKE 'cm%' OR feature LIKE 'cf%' THEN 'constructed' ELSE 'raw' END AS part,
+         row_number() OVER (PARTITION BY id, part ORDER BY ord) - 1 AS p FROM panel WHERE value >= 0),
+n AS (SELECT id, count(*) FILTER (part = 'constructed') AS nc, count(*) FILTER (part = 'raw') AS nr FROM f GROUP BY id),
 s AS (SELECT id, nc, nr, unnest(range(1, {n_samples + 1})) AS sample_no FROM n),
-z AS (SELECT *, 4 + ('0x' || substr(md5(concat_ws(':', '7', 'size', id, sample_no)), 1, 12))::BIGINT % 6 AS size FROM s),
-k AS (SELECT *, least(CAST(ceil(size / 3) AS BIGINT), nc) AS kc FROM z),
-r AS (SELECT k.id, k.sample_no, f.feature, f.ord, f.value, con, kc, least(size - kc, nr) AS kr,
-             row_number() OVER (PARTITION BY k.id, k.sample_no, con ORDER BY md5(concat_ws(':', '7', k.id, k.sample_no, feature))) AS rn
-      FROM k JOIN f USING (id)),
+z AS (SELECT *, {MIN_FEATURES} + {draw("'size'", 'id', 'sample_no')} % {MAX_FEATURES - MIN_FEATURES + 1} AS size FROM s),
+k AS (SELECT *, least(CAST(ceil(size / 3) AS BIGINT), nc) AS kc, least(size - kc, nr) AS kr FROM z),
+d AS (SELECT id, sample_no, part, CASE WHEN part = 'raw' THEN nr ELSE nc END AS m, CASE WHEN part = 'raw' THEN kr ELSE kc END AS k
+      FROM k, (VALUES ('constructed'), ('raw')) AS parts(part)),
+w AS (SELECT *, 0 AS i, []::BIGINT[] AS picks FROM d
+  UNION ALL SELECT id, sample_no, part, m, k, i + 1, list_append(picks, CASE WHEN list_contains(picks, t) THEN j ELSE t END)
+  FROM (SELECT *, m - k + i AS j, {draw('part', 'id', 'sample_no', 'm - k + i')} % (m - k + i + 1) AS t FROM w WHERE i < k)),
+r AS (SELECT id, sample_no, part, unnest(picks) AS p FROM w WHERE i = k),
 rows AS (SELECT id, sample_no, string_agg(concat(feature, ' ', CAST(trunc(value) AS BIGINT), ' '), '' ORDER BY ord) AS text
-         FROM r WHERE rn <= CASE WHEN con THEN kc ELSE kr END GROUP BY 1, 2)"""
+         FROM r JOIN f USING (id, part, p) GROUP BY 1, 2)"""
 
 
-@query("feature_subsets", subsets_sql(3) + " SELECT id, sample_no, text FROM rows")
+@query("feature_subsets", subsets_sql(N_SAMPLES) + " SELECT id, sample_no, text FROM rows")
 def feature_subsets(spark, sf):
-    return jobs.sampled_corpus(t.panel(spark, sf), "id", 3, 4, 9, seed=7)
+    return jobs.sampled_corpus(t.panel(spark, sf), "id", N_SAMPLES, MIN_FEATURES, MAX_FEATURES, seed=7)
 
 
 @query("systematic_sample", "SELECT event_id, user_id, value FROM events WHERE (event_id + 1) % 100 = 0")
@@ -488,9 +499,9 @@ def drop_blank_lines(spark, sf):
     return files.drop_blank_lines(lines, "line")
 
 
-@query("corpus_encoding", subsets_sql(2) + ", " + encode_sql("id, sample_no") + ", " + mask_sql("id, sample_no", "0") + f"""
+@query("corpus_encoding", subsets_sql(N_SAMPLES) + ", " + encode_sql("id, sample_no") + ", " + mask_sql("id, sample_no", "0") + f"""
 SELECT id, sample_no, input_ids, labels, CASE WHEN {_below('0', 'id', 0.05)} THEN 'test' ELSE 'train' END AS split FROM masked""")
 def corpus_encoding(spark, sf):
-    texts = stage(jobs.sampled_corpus(t.panel(spark, sf), "id", 2, 4, 9, seed=7), "corpus")
+    texts = stage(jobs.sampled_corpus(t.panel(spark, sf), "id", N_SAMPLES, MIN_FEATURES, MAX_FEATURES, seed=7), "corpus")
     out = jobs.encoded_corpus(texts, ["id", "sample_no"], VOCAB_SIZE, MAX_LENGTH, 0.05, ["id"])
     return out.select("id", "sample_no", _joined("input_ids"), _joined("labels"), "split")

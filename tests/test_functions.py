@@ -1,5 +1,8 @@
+import collections
+import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from panelkit.functions import arrays, codes, draws, names
@@ -79,16 +82,33 @@ def test_parsers(spark):
     assert column(spark, [[1.0, 5.0, 5.0]], arrays.argmax(F.col("c")), "array<double>") == [1]
 
 
-def test_distinct_draws_both_ways(spark):
-    df = spark.range(1, 200).select((F.col("id") * 3).alias("m"), "id").where("m >= 7")
-    rows = df.select("m", draws.distinct_draws(F.col("m"), 7, 1, "id").alias("p")).collect()
-    assert {r.m < 28 for r in rows} == {True, False}
-    for r in rows:
+def test_distinct_draws(spark):
+    # Sizes around squares, where the walk beyond m is shortest and longest, and one beyond 32 bits.
+    sizes = [*range(7, 60), 99, 100, 101, 1022, 1024, 1026, 10**6 + 3, 2**40 + 1]
+    df = spark.createDataFrame([(m, i) for m in sizes for i in range(3)], "m long, id long").repartition(4)
+    for r in df.select("m", draws.distinct_draws(F.col("m"), 7, 1, "id", "m").alias("p")).collect():
         assert len(r.p) == len(set(r.p)) == 7 and all(0 <= x < r.m for x in r.p)
-    # Every position has the same chance.
-    big = spark.range(4000).select(F.explode(draws.distinct_draws(F.lit(40), 5, 2, "id")).alias("p"))
-    counts = [r["count"] for r in big.groupBy("p").count().collect()]
-    assert len(counts) == 40 and max(counts) < 1.25 * 500 and min(counts) > 0.75 * 500
+    # All positions of a group in one draw: a permutation.
+    full = spark.range(50).select(draws.distinct_draws(F.lit(41), 41, 1, "id").alias("p")).collect()
+    assert all(sorted(r.p) == list(range(41)) for r in full) and len({tuple(r.p) for r in full}) == 50
+    # Every position, and every pair of them, has the same chance.
+    big = spark.range(6000).select(draws.distinct_draws(F.lit(10), 3, 2, "id").alias("p"))
+    rows = [r.p for r in big.collect()]
+    for chosen, expected in ([p for r in rows for p in r], 1800), ([frozenset(q) for r in rows for q in itertools.combinations(r, 2)], 400):
+        counts = collections.Counter(chosen).values()
+        assert max(counts) < 1.25 * expected and min(counts) > 0.75 * expected
+    assert len(set(chosen)) == 45
+    with pytest.raises(Exception, match="cannot draw 7 rows out of 6"):
+        spark.range(1).select(draws.distinct_draws(F.lit(6), 7, 1, "id")).collect()
+
+
+def test_distinct_positions(spark):
+    df = spark.range(200).select("id", (F.col("id") % 9 + 1).alias("m"), (F.col("id") % 4).alias("k")).where("k <= m")
+    for r in df.select("m", "k", draws.distinct_positions(F.col("m"), F.col("k"), 1, "id").alias("p")).collect():
+        assert len(r.p) == len(set(r.p)) == r.k and all(0 <= x < r.m for x in r.p)
+    rows = [r[0] for r in spark.range(6000).select(draws.distinct_positions(F.lit(6), F.lit(3), 2, "id")).collect()]
+    counts = collections.Counter(frozenset(r) for r in rows)
+    assert len(counts) == 20 and max(counts.values()) < 1.3 * 300 and min(counts.values()) > 0.7 * 300
 
 
 def test_cell_styles(spark):
