@@ -132,6 +132,15 @@ def subset_sizes(
     return part, F.least(size - part, n_raw).cast("int")
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows that are about to grow, over a stated number of partitions.
+
+    A small shuffle grows into many samples: without the number, adaptive
+    execution packs the rows into few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def feature_subsets(
     cells: DataFrame,
     key: str,
@@ -151,10 +160,7 @@ def feature_subsets(
     """
     cell = F.struct("ord", "feature", "value")
     constructed = is_constructed("feature")
-    # A small shuffle grows into many samples per id: a stated number of
-    # partitions keeps adaptive execution from packing the ids into few tasks.
-    pieces = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    filled = cells.where(F.col("value").isNotNull() & (F.col("value") >= 0)).repartition(pieces, key)
+    filled = _spread(cells.where(F.col("value").isNotNull() & (F.col("value") >= 0)), key)
     ids = filled.groupBy(key).agg(
         F.array_sort(F.collect_list(F.when(constructed, cell))).alias("_constructed"),
         F.array_sort(F.collect_list(F.when(~constructed, cell))).alias("_raw"),
@@ -186,7 +192,8 @@ def same_id_samples(
     """``repeats`` samples of ``n`` different rows inside each id: (key, repeat, row)."""
     numbered = _numbered_rows(vectors, key, row)
     sizes = numbered.groupBy(key).agg(F.count("*").alias("_m"))
-    picks = sizes.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).select(
+    samples = sizes.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    picks = _spread(samples, key, "repeat").select(
         key,
         "repeat",
         F.explode(draws.distinct_draws(F.col("_m"), n, seed, F.lit("same"), key, "repeat")).alias("_pos"),
@@ -210,7 +217,7 @@ def mixed_id_samples(
             F.sequence((F.col("_id_no") - 1) * repeats + 1, F.col("_id_no") * repeats)
         ).alias("sample_no")
     )
-    picks = samples.select(
+    picks = _spread(samples, "sample_no").select(
         "sample_no",
         F.explode(draws.distinct_draws(n_ids, n, seed, F.lit("mixed"), "sample_no")).alias("_p"),
     ).withColumn("_id_no", F.col("_p") + 1)
