@@ -1,24 +1,19 @@
-"""Spark ML baselines, model-based imputation and batch scoring."""
+"""Spark ML baselines, trees and batch scoring."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
-from pyspark.sql.window import Window
 
-from ..functions import draws
 from ..sources.staging import stage
 from . import trees
 from .joins import lookup_join
-from .ordering import in_pieces
 
 # Fixed values of the boosting job.
 BOOST_ROUNDS = 50
@@ -139,156 +134,3 @@ def boosted_correction(
     bins = F.array(*[trees.bin_of(known(c), F.lit(found.get(i, [])).cast("array<double>")) for i, c in enumerate(names)]).alias("bins")
     model = trees.Boosted(["task"], rounds, rate, depth).fit(train.where("diff is not null").select("task", bins, trees.whole(F.col("diff")).alias("y")))
     return model, model.predict(test.withColumn("bins", bins), "predicted_diff").drop("bins")
-
-
-def _normal(seed: object, *keys: Column | str) -> Column:
-    """Standard normal draw from two uniform ones."""
-    size = F.lit(float(2**48))
-    u = (draws.draw_int(seed, F.lit("u"), *keys) + 1) / (size + 1)
-    v = draws.draw_int(seed, F.lit("v"), *keys) / size
-    return F.sqrt(-2 * F.log(u)) * F.cos(v * F.lit(6.283185307179586))
-
-
-def impute_chained(
-    df: DataFrame, key: str, strategies: Mapping[str, str], predictors: Sequence[str] = (),
-    copies: int = 5, rounds: int = 3, seed: object = 0,
-) -> DataFrame:
-    """Chained-equation imputation: ``copies`` completed tables, stacked by ``copy_no``.
-
-    ``strategies`` names each column with gaps: 'least squares' (numeric,
-    prediction plus a normal residual), 'pmm' (numeric, nearest donor) or
-    'multinomial logistic' (codes 0, 1, 2, ..., a draw from the predicted
-    classes). Every round refits each column on all others and is stored.
-    """
-    targets = list(strategies)
-    base = stage(
-        df.select(
-            key, *predictors, *targets, *[F.col(c).isNull().alias(f"_gap_{c}") for c in targets]
-        ),
-        "chained",
-    )
-    # First fill: mean, or the most frequent code.
-    start = {}
-    for c, how in strategies.items():
-        if how == "multinomial logistic":
-            top = base.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c)
-            start[c] = top.first()[0]
-        else:
-            start[c] = base.agg(F.avg(c)).first()[0]
-    out: DataFrame | None = None
-    for copy in range(1, copies + 1):
-        filled = base.fillna({c: v for c, v in start.items()})
-        for number in range(1, rounds + 1):
-            for c, how in strategies.items():
-                others = [*predictors, *[t for t in targets if t != c]]
-                filled = _refit(filled, key, c, how, others, (seed, copy, number, c))
-            filled = stage(filled, "chained")
-        done = filled.select(F.lit(copy).alias("copy_no"), key, *predictors, *targets)
-        out = done if out is None else out.unionByName(done)
-    if out is None:
-        raise ValueError("copies must be at least 1")
-    return out
-
-
-def _refit(
-    df: DataFrame, key: str, target: str, how: str, others: Sequence[str], tag: tuple
-) -> DataFrame:
-    seed = ":".join(str(t) for t in tag)
-    gap = F.col(f"_gap_{target}")
-    x = assemble(df, others)
-    known = x.where(~gap)
-    if how == "multinomial logistic":
-        model = LogisticRegression(
-            featuresCol="_x", labelCol=target, family="multinomial", maxIter=50,
-            probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred",
-        ).fit(known)
-        share = draws.draw_int(seed, key) / F.lit(float(2**48))
-        # The first class whose running probability exceeds the draw.
-        state = F.aggregate(
-            vector_to_array("_prob"),
-            F.struct(F.lit(0.0).alias("p"), F.lit(0).alias("n")),
-            lambda s, p: F.struct(
-                (s["p"] + p).alias("p"), (s["n"] + (s["p"] + p <= share).cast("int")).alias("n")
-            ),
-        )
-        top = F.lit(model.numClasses - 1)
-        drawn = F.least(state["n"], top).cast("double")
-        scored = model.transform(x).withColumn(
-            target, F.when(gap, drawn).otherwise(F.col(target).cast("double"))
-        )
-        return scored.drop("_x", "_prob", "_raw", "_pred")
-    if how == "pmm":
-        return impute_pmm(df, key, target, others, gap=f"_gap_{target}")
-    if how != "least squares":
-        raise ValueError(f"unknown strategy {how!r}")
-    model = LinearRegression(
-        featuresCol="_x", labelCol=target, solver="normal", predictionCol="_pred"
-    ).fit(known)
-    spread = float(model.summary.rootMeanSquaredError)
-    drawn = F.col("_pred") + F.lit(spread) * _normal(seed, key)
-    scored = model.transform(x).withColumn(
-        target, F.when(gap, drawn).otherwise(F.col(target).cast("double"))
-    )
-    return scored.drop("_x", "_pred")
-
-
-def impute_pmm(
-    df: DataFrame, key: str, target: str, predictors: Sequence[str], gap: str | None = None
-) -> DataFrame:
-    """Predictive mean matching: the row with the nearest prediction gives its value.
-
-    Rows are range-partitioned by prediction; inside a piece the donors before
-    and after a row come from windows, across pieces from one row per piece.
-    The lower donor wins ties.
-    """
-    open_ = F.col(gap) if gap else F.col(target).isNull()
-    x = assemble(df, predictors).withColumn("_open", open_)
-    model = LinearRegression(
-        featuresCol="_x", labelCol=target, solver="normal", predictionCol="_pred"
-    ).fit(x.where(~F.col("_open")))
-    pieces = in_pieces(model.transform(x).drop("_x"), ["_pred", key])
-    donor = F.when(
-        ~F.col("_open"), F.struct(F.col("_pred").alias("at"), F.col(target).cast("double").alias("v"))
-    )
-    order = F.struct("_pred", key)
-    edges = pieces.where(~F.col("_open")).groupBy("_piece").agg(
-        F.max_by(donor, order).alias("_last"), F.min_by(donor, order).alias("_first")
-    )
-    # One row per piece.
-    all_pieces = pieces.select("_piece").distinct().join(edges, "_piece", "left")
-    by_piece = Window.orderBy("_piece")
-    carried = all_pieces.select(
-        "_piece",
-        F.last("_last", ignorenulls=True)
-        .over(by_piece.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
-        F.first("_first", ignorenulls=True)
-        .over(by_piece.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
-    )
-    inside = Window.partitionBy("_piece").orderBy("_pred", key)
-    near = (
-        pieces.join(F.broadcast(carried), "_piece")
-        .withColumn(
-            "_below",
-            F.coalesce(
-                F.last(donor, ignorenulls=True)
-                .over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-                F.col("_earlier"),
-            ),
-        )
-        .withColumn(
-            "_above",
-            F.coalesce(
-                F.first(donor, ignorenulls=True)
-                .over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-                F.col("_later"),
-            ),
-        )
-    )
-    below, above = F.col("_below"), F.col("_above")
-    lower = above.isNull() | (
-        below.isNotNull() & (F.col("_pred") - below["at"] <= above["at"] - F.col("_pred"))
-    )
-    value = F.when(F.col("_open"), F.when(lower, below["v"]).otherwise(above["v"])).otherwise(
-        F.col(target).cast("double")
-    )
-    return near.withColumn(target, value).select(*df.columns)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import arrays, codes, draws
-from ..operators import clean, evaluate, labels, models, report, sampling, vectors
+from ..operators import clean, evaluate, imputation, labels, models, report, sampling, vectors
 from ..operators.joins import fan_out, lookup_join
 from ..plans import jobs
 from ..sources import files
@@ -481,18 +481,50 @@ w AS (SELECT *, last_value(balance IGNORE NULLS) OVER lo AS lv, last_value(CASE
                     hi AS (ORDER BY pred, c_custkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT c_custkey, coalesce(balance, CASE WHEN up IS NULL OR (lp IS NOT NULL AND pred - lp <= up - pred) THEN lv ELSE uv END) AS balance FROM w""")
 def impute_pmm(spark, sf):
-    filled = models.impute_pmm(_gappy(spark, sf).drop("grp"), "c_custkey", "balance", ["size"])
+    filled = imputation.impute_pmm(_gappy(spark, sf).drop("grp"), "c_custkey", "balance", ["size"])
     return filled.select("c_custkey", "balance")
 
 
 @query("impute_chained")
 def impute_chained(spark, sf):
-    return models.impute_chained(
-        _gappy(spark, sf), "c_custkey", {"grp": "multinomial logistic", "balance": "least squares"}, ["size"],
-        copies=2, rounds=2,
+    return imputation.impute_chained(
+        _gappy(spark, sf), "c_custkey", {"grp": "multinomial logistic", "balance": "least squares"}, ["size"]
     )
 
 
+def _chained_sql(copies: int, rounds: int) -> str:
+    """Normal equations of two columns that predict each other, beside ``size``."""
+    def normal(step: int, c: str) -> str:
+        u, v = (f"('0x' || substr(md5(concat_ws(':', '0', copy_no, {step}, '{c}', c_custkey, '{w}')), 1, 12))::BIGINT" for w in "uv")
+        return f"sqrt(-2 * ln(({u} + 1) / (pow(2, 48) + 1))) * cos({v} / pow(2, 48) * 2 * pi())"
+
+    ctes = ["""c0 AS (SELECT c_custkey, length(c_mktsegment)::DOUBLE AS size, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance,
+  CASE WHEN c_nationkey > 1 THEN c_nationkey::DOUBLE END AS nation FROM customer)""",
+            f"""t0 AS (SELECT unnest(range(1, {copies + 1})) AS copy_no, c_custkey, size, coalesce(balance, (SELECT avg(balance) FROM c0)) AS balance,
+  coalesce(nation, (SELECT avg(nation) FROM c0)) AS nation, balance IS NULL AS no_balance, nation IS NULL AS no_nation FROM c0)"""]
+    at = 0
+    for step in range(1, rounds + 1):
+        for y, o in (("balance", "nation"), ("nation", "balance")):
+            ctes.append(f"""f{at} AS (SELECT copy_no, (cxy * vo - coy * cxo) / (vx * vo - cxo * cxo) AS b, (coy * vx - cxy * cxo) / (vx * vo - cxo * cxo) AS d, *
+  FROM (SELECT copy_no, avg(size) AS mx, avg({o}) AS mo, avg({y}) AS my, var_pop(size) AS vx, var_pop({o}) AS vo, var_pop({y}) AS vy,
+    covar_pop(size, {y}) AS cxy, covar_pop({o}, {y}) AS coy, covar_pop(size, {o}) AS cxo FROM t{at} WHERE NOT no_{y} GROUP BY copy_no))""")
+            ctes.append(f"""t{at + 1} AS (SELECT t.* REPLACE (CASE WHEN no_{y} THEN my + b * (size - mx) + d * ({o} - mo) + sqrt(vy - b * cxy - d * coy) * {normal(step, y)} ELSE {y} END AS {y})
+  FROM t{at} t JOIN (SELECT copy_no, mx, mo, my, vy, b, d, cxy, coy FROM f{at}) USING (copy_no))""")
+            at += 1
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT copy_no, c_custkey, size, round(balance, 4) AS balance, round(nation, 6) AS nation FROM t{at}"
+
+
+@query("impute_chained_linear", _chained_sql(5, 3))
+def impute_chained_linear(spark, sf):
+    cust = table(spark, sf, "customer").select(
+        "c_custkey", F.length("c_mktsegment").cast("double").alias("size"),
+        F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance"),
+        F.when(F.col("c_nationkey") > 1, F.col("c_nationkey")).alias("nation"),
+    )
+    out = imputation.impute_chained(cust, "c_custkey", {"balance": "least squares", "nation": "least squares"}, ["size"])
+    return out.select("copy_no", "c_custkey", "size", r6("balance", "balance", 4), r6("nation", "nation"))
+
+
 # Files.
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelkit.operators import evaluate, labels, models, trees
+from panelkit.operators import evaluate, imputation, labels, models, trees
 from panelkit.sources import files
 
 
@@ -81,7 +81,7 @@ def test_pmm_takes_nearest_donor(spark):
     y = [None if rng.random() < 0.3 else float(3 * v + rng.normal()) for v in x]
     rows = [(i, float(x[i]), y[i]) for i in range(400)]
     df = spark.createDataFrame(rows, "id long, x double, y double").repartition(5)
-    got = {r.id: r.y for r in models.impute_pmm(df, "id", "y", ["x"]).collect()}
+    got = {r.id: r.y for r in imputation.impute_pmm(df, "id", "y", ["x"]).collect()}
     known = [(v, t) for _, v, t in rows if t is not None]
     a = np.polyfit([v for v, _ in known], [t for _, t in known], 1)
     for i, v, t in rows:
@@ -103,7 +103,7 @@ def test_chained_imputation(spark):
         rows.append((i, x, y, g, z))
     df = spark.createDataFrame(rows, "id long, x double, y double, g double, z double")
     how = {"y": "least squares", "g": "multinomial logistic", "z": "pmm"}
-    out = models.impute_chained(df, "id", how, ["x"], copies=2, rounds=2, seed=1).toPandas()
+    out = imputation.impute_chained(df, "id", how, ["x"], copies=2, rounds=2, seed=1).toPandas()
     assert len(out) == 600 and not out.isna().any().any() and set(out.g) == {0.0, 1.0}
     for i, x, y, g, z in rows:
         mine = out[out.id == i]
@@ -116,6 +116,41 @@ def test_chained_imputation(spark):
     assert np.corrcoef(a.x, a.y)[0, 1] > 0.95
 
 
+def test_chained_imputation_of_odd_columns(spark):
+    how = {"y": "least squares"}
+    empty = spark.createDataFrame([(1, 1.0, None)], "id long, x double, y double")
+    with pytest.raises(ValueError, match="y has no known value"):
+        imputation.impute_chained(empty, "id", how, ["x"])
+    hole = spark.createDataFrame([(1, 1.0, 2.0), (2, None, None)], "id long, x double, y double")
+    with pytest.raises(Exception, match="x is null"):
+        imputation.impute_chained(hole, "id", how, ["x"]).collect()
+    # Two equal predictors, a constant one and a class of one code.
+    rows = [(i, float(i), float(i), 5.0, 3.0 * i if i % 3 else None, 0.0 if i % 4 else None) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y double, g double")
+    out = imputation.impute_chained(df, "id", {**how, "g": "multinomial logistic"}, ["a", "b", "c"], copies=2, rounds=1).toPandas()
+    assert np.allclose(out.y, 3 * out.id, atol=1e-6) and set(out.g) == {0.0} and len(out) == 118
+
+
+def test_classifier_solves_its_equations(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 2)) * [3, 0.1] + [100, -5]
+    code = (x[:, 0] - 100 + rng.normal(size=600) * 2 > 0).astype(int) + (rng.random(600) < 0.2)
+    rows = [(i % 2 + 1, *map(float, x[i]), float(code[i])) for i in range(600)]
+    df = spark.createDataFrame(rows, "copy_no int, a double, b double, g double").repartition(5)
+    plain, _ = imputation._classifier(df, "copy_no", "g", ["a", "b"], 3)
+    mean, spread = x.mean(0), x.std(0)
+    for copy in (1, 2):
+        mine = np.arange(600) % 2 + 1 == copy
+        z = np.column_stack([np.ones(mine.sum()), (x[mine] - mean) / spread])
+        w = np.array(plain[copy])
+        scaled = np.column_stack([w[:, 0] + w[:, 1:] @ mean, w[:, 1:] * spread])
+        p = np.exp(np.column_stack([np.zeros(len(z)), z @ scaled.T]))
+        p /= p.sum(axis=1, keepdims=True)
+        hit = code[mine][:, None] == np.arange(3)
+        slope = (hit - p)[:, 1:].T @ z - imputation.PENALTY * len(z) * scaled
+        assert np.abs(slope).max() < 1e-4
+
+
 def test_trees_of_two_tasks(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 2))
