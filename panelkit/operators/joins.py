@@ -27,6 +27,9 @@ SALTS = 64
 
 _WIDE = (ArrayType, BinaryType, MapType, StringType, StructType)
 
+# Entries of one key that are packed into one list.
+BLOCK_ENTRIES = 1000
+
 
 def is_small(
     df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES
@@ -85,13 +88,32 @@ def lookup_join(
     return many.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def fan_out(rows: DataFrame, few: DataFrame, on: Sequence[str], name: str = "few") -> DataFrame:
-    """Repeat each row for the few entries of its key, such as one per task.
+def fan_out(
+    rows: DataFrame, few: DataFrame, on: Sequence[str], name: str = "few", block: int = BLOCK_ENTRIES
+) -> DataFrame:
+    """Repeat each row for the entries of its key, such as one per task.
 
     The entries of a key are packed into one row first, so that the join has a
-    one-row side; their number must be small by nature.
+    one-row side. A key with more than ``block`` entries is packed into several
+    rows of at most ``block`` each, and only rows of such keys are repeated for
+    the blocks before the join.
     """
     on = list(on)
     entry = F.struct(*[c for c in few.columns if c not in on])
-    packed = stage(few.groupBy(*on).agg(F.collect_list(entry).alias("_few")), name)
-    return lookup_join(rows, packed, on).select(*rows.columns, F.inline("_few"))
+    stored = stage(few, name)
+    heavy = stage(
+        stored.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > block), f"{name}_heavy"
+    )
+    if heavy.isEmpty():
+        packed = stage(stored.groupBy(*on).agg(F.collect_list(entry).alias("_few")), name)
+        return lookup_join(rows, packed, on).select(*rows.columns, F.inline("_few"))
+    # ``block`` neighbours of a stored file share a number, so no list is longer.
+    at = F.floor(F.monotonically_increasing_id() / block)
+    placed = lookup_join(stored.withColumn("_at", at), heavy, on, "left")
+    number = F.when(F.col("_n").isNotNull(), F.col("_at")).otherwise(F.lit(0)).cast("bigint")
+    packed = stage(
+        placed.withColumn("_block", number).groupBy(*on, "_block").agg(F.collect_list(entry).alias("_few")), name
+    )
+    index = stage(packed.groupBy(*on).agg(F.collect_list("_block").alias("_blocks")), f"{name}_blocks")
+    repeated = lookup_join(rows, index, on).select(*rows.columns, F.explode("_blocks").alias("_block"))
+    return lookup_join(repeated, packed, [*on, "_block"]).select(*rows.columns, F.inline("_few"))

@@ -32,17 +32,18 @@ def panel_scores(
 ) -> DataFrame:
     """Panel -> chunks -> binary rows as text -> scores -> R2 per (task, chunk).
 
-    ``score`` turns (chunk_index, id, text) into (chunk_index, id, score); the
-    residuals are (id, task, prediction, truth, ybar_train).
+    ``score`` turns (chunk_index, id, text, task) into rows with a score, so
+    that every (task, chunk) can have its own model; the residuals are
+    (id, task, prediction, truth, ybar_train).
     """
     profile = panel.usable_features(panel.column_profile(cells))
     chunks = stage(panel.feature_chunks(profile, chunk_size, min_tail), "chunks")
     binary = stage(binarized_panel(cells, n_rows), "binary")
     have = panel.select_available(chunks, binary.select("feature").distinct())
     texts = textrows.render_chunks(binary, "id", have)
-    scores = score(texts).select("chunk_index", "id", "score")
-    by_task = fan_out(scores, residuals.select("id", "task"), ["id"], "tasks")
-    grid = evaluate.evaluate_grid(by_task, residuals)
+    by_task = stage(fan_out(texts, residuals.select("id", "task"), ["id"], "tasks"), "task_texts")
+    scores = score(by_task).select("chunk_index", "id", "task", "score")
+    grid = evaluate.evaluate_grid(scores, residuals)
     return report.attach_chunks(grid, chunks)
 
 

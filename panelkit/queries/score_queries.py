@@ -602,13 +602,17 @@ def io_roundtrip_matrix(spark, sf):
 
 @query("panel_scores")
 def panel_scores(spark, sf):
-    """The flagship job with the length of the text as the model."""
+    """The flagship job with the length of the text, times the task's first digit, as the model."""
     res = stage(t.residuals(spark, sf), "residuals")
     cells = t.stored_panel(spark, sf)
 
-    def load():
-        return lambda batch: batch["text"].str.len() / np.float64(10.0)
+    def load(task, chunk):
+        weight = int(task[0]) / 10.0
+        return lambda batch: batch["text"].str.len() * np.float64(weight)
+
+    def score(texts):
+        return models.score_by_model(texts, ["task", "chunk_index"], ["id"], load)
 
     return jobs.panel_scores(
-        cells, res, lambda texts: models.score_batches(texts, load), chunk_size=2, min_tail=1
+        cells, res, score, chunk_size=2, min_tail=1
     ).select("task", "chunk_index", "year", "comb", F.array_join("chunk", ",").alias("chunk"), "R")

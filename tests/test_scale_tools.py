@@ -144,3 +144,19 @@ def test_staging_needs_a_shared_folder_on_a_cluster(spark):
 
     with pytest.raises(RuntimeError):
         staging.staging_root(Session())
+
+
+def test_fan_out_packs_blocks(spark):
+    from panelkit.operators.joins import fan_out
+
+    # One key with very many entries, equal ones among them, small keys and a key without rows.
+    few = spark.range(30_000).select(F.lit(1).alias("k"), (F.col("id") % 20_000).alias("v")).unionByName(
+        spark.createDataFrame([(2, 5), (2, 6), (3, 7), (9, 1)], "k int, v long")
+    ).repartition(5)
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (4, "e"), (None, "f")], "k int, r string")
+    for block in (1000, 40_000):
+        got = fan_out(rows, few, ["k"], block=block)
+        counts = {r.r: (r.n, r.total) for r in got.groupBy("r").agg(F.count("*").alias("n"), F.sum("v").alias("total")).collect()}
+        total = sum(i % 20_000 for i in range(30_000))
+        assert got.columns == ["k", "r", "v"]
+        assert counts == {"a": (30_000, total), "b": (30_000, total), "c": (2, 11), "d": (1, 7)}

@@ -151,6 +151,19 @@ def test_classifier_solves_its_equations(spark):
         assert np.abs(slope).max() < 1e-4
 
 
+def test_each_row_meets_its_model(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "u").alias("task"), (F.col("id") % 4).alias("chunk")).repartition(6)
+
+    def load(task, chunk):
+        shift = (1000 if task == "u" else 0) + chunk
+        return lambda batch: batch["id"] * 2 + shift
+
+    out = models.score_by_model(df, ["task", "chunk"], ["id"], load)
+    rows = out.collect()
+    assert len(rows) == 3000 and all(r.score == r.id * 2 + (1000 if r.id % 3 else 0) + r.id % 4 for r in rows)
+    assert out.where("false").count() == 0
+
+
 def test_trees_of_two_tasks(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 2))
