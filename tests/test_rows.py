@@ -253,3 +253,36 @@ def test_truncation_audit(spark):
     assert (full[1].last_name, full[1].complete, full[1].lost_share) == ("c", True, 0.0)
     cut = vocab.truncation_audit(df, ["id"], 6).orderBy("id").first()
     assert (cut.last_name, cut.complete, cut.n_kept) == ("b", False, 6)
+
+
+def test_mlm_mask_draws_once_for_each_id(spark):
+    """Ids inside padding, null keys and both results follow from one draw for each place."""
+    import hashlib
+
+    digest = lambda *p: hashlib.md5(":".join(str(x) for x in p if x is not None).encode()).hexdigest()
+    rows = [(k, n, [2, *[5 + (i * 7) % 40 for i in range(30)], 3, *tail]) for k, n, tail in ((1, "a", [1] * 8), (None, "b", [1, 9, 1]), (None, None, []), (4, "", [1]), (5, "c", [1] * 3))]
+    df = spark.createDataFrame(rows, "k long, n string, input_ids array<int>")
+    masked = vocab.mlm_mask(df, ["k", "n"], 300, seed=9)
+    got = {(r.k, r.n): (r.input_ids, r.labels) for r in masked.collect()}
+    for k, n, ids in rows:
+        shown, labels = [], []
+        for i, x in enumerate(ids):
+            chosen = x not in (1, 2, 3) and digest(9, "pick", k, n, i)[:8] < format(int(0.15 * 2**32), "08x")
+            fate = digest(9, "fate", k, n, i)[:8]
+            other = int(digest(9, "token", k, n, i)[:12], 16) % 300
+            put = 4 if fate < format(int(0.8 * 2**32), "08x") else other if fate < format(int(0.9 * 2**32), "08x") else x
+            shown.append(put if chosen else x)
+            labels.append(x if chosen else -100)
+        assert got[k, n] == (shown, labels)
+    plan = masked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("pick") == 1
+
+
+def test_chunk_texts_are_rendered_once(spark, monkeypatch):
+    names = []
+    kept = textrows.stage
+    monkeypatch.setattr(textrows, "stage", lambda d, name: names.append(name) or kept(d, name))
+    cells = spark.range(50).selectExpr("id", "'m1a' AS feature", "1D AS value")
+    chunks = spark.createDataFrame([(0, ["m1a"])], "chunk_index long, chunk array<string>")
+    out = textrows.render_chunks(cells, "id", chunks, "comma", min_rows=10)
+    assert out.count() == 50 and "chunk_texts" in names
