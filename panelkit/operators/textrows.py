@@ -81,7 +81,8 @@ def render_chunks(
 
 def drop_small_chunks(texts: DataFrame, min_rows: int = MIN_CHUNK_ROWS) -> DataFrame:
     """Drop empty texts, then chunks with fewer than ``min_rows`` of them."""
-    kept = texts.where("text <> ''")
+    # The texts are counted and returned, but rendered once.
+    kept = stage(texts.where("text <> ''"), "chunk_texts")
     big = kept.groupBy("chunk_index").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_rows)
     return lookup_join(kept, stage(big.select("chunk_index"), "big_chunks"), ["chunk_index"], "left_semi")
 

@@ -59,7 +59,7 @@ x AS (SELECT chunk_index, id, string_agg(concat(feature, ' ', CAST(trunc(value)
       FROM panel JOIN c USING (feature) GROUP BY 1, 2)
 SELECT chunk_index, id, text FROM x QUALIFY count(*) OVER (PARTITION BY chunk_index) >= 1000""")
 def render_chunks(spark, sf):
-    panel = t.stored_panel(spark, sf)
+    panel = t.panel(spark, sf)
     feats = panel.select("feature", "ord").distinct()
     chunks = feats.groupBy(F.floor((F.col("ord") - 1) / 7).alias("chunk_index")).agg(
         F.array_sort(F.collect_list(F.struct("ord", "feature")))["feature"].alias("chunk")
