@@ -144,7 +144,7 @@ def evaluate_grid(
     ybar_train).
     """
     means = mean_per_id(scores, ["id", "task", *unit], "score")
-    joined = apply_correction(lookup_join(means, residuals, ["id", "task"], spread=True))
+    joined = apply_correction(lookup_join(stage(means, "means"), residuals, ["id", "task"], spread=True))
     return r2_by(joined, ["task", *unit], "new_prediction")
 
 

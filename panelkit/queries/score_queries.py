@@ -176,7 +176,7 @@ def grid_range(spark, sf):
     f'max(d) FILTER (chunk_index = {i}) AS "{i}"' for i in range(t.N_SCORE_CHUNKS)
 ) + " FROM m JOIN residuals USING (id) GROUP BY id, task")
 def pivot_chunks(spark, sf):
-    res = t.residuals(spark, sf)
+    res = stage(t.residuals(spark, sf), "residuals")
     means = evaluate.mean_per_id(t.task_scores(spark, sf, res), ["id", "task", "chunk_index"], "score")
     return report.pivot_chunk_predictions(means, range(t.N_SCORE_CHUNKS))
 
@@ -185,7 +185,7 @@ def pivot_chunks(spark, sf):
 FROM m JOIN residuals USING (id)""")
 def prediction_joins(spark, sf):
     res = stage(t.residuals(spark, sf), "residuals")
-    means = evaluate.mean_per_id(t.task_scores(spark, sf, res), ["id", "task", "chunk_index"], "score")
+    means = stage(evaluate.mean_per_id(t.task_scores(spark, sf, res), ["id", "task", "chunk_index"], "score"), "means")
     return labels.chunk_prediction_table(means, res)
 
 

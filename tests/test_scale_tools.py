@@ -160,3 +160,27 @@ def test_fan_out_packs_blocks(spark):
         total = sum(i % 20_000 for i in range(30_000))
         assert got.columns == ["k", "r", "v"]
         assert counts == {"a": (30_000, total), "b": (30_000, total), "c": (2, 11), "d": (1, 7)}
+
+
+def test_large_joins_are_dealt_by_their_rows(spark, monkeypatch):
+    """A task of a large join gets a bounded number of rows, whatever adaptive execution would pack."""
+    monkeypatch.setattr(joins, "TASK_ROWS", 100)
+    many = spark.range(4000).select((F.col("id") % 2000).alias("k"), "id")
+    one = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for spread in (False, True):
+        joined = joins.lookup_join(many, one, ["k"], spread=spread, max_rows=10)
+        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) > 40 and max(r["count"] for r in sizes) < 400
+        assert joined.where("v = 2 * k").count() == 4000
+
+
+def test_wave_cells_meet_by_id(spark, tmp_path, monkeypatch):
+    """Cells are dealt by id over tasks of bounded rows; a group by id shuffles nothing more."""
+    from panelkit.queries import tables
+
+    monkeypatch.setattr(joins, "TASK_ROWS", 100)
+    spark.range(3000).selectExpr("id div 3 AS l_orderkey", "id % 3 AS l_linenumber", "5D AS l_quantity", "1D AS l_extendedprice", "0D AS l_discount", "0D AS l_tax").write.parquet(str(tmp_path / "lineitem.parquet"))
+    ids = tables.cells(spark, str(tmp_path)).groupBy("id").agg(F.count("*").alias("n"))
+    plan = ids._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert ids.agg(F.count("*"), F.sum("n")).first() == (1000, 3000)
