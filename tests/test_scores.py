@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelkit.operators import evaluate, imputation, labels, models, trees
 from panelkit.sources import files
+from panelkit.sources.staging import stage
 
 
 def r2(p, g, m):
@@ -314,3 +315,45 @@ def test_collect_results_strict_and_lenient(spark, tmp_path):
         files.collect_results(spark, str(tmp_path), ["task", "chunk_index"], pattern, grid)
     todo = files.remaining_work(grid, got, ["task", "chunk_index"])
     assert [tuple(r) for r in todo.collect()] == [("gpa", 2)]
+
+
+def test_small_nodes_are_finished_by_one_task(spark, monkeypatch):
+    """Same nodes and leaves however many rows a task may finish; few levels are left for jobs."""
+    from panelkit.operators import trees
+
+    rng = np.random.default_rng(5)
+    rows = [
+        (int(m), int(i), bool(rng.random() < 0.8), [int(b) for b in rng.integers(0, 4, 3)], int(rng.integers(-3, 4)) * 10**12, 1)
+        for m in (1, 2) for i in range(150)
+    ]
+    df = spark.createDataFrame(rows, "m long, id long, train boolean, bins array<int>, y long, w long")
+    found, stored = {}, {}
+    for most in (0, 10_000):
+        monkeypatch.setattr(trees, "LOCAL_ROWS", most)
+        names = []
+        monkeypatch.setattr(trees, "stage", lambda d, name, keep=names: keep.append(name) or stage(d, name))
+        grown = trees.grow(df, ["m"], 4)
+        found[most] = tuple(sorted(map(str, t.collect())) for t in (grown.nodes, grown.leaves))
+        stored[most] = names.count("splits")
+    assert found[0] == found[10_000]
+    assert len(found[0][1]) == 300
+    assert stored[10_000] == 1 < stored[0]
+
+
+def test_cells_are_counted_in_batches(spark):
+    """Sums are exact beyond 64 bits, also if a batch has to be halved."""
+    from panelkit.operators import trees
+
+    rng = np.random.default_rng(6)
+    rows = [(str(i % 2), 1 + i % 3, [int(b) for b in rng.integers(0, 3, 2)], int(rng.integers(-(2**45), 2**45)), int(rng.integers(1, 2**34))) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, node long, bins array<int>, y long, w long").coalesce(1)
+    want = {}
+    for k, node, bins, y, w in rows:
+        for f, b in enumerate(bins):
+            n, ws, s, low, high = want.get((k, node, f, b), (0, 0, 0, y, y))
+            want[k, node, f, b] = (n + 1, ws + w, s + w * y, min(low, y), max(high, y))
+    got = {(r.k, r.node, r.feature, r.bin): (r.n, int(r.w), int(r.s), r.low, r.high) for r in trees.cells_of(df, ["k"]).collect()}
+    assert {c: v[:3] for c, v in got.items()} == {c: v[:3] for c, v in want.items()}
+    for (k, node), low, high in {((k, n), min(y for a, m, _, y, _ in rows if (a, m) == (k, n)), max(y for a, m, _, y, _ in rows if (a, m) == (k, n))) for k, n, *_ in rows}:
+        own = [v for c, v in got.items() if c[:2] == (k, node)]
+        assert min(v[3] for v in own) == low and max(v[4] for v in own) == high
