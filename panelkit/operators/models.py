@@ -70,16 +70,19 @@ def score_batches(
 def score_by_model(
     df: DataFrame, model_key: Sequence[str], spread: Sequence[str],
     load: Callable[..., Callable[[pd.DataFrame], pd.Series]], out: str = "score",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Score each row with the model of its key, such as one per (task, chunk).
 
     ``load(*key)`` returns the scorer of one model. Rows are ranged by the key
     and ``spread``: a task meets few models and holds one at a time, and the
     rows of a frequent model still go to many tasks. ``df`` should be stored,
-    as ranging reads it twice.
+    as ranging reads it twice. With ``keep`` only these columns come back with
+    the score; what a model reads, such as a text, is then not sent twice.
     """
     key = list(model_key)
-    schema = StructType([*df.schema.fields, StructField(out, DoubleType())])
+    kept = df.columns if keep is None else list(keep)
+    schema = StructType([*[df.schema[c] for c in kept], StructField(out, DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, scorer = None, None
@@ -87,7 +90,7 @@ def score_by_model(
             for found, part in batch.groupby(key, sort=False, dropna=False):
                 if scorer is None or found != held:
                     held, scorer = found, load(*found)
-                yield part.assign(**{out: scorer(part).astype("float64")})
+                yield part[kept].assign(**{out: scorer(part).astype("float64")})
 
     return df.repartitionByRange(*key, *spread).sortWithinPartitions(*key).mapInPandas(run, schema)
 

@@ -38,7 +38,8 @@ def panel_scores(
     """
     profile = panel.usable_features(panel.column_profile(cells))
     chunks = stage(panel.feature_chunks(profile, chunk_size, min_tail), "chunks")
-    binary = stage(binarized_panel(cells, n_rows), "binary")
+    # Read twice: once for the names of its features, and once for the texts.
+    binary = binarized_panel(cells, n_rows)
     have = panel.select_available(chunks, binary.select("feature").distinct())
     texts = textrows.render_chunks(binary, "id", have)
     by_task = stage(fan_out(texts, residuals.select("id", "task"), ["id"], "tasks"), "task_texts")

@@ -626,7 +626,7 @@ def panel_scores(spark, sf):
         return lambda batch: batch["text"].str.len() * np.float64(weight)
 
     def score(texts):
-        return models.score_by_model(texts, ["task", "chunk_index"], ["id"], load)
+        return models.score_by_model(texts, ["task", "chunk_index"], ["id"], load, keep=["chunk_index", "id", "task"])
 
     return jobs.panel_scores(
         cells, res, score, chunk_size=2, min_tail=1

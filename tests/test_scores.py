@@ -165,6 +165,13 @@ def test_each_row_meets_its_model(spark):
     assert out.where("false").count() == 0
 
 
+def test_scoring_sends_back_only_what_is_kept(spark):
+    df = spark.createDataFrame([(i, "u" if i % 2 else None, "x" * i) for i in range(50)], "id long, task string, text string")
+    out = models.score_by_model(df, ["task"], ["id"], lambda task: lambda batch: batch["text"].str.len(), keep=["id", "task"])
+    assert out.columns == ["id", "task", "score"]
+    assert sorted((r.id, r.task, r.score) for r in out.collect()) == [(i, "u" if i % 2 else None, float(i)) for i in range(50)]
+
+
 def test_trees_of_two_tasks(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 2))
