@@ -183,8 +183,9 @@ def pack_prompt(
 
 def author_frequency(papers: DataFrame, authors: str = "authors_parsed", by: Sequence[str] = ()) -> DataFrame:
     """How often each author, its name parts joined, is listed."""
-    listed = papers.select(*by, F.explode(as_column(authors)).alias("_parts"))
-    named = listed.select(*by, tx.author_name(F.col("_parts")).alias("author"))
+    # Names are joined inside the list: a row of an author then holds one text, not a list of parts.
+    names = F.transform(as_column(authors), tx.author_name)
+    named = papers.select(*by, F.explode(names).alias("author"))
     return named.groupBy(*by, "author").agg(F.count("*").alias("n_papers"))
 
 

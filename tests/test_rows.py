@@ -208,6 +208,14 @@ def test_authors(spark):
     assert {r.n_papers: r.n_authors for r in textrows.frequency_of_frequency(counts).collect()} == {1: 1, 2: 1}
 
 
+def test_author_rows_hold_one_text(spark):
+    papers = spark.createDataFrame([("s", [["A", "b"], None]), ("u", [["A", "b"]]), (None, None)], "source string, authors_parsed array<array<string>>")
+    counts = textrows.author_frequency(papers, by=["source"])
+    assert {(r.source, r.author): r.n_papers for r in counts.collect()} == {("s", "A b"): 1, ("s", None): 1, ("u", "A b"): 1}
+    # The names are joined before the list is taken apart.
+    assert "explode(transform(authors_parsed" in counts._jdf.queryExecution().analyzed().toString()
+
+
 def test_vocab_and_encoding_match_tokenizers(spark):
     tok = pytest.importorskip("tokenizers")
     rng = random.Random(6)
