@@ -28,7 +28,11 @@ def key_text(*keys: Column | str) -> Column:
 
 def draw_int(seed: object, *keys: Column | str) -> Column:
     """Uniform integer in [0, 2**48)."""
-    return F.conv(F.substring(draw_key(seed, *keys), 1, 12), 16, 10).cast("bigint")
+    return _draw_of(draw_key(seed, *keys))
+
+
+def _draw_of(key: Column) -> Column:
+    return F.conv(F.substring(key, 1, 12), 16, 10).cast("bigint")
 
 
 def share_limit(share: float) -> str:
@@ -95,23 +99,50 @@ def _pair(left: Column, right: Column) -> Column:
     return F.struct(left.alias("l"), right.alias("r"))
 
 
+# As many positions fit the bits of one number.
+MASK_BITS = 63
+
+
 def distinct_positions(m: Column, k: Column, seed: object, *keys: Column | str) -> Column:
-    """A set of ``k`` different positions out of 0..m-1, every set alike (Floyd).
+    """A set of ``k`` different positions out of 0..m-1, every set alike (Floyd), in ascending order.
 
     One draw for each picked position, whatever ``m`` is: the draw below j + 1
-    for j = m-k..m-1, and j itself if that position is taken. ``k`` is small;
-    the set is searched for each draw. ``k`` must not exceed ``m``.
+    for j = m-k..m-1, and j itself if that position is taken. Up to
+    ``MASK_BITS`` positions the set is one number, with a bit for each; beyond,
+    it is a list that is searched for each draw, as ``k`` is small. ``k`` must
+    not exceed ``m``.
     """
     m, k = m.cast("bigint"), k.cast("bigint")
-    drawn = F.transform(
-        F.sequence(m - k, m - 1),
-        lambda j: F.struct(j.alias("j"), F.pmod(draw_int(seed, *keys, j), j + 1).alias("t")),
-    )
+    steps = F.sequence(m - k, m - 1)
+
+    def below(start: Column, j: Column) -> Column:
+        # The draw of (seed, keys, j), whose text begins alike for every j.
+        return F.pmod(_draw_of(F.md5(F.concat(start, F.lit(":"), j.cast("string")))), j + 1)
+
+    def marked(start: Column) -> Column:
+        bits = F.transform(steps, lambda j: F.struct(_bit(j).alias("j"), _bit(below(start, j)).alias("t")))
+        return F.aggregate(
+            bits, F.lit(0).cast("bigint"),
+            lambda s, d: s.bitwiseOR(F.when(s.bitwiseAND(d["t"]) != 0, d["j"]).otherwise(d["t"])),
+            lambda s: F.filter(F.sequence(F.lit(0).cast("bigint"), m - 1), lambda p: s.bitwiseAND(_bit(p)) != 0),
+        )
+
+    def listed(start: Column) -> Column:
+        drawn = F.transform(steps, lambda j: F.struct(j.alias("j"), below(start, j).alias("t")))
+        picks = F.aggregate(
+            drawn, none,
+            lambda s, d: F.concat(
+                s, F.array(F.when(F.array_contains(s, d["t"]), d["j"]).otherwise(d["t"]))
+            ),
+        )
+        return F.sort_array(picks)
+
     none = F.array().cast("array<bigint>")
-    picks = F.aggregate(
-        drawn, none,
-        lambda s, d: F.concat(
-            s, F.array(F.when(F.array_contains(s, d["t"]), d["j"]).otherwise(d["t"]))
-        ),
-    )
+    # Bound to a variable, the beginning is built once a row.
+    start = F.array(F.concat_ws(":", F.lit(str(seed)), *[as_column(c).cast("string") for c in keys]))
+    picks = F.get(F.transform(start, lambda s: F.when(m <= MASK_BITS, marked(s)).otherwise(listed(s))), F.lit(0))
     return F.when(k > 0, picks).otherwise(none)
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), place.cast("int"))

@@ -154,16 +154,25 @@ def feature_subsets(
     ``cells`` is (key, ord, feature, value) with one row per filled cell; an
     id has one cell per feature at most, so its list is as wide as the panel.
     The list is sorted once; a sample then costs a draw for each feature it
-    takes, not for each it could take. After the grouping nothing is shuffled,
-    whatever the number of samples.
+    takes, not for each it could take, and only places in the list are put in
+    order. After the grouping nothing is shuffled, whatever the number of
+    samples.
     Result: (key, sample_no, cells) with the cells in ``ord`` order.
     """
     cell = F.struct("ord", "feature", "value")
     constructed = is_constructed("feature")
     filled = _spread(cells.where(F.col("value").isNotNull() & (F.col("value") >= 0)), key)
-    ids = filled.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(constructed, cell))).alias("_constructed"),
-        F.array_sort(F.collect_list(F.when(~constructed, cell))).alias("_raw"),
+    listed = filled.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct(cell.alias("cell"), constructed.alias("constructed")))).alias("_listed")
+    )
+
+    def places(wanted: Column) -> Column:
+        all_places = F.sequence(F.lit(0), F.size("_listed") - 1)
+        return F.filter(all_places, lambda i: F.get("_listed", i)["constructed"] == wanted)
+
+    ids = listed.select(
+        key, F.col("_listed")["cell"].alias("_cells"),
+        places(F.lit(True)).alias("_constructed"), places(F.lit(False)).alias("_raw"),
     )
     samples = ids.withColumn("sample_no", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
     keys = [F.col(key), F.col("sample_no")]
@@ -172,13 +181,13 @@ def feature_subsets(
     )
 
     def drawn(stratum: str, size: Column) -> Column:
-        cells = F.col(f"_{stratum}")
-        places = draws.distinct_positions(F.size(cells), size, seed, F.lit(stratum), *keys)
-        return F.transform(places, lambda p: F.get(cells, p.cast("int")))
+        of_stratum = F.col(f"_{stratum}")
+        picks = draws.distinct_positions(F.size(of_stratum), size, seed, F.lit(stratum), *keys)
+        return F.transform(picks, lambda p: F.get(of_stratum, p.cast("int")))
 
     sized = samples.withColumn("_n_con", n_con).withColumn("_n_raw", n_raw)
     both = F.concat(drawn("constructed", F.col("_n_con")), drawn("raw", F.col("_n_raw")))
-    return sized.select(key, "sample_no", F.array_sort(both).alias("cells"))
+    return sized.select(key, "sample_no", F.transform(F.sort_array(both), lambda p: F.get("_cells", p)).alias("cells"))
 
 
 def _numbered_rows(vectors: DataFrame, key: str, row: str) -> DataFrame:

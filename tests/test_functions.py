@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import itertools
 import random
 
@@ -111,6 +112,22 @@ def test_distinct_positions(spark):
     assert len(counts) == 20 and max(counts.values()) < 1.3 * 300 and min(counts.values()) > 0.7 * 300
 
 
+def test_positions_are_floyds_in_order(spark):
+    """Few positions are bits of a number, many a list; both give the sets of the plain method."""
+    def plain(m, k, *keys):
+        picks = []
+        for j in range(m - k, m):
+            text = ":".join(str(x) for x in ("3", *keys, j) if x is not None)
+            drawn = int(hashlib.md5(text.encode()).hexdigest()[:12], 16) % (j + 1)
+            picks.append(j if drawn in picks else drawn)
+        return sorted(picks)
+
+    rows = [(i if i % 7 else None, m, k) for i in range(40) for m, k in ((1, 1), (9, 0), (9, 5), (63, 20), (64, 20), (200, 90))]
+    df = spark.createDataFrame(rows, "id long, m int, k int")
+    got = df.select("id", "m", "k", draws.distinct_positions(F.col("m"), F.col("k"), 3, F.lit("x"), "id").alias("p")).collect()
+    assert len(got) == len(rows) and all(r.p == plain(r.m, r.k, "x", r.id) for r in got)
+
+
 def test_cell_styles(spark):
     def shown(value, style):
         df = spark.createDataFrame([("q1", value)], "n string, v double")
