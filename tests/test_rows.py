@@ -294,3 +294,62 @@ def test_chunk_texts_are_rendered_once(spark, monkeypatch):
     chunks = spark.createDataFrame([(0, ["m1a"])], "chunk_index long, chunk array<string>")
     out = textrows.render_chunks(cells, "id", chunks, "comma", min_rows=10)
     assert out.count() == 50 and "chunk_texts" in names
+
+
+def test_draws_of_many_texts_are_the_plain_ones():
+    import hashlib
+
+    import pyarrow as pa
+
+    from panelkit.functions import digests
+
+    texts = ["", "a", "é" * 9, *("x" * n for n in range(40, 70)), *(f"7:raw:{i * 37}" for i in range(300))]
+    plain = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:12], 16)
+    assert digests.draws_of(pa.array(texts)).tolist() == [plain(t) for t in texts]
+    row, number = np.arange(2 * len(texts)) % len(texts), np.arange(2 * len(texts)) ** 2
+    assert digests.draws_of(pa.array(texts), row, number).tolist() == [plain(f"{texts[r]}:{i}") for r, i in zip(row, number)]
+    assert digests.joined(["7", "size", pa.array(["b", None])]).to_pylist() == ["7:size:b", "7:size"]
+    assert len(digests.draws_of(pa.array([], pa.string()))) == 0
+
+
+def test_feature_subsets_are_floyds_over_many_blocks(spark, monkeypatch):
+    """The sets of the plain method, also if samples come in several blocks, for a null id, and for fields of choice."""
+    import hashlib
+
+    monkeypatch.setattr(sampling, "HELD_MARKS", 40)
+    rng = random.Random(4)
+    names = [f"{h}{w}x" for w in range(1, 30) for h in ("cm", "m", "k")]
+    rows = [(i, o, n, 1.0, f"<{n}>") for i in (1, 2, None, 4) for o, n in enumerate(names) if i != 4 and rng.random() < 0.9 or o == 3]
+    df = spark.createDataFrame(rows, "id long, ord int, feature string, value double, shown string")
+    out = sampling.feature_subsets(df, "id", 150, 5, 40, seed=3, fields=["shown"]).collect()
+    assert len(out) == 600 and {r.sample_no for r in out} == set(range(1, 151))
+    draw = lambda *p: int(hashlib.md5(":".join(str(x) for x in ("3", *p) if x is not None).encode()).hexdigest()[:12], 16)
+    for r in out:
+        own = [(o, n, s) for i, o, n, _, s in rows if i == r.id]
+        size, left, taken = 5 + draw("size", r.id, r.sample_no) % 36, None, []
+        for name in ("constructed", "raw"):
+            mine = [c for c in own if c[1].startswith("cm") == (name == "constructed")]
+            k = min(-(-size // 3) if left is None else left, len(mine))
+            left, picks = size - k, []
+            for j in range(len(mine) - k, len(mine)):
+                t = draw(name, r.id, r.sample_no, j) % (j + 1)
+                picks.append(j if t in picks else t)
+            taken += [mine[p] for p in picks]
+        assert [c.shown for c in r.cells] == [s for _, _, s in sorted(taken)]
+
+
+def test_words_are_counted_and_encoded_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(vocab, "COUNTED_BYTES", 1)
+    texts = [None, "", " ", "a  b a", "b c ", "[MASK] a x\ty é", *["a"] * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    want = Counter(w for t in texts for w in (t or "").split(" ") if w)
+    counts = vocab.token_counts(df)
+    assert {r.token: r.n for r in counts.collect()} == dict(want)
+    words = vocab.top_vocab(counts, 8)
+    number = {r.token: r.id for r in words.orderBy("id", ascending=False).collect()}
+    got = {r.id: r for r in vocab.encode(df, ["id"], words, 5).collect()}
+    for i, t in enumerate(texts):
+        body = [number.get(w, 0) for w in (t or "").split(" ") if w][:3]
+        assert got[i].input_ids == [2, *body, 3, *[1] * (3 - len(body))]
+    plan = vocab.encode(df, ["id"], words, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan
