@@ -36,6 +36,10 @@ WEIGHT_SCALE = 1 << 20
 MEAN_PLACES = 9
 #: A node of at most so many rows, whose sums fit 64 bits, is finished by one task.
 LOCAL_ROWS = 50_000
+#: A booster of at most so many rows, whose sums fit 64 bits, is fitted by one task.
+LOCAL_BOOST_ROWS = 2_000_000
+#: Tasks that the models fitted by one task each are dealt over, so that few of them meet.
+MODEL_TASKS = 64
 #: Rows of a task that are counted at once.
 BATCH_ROWS = 100_000
 
@@ -336,10 +340,83 @@ def _by_model(found: list, keys: Sequence[str]) -> dict[tuple, dict]:
 _TREE = "feature array<int>, bin array<int>, value array<double>"
 
 
+def _node_cells(bins: np.ndarray, slot: np.ndarray, w: np.ndarray, products: list[np.ndarray], k: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, sums of weights, and exact sums of weight times label as Python's whole numbers, of each (node, feature, bin)."""
+    n, ws = (np.zeros((k, len(bins), size), dtype=np.int64) for _ in range(2))
+    parts = [np.zeros((k, len(bins), size), dtype=np.int64) for _ in products]
+    base = slot * size
+    for f, own in enumerate(bins):
+        cell = base + own
+        n[:, f] = np.bincount(cell, minlength=k * size).reshape(k, size)
+        for out, values in ((ws, w), *zip(parts, products)):
+            total = np.zeros(k * size, dtype=np.int64)
+            np.add.at(total, cell, values)
+            out[:, f] = total.reshape(k, size)
+    return n, ws, sum(p.astype(object) * (1 << 16 * i) for i, p in enumerate(parts))
+
+
+def _boosted(bins: np.ndarray, y: np.ndarray, rounds: int, rate: float, depth: int) -> list[tuple]:
+    """One booster by the rules of ``best_splits`` and ``Boosted``: (round, node, n, value, feature, bin, left, right, weight of the tree)."""
+    out: list[tuple] = []
+    size, weight = int(bins.max(initial=0)) + 1, np.ones(len(y))
+    cut = [y & 0xFFFF, (y >> 16) & 0xFFFF, y >> 32]
+    double = lambda c: c.astype(float)
+    for number in range(rounds):
+        scaled = weight * WEIGHT_SCALE
+        low = np.floor(scaled)
+        w = np.maximum((low + (scaled - low >= 0.5)).astype(np.int64), 1)
+        products = [w * c for c in cut]
+        nodes: list[tuple] = []
+        node, value = np.ones(len(y), dtype=np.int64), np.full(2 << depth, np.nan)
+        here = np.arange(len(y))
+        for level in range(depth):
+            if not len(here):
+                break
+            k, all_rows = 1 << level, len(here) == len(y)
+            slot = node[here] - k
+            n, ws, s = _node_cells(bins if all_rows else bins[:, here], slot, w[here], [p[here] for p in products], k, size)
+            nl, wl, sl = (np.cumsum(c, axis=2) for c in (n, ws, s))
+            n_all, w_all, s_all = (c[:, 0, -1] for c in (nl, wl, sl))
+            wr, sr = w_all[:, None, None] - wl, s_all[:, None, None] - sl
+            ok = (n > 0) & (nl < n_all[:, None, None]) & (wl > 0) & (wr > 0)
+            part = lambda s, w: double(s) * double(s) / np.where(ok, w, 1).astype(float)
+            gain = np.where(ok, part(sl, wl) + part(sr, wr), -np.inf).reshape(k, -1)
+            best = gain.argmax(axis=1)
+            least, most = np.full(k, np.iinfo(np.int64).max), np.full(k, np.iinfo(np.int64).min)
+            np.minimum.at(least, slot, y[here])
+            np.maximum.at(most, slot, y[here])
+            feature, place = np.divmod(best, size)
+            is_open = (gain[np.arange(k), best] > -np.inf) & (least < most)
+            for i in np.flatnonzero(n_all):
+                own = value[k + i] = float(s_all[i]) / float(w_all[i])
+                f, b = int(feature[i]), int(place[i])
+                if is_open[i]:
+                    value[2 * (k + i)] = float(sl[i, f, b]) / float(wl[i, f, b])
+                    value[2 * (k + i) + 1] = float(sr[i, f, b]) / float(wr[i, f, b])
+                    nodes.append((k + int(i), int(n_all[i]), own, f, b, value[2 * (k + i)], value[2 * (k + i) + 1]))
+                else:
+                    nodes.append((k + int(i), int(n_all[i]), own, None, None, None, None))
+            going = is_open[slot]
+            here, slot = here[going], slot[going]
+            node[here] = 2 * node[here] + (bins[feature[slot], here] > place[slot])
+        error = np.abs(y - value[node])
+        worst, total = float(error.max()), float(weight.sum())
+        loss = float((weight * error).sum()) / worst / total if worst else 0.0
+        if not worst or loss >= 0.5:
+            # The model ends here; its last tree counts only if it is perfect or the only one.
+            if not worst or number == 0:
+                out += [(number, *r, 1.0) for r in nodes]
+            break
+        beta = loss / (1 - loss)
+        out += [(number, *r, rate * math.log(1 / beta)) for r in nodes]
+        weight = weight * (len(y) / total) * np.power(beta, (1 - error / worst) * rate)
+    return out
+
+
 class Boosted:
-    """AdaBoost.R2 (Drucker 1997, linear loss) of shallow trees, one booster per ``keys``, all grown in the same rounds.
+    """AdaBoost.R2 (Drucker 1997, linear loss) of shallow trees, one booster per ``keys``.
 
-    A round's trees are a table with a row for each of ``keys``, joined to the
+    Models of few rows are fitted by one task each; the others are grown in the same rounds. A round's trees are a table with a row for each of ``keys``, joined to the
     rows as a broadcast: its size is the number of models, known beforehand.
     """
 
@@ -367,8 +444,54 @@ class Boosted:
         return found
 
     def fit(self, rows: DataFrame) -> Boosted:
-        """``rows`` hold the keys, ``bins`` and whole numbers ``y``. A round stores each row's weight, and so costs at most itself if executors are lost."""
-        rows = stage(rows.select(*self.keys, "bins", "y").withColumn("weight", F.lit(1.0)), "boost")
+        """``rows`` hold the keys, ``bins`` and whole numbers ``y``.
+
+        A model of at most ``LOCAL_BOOST_ROWS`` is fitted through all its rounds
+        by one task. The others share their rounds, of which each stores the
+        rows' weights, and so costs at most itself if executors are lost.
+        """
+        rows = stage(rows.select(*self.keys, "bins", "y"), "boost")
+        # One row for each model; a null key has none.
+        sizes = stage(rows.groupBy(*self.keys).agg(self._fits().alias("small")), "boost_sizes")
+        sized = rows.join(F.broadcast(sizes), self.keys)
+        if not sizes.where("small").isEmpty():
+            self._fit_local(sized.where("small").select(*self.keys, "bins", "y"))
+        if not sizes.where("NOT small").isEmpty():
+            self._fit_shared(sized.where("NOT small").select(*self.keys, "bins", "y"))
+        return self
+
+    @staticmethod
+    def _fits() -> Column:
+        """Whether one task can fit the model: its rows, and sums of its weights and labels in 64 bits."""
+        plain = (F.min(F.size("bins")) == F.max(F.size("bins"))) & (F.min(F.size("bins")) > 0) & ~F.max(F.exists("bins", lambda b: b.isNull()))
+        return F.coalesce((F.count("*") <= LOCAL_BOOST_ROWS) & plain & (F.max(F.abs(F.col("y").cast("double"))) < float(1 << 51)), F.lit(False))
+
+    def _add(self, number: int, nodes: list, own: dict[tuple, float]) -> None:
+        while len(self.trees) <= number:
+            self.trees.append([])
+            self.weights.append({})
+        self.trees[number] += nodes
+        self.weights[number].update(own)
+
+    def _fit_local(self, rows: DataFrame) -> None:
+        kinds = dict(rows.dtypes)
+        schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in self.keys), "round int, node long, n long, value double, feature int, bin int, left double, right double, weight double"])
+        keys, rounds, rate, depth = self.keys, self.rounds, self.rate, self.depth
+
+        def fit(table: pa.Table) -> pa.Table:
+            bins = table.column("bins").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+            found = _boosted(np.ascontiguousarray(bins.T), table.column("y").to_numpy(), rounds, rate, depth)
+            columns = {k: pa.array([table.column(k)[0].as_py()] * len(found), table.schema.field(k).type) for k in keys}
+            names = {"round": pa.int32(), "node": pa.int64(), "n": pa.int64(), "value": pa.float64(), "feature": pa.int32(), "bin": pa.int32(), "left": pa.float64(), "right": pa.float64(), "weight": pa.float64()}
+            return pa.table({**columns, **{c: pa.array([r[i] for r in found], kind) for i, (c, kind) in enumerate(names.items())}})
+
+        own = rows.withColumn("bins", F.col("bins").cast("array<int>")).repartition(MODEL_TASKS, *keys)
+        # At most ``2 ** depth - 1`` nodes for each model and round.
+        for r in own.groupBy(*keys).applyInArrow(fit, schema).toLocalIterator():
+            self._add(r["round"], [r], {tuple(r[k] for k in keys): r.weight})
+
+    def _fit_shared(self, rows: DataFrame) -> None:
+        rows = stage(rows.withColumn("weight", F.lit(1.0)), "boost")
         for number in range(self.rounds):
             found = self._grown(rows.withColumn("w", F.greatest(F.round(F.col("weight") * WEIGHT_SCALE).cast("long"), F.lit(1))))
             if not found:
@@ -392,14 +515,12 @@ class Boosted:
                 own[model] = self.rate * math.log(1 / beta)
                 # The factor leaves the mean weight near 1.
                 factors.append((*model, s.worst, beta, s.n / s.total))
-            self.trees.append([r for r in found if tuple(r[k] for k in self.keys) in own])
-            self.weights.append(own)
+            self._add(number, [r for r in found if tuple(r[k] for k in self.keys) in own], own)
             if not factors:
                 break
             power = (1 - F.col("error") / F.col("worst")) * F.lit(self.rate)
             rows = scored.join(self._table(rows, factors, "worst double, beta double, factor double"), self.keys)
             rows = rows.withColumn("weight", F.col("weight") * F.col("factor") * F.pow("beta", power)).drop("error", "worst", "beta", "factor")
-        return self
 
     def predict(self, rows: DataFrame, out: str) -> DataFrame:
         """The weighted median of the trees' values, turned back from units of ``1 / SCALE``; null for keys without a booster."""
@@ -407,12 +528,46 @@ class Boosted:
         for found, own in zip(self.trees, self.weights):
             for model, nodes in _by_model(found, self.keys).items():
                 forests.setdefault(model, []).append((*_arrays(nodes, self.depth), own[model]))
-        table = self._table(rows, [(*m, f) for m, f in forests.items()], f"_forest array<struct<{_TREE.replace(' array', ': array')}, w: double>>")
-        vote = lambda t: F.struct(F.get(t["value"], _walk(t["feature"], t["bin"], self.depth)).alias("p"), t["w"].alias("w"))
-        voted = rows.join(table, self.keys, "left").withColumn("_votes", F.array_sort(F.transform("_forest", vote)))
-        half = F.aggregate("_votes", F.lit(0.0), lambda s, v: s + v["w"]) / 2 * F.lit(1 - 1e-12)
-        state = F.aggregate(
-            "_votes", F.struct(F.lit(0.0).alias("w"), F.lit(None).cast("double").alias("p")),
-            lambda s, v: F.struct((s["w"] + v["w"]).alias("w"), F.when(s["p"].isNotNull(), s["p"]).when(s["w"] + v["w"] >= F.col("_half"), v["p"]).alias("p")),
-        )
-        return voted.withColumn("_half", half).withColumn(out, state["p"] / SCALE).drop("_forest", "_votes", "_half")
+        depth = self.depth
+        forest = {m: _Forest(sorted(f, key=lambda t: t[3])) for m, f in forests.items()}
+
+        def vote(bins: pa.Array, *keys: pa.Array) -> pa.Array:
+            models = list(zip(*(k.to_pylist() for k in keys)))
+            of: dict[tuple, list] = {}
+            for i, m in enumerate(models):
+                of.setdefault(m, []).append(i)
+            width = pc.list_value_length(bins).to_numpy(zero_copy_only=False).astype(np.int64)
+            places = np.zeros((len(bins), int(width.max(initial=0))), dtype=np.int64)
+            row = np.repeat(np.arange(len(bins)), width)
+            places[row, np.arange(len(row)) - (np.cumsum(width) - width)[row]] = bins.flatten().to_numpy(zero_copy_only=False)
+            found, known = np.zeros(len(bins)), np.zeros(len(bins), dtype=bool)
+            for m, some in of.items():
+                if m in forest and None not in m:
+                    found[some], known[some] = forest[m].median(places[some], depth), True
+            return pa.array(found / SCALE, mask=~known)
+
+        return rows.withColumn(out, F.arrow_udf(vote, "double")("bins", *self.keys))
+
+
+class _Forest:
+    """The trees of a model, ascending by weight."""
+
+    def __init__(self, trees: list[tuple]) -> None:
+        number = lambda lists, none, kind: np.array([[none if v is None else v for v in own] for own in lists], dtype=kind)
+        self.feature, self.bin = number([t[0] for t in trees], -1, np.int64), number([t[1] for t in trees], 0, np.int64)
+        self.value, self.weight = number([t[2] for t in trees], np.nan, float), np.array([t[3] for t in trees])
+
+    def median(self, bins: np.ndarray, levels: int) -> np.ndarray:
+        """The weighted median of the trees' values for each row."""
+        every, votes = np.arange(len(bins)), np.empty((len(bins), len(self.weight)))
+        for i, (feature, cut, value) in enumerate(zip(self.feature, self.bin, self.value)):
+            node = np.ones(len(bins), dtype=np.int64)
+            for _ in range(levels):
+                f = feature[node]
+                node = np.where(f < 0, node, 2 * node + (bins[every, f] > cut[node]))
+            votes[:, i] = value[node]
+        # Equal values stay in the order of their weights.
+        order = np.argsort(votes, axis=1, kind="stable")
+        upto = np.cumsum(self.weight[order], axis=1)
+        first = (upto >= upto[:, -1:] / 2 * (1 - 1e-12)).argmax(axis=1)
+        return votes[every, order[every, first]]

@@ -364,3 +364,25 @@ def test_cells_are_counted_in_batches(spark):
     for (k, node), low, high in {((k, n), min(y for a, m, _, y, _ in rows if (a, m) == (k, n)), max(y for a, m, _, y, _ in rows if (a, m) == (k, n))) for k, n, *_ in rows}:
         own = [v for c, v in got.items() if c[:2] == (k, node)]
         assert min(v[3] for v in own) == low and max(v[4] for v in own) == high
+
+
+def test_boosters_of_one_task_are_the_shared_ones(spark, monkeypatch):
+    """Same trees and weights however many rows a task may fit; a null task has no booster either way."""
+    from panelkit.operators import trees
+
+    rng = np.random.default_rng(9)
+    rows = [(t, [int(b) for b in rng.integers(0, 5, 3)], int(rng.integers(-(2**40), 2**40))) for t in ("a", "b") for _ in range(120)]
+    rows += [("same", [0, 1, 2], 7)] * 4 + [("two", [i % 2, 0, 0], i % 2 * 2**45) for i in range(6)]
+    df = spark.createDataFrame(rows, "task string, bins array<int>, y long")
+    found = {}
+    for most in (0, 10_000):
+        monkeypatch.setattr(trees, "LOCAL_BOOST_ROWS", most)
+        model = trees.Boosted(["task"], 4, 0.5, 3).fit(df)
+        nodes = [sorted((r.task, r.node, r.n, r.value, r.feature, r.bin, r.left, r.right) for r in found) for found in model.trees]
+        found[most] = nodes, [{k: round(w, 12) for k, w in own.items()} for own in model.weights]
+        votes = model.predict(df, "p").select("task", "bins", F.round("p", 9)).collect()
+        found[most] = *found[most], sorted(map(str, votes))
+        null = df.withColumn("task", F.when(F.col("task") != "a", F.col("task")))
+        assert sorted(trees.Boosted(["task"], 1, 0.5, 3).fit(null).weights[0]) == [("b",), ("same",), ("two",)]
+    assert found[0] == found[10_000]
+    assert sorted(found[0][1][0]) == [("a",), ("b",), ("same",), ("two",)]
