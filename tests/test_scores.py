@@ -386,3 +386,22 @@ def test_boosters_of_one_task_are_the_shared_ones(spark, monkeypatch):
         assert sorted(trees.Boosted(["task"], 1, 0.5, 3).fit(null).weights[0]) == [("b",), ("same",), ("two",)]
     assert found[0] == found[10_000]
     assert sorted(found[0][1][0]) == [("a",), ("b",), ("same",), ("two",)]
+
+
+def test_subtrees_hold_few_nodes_at_once(monkeypatch):
+    """The same tree however many nodes are counted at once; a node of 400,000 rows is still one task's."""
+    from panelkit.operators import trees
+
+    rng = np.random.default_rng(10)
+    bins, y = rng.integers(0, 6, (3000, 3)), rng.integers(-(10**6), 10**6, 3000)
+    w, train = np.ones(3000, dtype=np.int64), rng.random(3000) < 0.8
+    found = []
+    for held in (1, 7, 4096):
+        monkeypatch.setattr(trees, "HELD_NODES", held)
+        nodes, value = trees._subtree(bins, y, w, train, 1, 30)
+        found.append(({c: v.tolist() for c, v in nodes.items()}, value.tolist()))
+    assert found[0] == found[1] == found[2]
+    own = [(tuple(b), int(v)) for b, v, t in zip(bins.tolist(), y, train) if t]
+    want = brute_tree(own, 30)
+    got = {n: (k, v, *((None, None) if leaf else (f, b))) for n, k, v, f, b, leaf in zip(*found[0][0].values())}
+    assert got == want and trees.LOCAL_ROWS >= 400_000
