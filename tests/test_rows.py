@@ -353,3 +353,11 @@ def test_words_are_counted_and_encoded_in_batches(spark, monkeypatch):
         assert got[i].input_ids == [2, *body, 3, *[1] * (3 - len(body))]
     plan = vocab.encode(df, ["id"], words, 5)._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan
+
+
+def test_cells_without_a_name_are_not_drawn(spark):
+    rows = [(i, o, n, 1.0) for i in range(40) for o, n in ((None, None), (1, "cm1x"), (2, "m1x"), (3, None))] + [(99, None, None, 2.0)]
+    df = spark.createDataFrame(rows, "id long, ord int, feature string, value double")
+    out = sampling.feature_subsets(df, "id", 3, 4, 6, seed=1).collect()
+    assert len(out) == 123
+    assert all([c.feature for c in r.cells] == ([] if r.id == 99 else ["cm1x", "m1x"]) for r in out)
