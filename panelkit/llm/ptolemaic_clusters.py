@@ -129,7 +129,7 @@ def _means(vectors: DataFrame, pivots: Pivots, centroids: np.ndarray, width: int
     parts = vectors.mapInArrow(each, "cluster int, n long, sums array<long>")
     cells = parts.select("cluster", "n", F.posexplode("sums").alias("component", "part"))
     # At most clusters x components rows, whatever the data.
-    totals = cells.groupBy("cluster", "component").agg(F.sum(F.col("part").cast("decimal(38,0)")).alias("total"), F.sum("n").alias("n")).collect()
+    totals = cells.groupBy("cluster", "component").agg(F.sum(F.col("part").cast("decimal(38,0)")).alias("total"), F.sum("n").alias("n")).toLocalIterator()
     out = centroids.copy()
     for r in totals:
         out[r.cluster, r.component] = int(r.total) // r.n
@@ -157,7 +157,7 @@ def cluster(
     spark = df.sparkSession
     kept = integer_vectors(df, id, vector, width, scale)
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary"), 256)
-    start = kept.orderBy(order.asc_nulls_last(), "x").limit(clusters).collect()
+    start = list(kept.orderBy(order.asc_nulls_last(), "x").limit(clusters).toLocalIterator())
     kind = dict(df.dtypes)[id]
     if not start:
         return spark.createDataFrame([], f"`{id}` {kind}, cluster int, distance long, cluster_inertia long, inertia long, centroid array<long>")
@@ -181,7 +181,7 @@ def cluster(
                 yield pa.RecordBatch.from_arrays([batch.column("id")[rows], pa.array(number.astype(np.int32)), pa.array(distance.tolist(), pa.int64())], ["id", "cluster", "distance"])
 
     assigned = stage(vectors.mapInArrow(final, f"id {kind}, cluster int, distance long"), "assigned")
-    sums = {r.cluster: int(r.total) for r in assigned.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("total")).collect()}
+    sums = {r.cluster: int(r.total) for r in assigned.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("total")).toLocalIterator()}
     at = F.col("cluster")
     return assigned.select(
         F.col("id").alias(id), "cluster", "distance", _element([sums.get(c, 0) for c in range(len(centroids))], "bigint", at).alias("cluster_inertia"),

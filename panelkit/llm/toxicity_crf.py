@@ -125,7 +125,7 @@ def evidence(toxic: Column, clean: Column, share: float) -> Column:
 
 def signs(docs: DataFrame) -> np.ndarray:
     """Hashes of the words and beginnings that tell toxic documents, sorted; at most ``SIGNS``."""
-    counts = {r.label: r.n for r in docs.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    counts = {r.label: r.n for r in docs.groupBy("label").agg(F.count("*").alias("n")).toLocalIterator()}
     if not counts.get(1) or not counts.get(0):
         return np.zeros(0, np.uint64)
     share = counts[1] / (counts[1] + counts[0])
@@ -192,7 +192,7 @@ def stretches(docs: DataFrame, told: np.ndarray) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([False, True]), pa.array(n)], ["toxic", "n"])
 
     source = docs.select("text", "label")
-    found = {r.toxic: r.n for r in source.mapInArrow(count, "toxic boolean, n long").groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
+    found = {r.toxic: r.n for r in source.mapInArrow(count, "toxic boolean, n long").groupBy("toxic").agg(F.sum("n").alias("n")).toLocalIterator()}
     share = np.array([min(1.0, STRETCHES / 2 / max(found.get(k, 0), 1)) for k in (False, True)])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +326,7 @@ def train(windows: DataFrame, shards: int = SHARDS) -> Field:
         return field(np.zeros(0, np.uint64), np.zeros(0), -30.0, -5.0, -5.0, 0.0, 0.0)
     # A feature counts by the shards that have seen it.
     means = parts.groupBy("kind", "feature").agg(F.avg("weight").alias("weight"))
-    rest = {r.kind: r.weight for r in means.where("kind > 0").collect()}
+    rest = {r.kind: r.weight for r in means.where("kind > 0").toLocalIterator()}
     heavy = means.where("kind = 0").orderBy(F.desc(F.abs("weight")), "feature").limit(FEATURES).toArrow()
     return field(_column(heavy, "feature"), heavy.column("weight").to_numpy(), *(rest[k] for k in range(1, 6)))
 
@@ -450,7 +450,7 @@ def classify(
     model = train(stage(stretches(docs, told), "stretches") if len(told) else docs.sparkSession.createDataFrame([], "key long, features array<long>, tags array<tinyint>"))
     seen = tag(docs, model, "text", "label").select(F.round(_evidence_of(F.col("weight")), 1).alias("x"), F.col("id").alias("label"))
     # Logarithms to one place: at most a few hundred rows.
-    points = seen.groupBy("x").agg(F.sum(1 - F.col("label")).alias("clean"), F.sum("label").alias("toxic")).collect()
+    points = list(seen.groupBy("x").agg(F.sum(1 - F.col("label")).alias("clean"), F.sum("label").alias("toxic")).toLocalIterator())
     slope, intercept = _curve([(r.x, r.clean, r.toxic) for r in points])
     if not len(told):
         slope, intercept = 0.0, min(0.0, intercept)
